@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import common, packing, token_output
+from lineweave.llm import common, decontaminate, packing, repetition, token_output
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +15,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_fit_packing)}
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.digests(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op3_decontamination, op7_repetition_rules)}
 ORACLE_SQL: dict[str, str] = {}
