@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import common, decontaminate, jaccard, packing, repetition, token_output
+from lineweave.llm import common, decontaminate, jaccard, packing, repetition, secrets, token_output
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +27,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op3_decontamination, op7_repetition_rules, op9_jaccard_join)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op3_decontamination, op7_repetition_rules, op9_jaccard_join, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
