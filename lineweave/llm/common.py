@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,31 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _summed(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in batch.column("cells").to_pylist())
+    return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([total.astype("<i8").tobytes()])})
+
+
+def sum_vectors(parts: DataFrame, width: int) -> np.ndarray:
+    """The sums of packed vectors of fixed length, by their number k, laid end to end; `width` in all.
+
+    Sums of a part of the partitions come first, so that no task gets a vector of each.
+    """
+    near = parts.withColumn("to", F.pmod(F.spark_partition_id(), F.lit(32)))
+    half = near.groupBy("k", "to").applyInArrow(_summed, "k int, cells binary")
+    packed = half.mapInArrow(_packed, "k int, cells binary")
+    rows = {r.k: np.frombuffer(r.cells, "<i8") for r in packed.groupBy("k").applyInArrow(_summed, "k int, cells binary").toLocalIterator()}
+    if not rows:
+        return np.zeros(width, np.int64)
+    step = len(next(iter(rows.values())))
+    return np.concatenate([rows.get(k, np.zeros(step, np.int64)) for k in range(-(-width // step))])[:width]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([zlib.compress(x, 1) for x in batch.column("cells").to_pylist()], pa.binary())], names=["k", "cells"])
+
+
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the two columns that an operator works on; other columns, whatever their names, don't reach Python."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -81,21 +81,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells += np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
     used = [(k, x) for k, x in enumerate(cells.reshape(-1, SKETCH_ROW)) if x.any()]
     if used:
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in used], pa.int32()), pa.array([zlib.compress(x.astype("<i4").tobytes(), 1) for _, x in used])], names=["k", "cells"])
-
-
-def _summed(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x), "<i4").astype(np.int64) for x in batch.column("cells").to_pylist())
-    return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([total.astype("<i8").tobytes()])})
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in used], pa.int32()), pa.array([zlib.compress(x.astype("<i8").tobytes(), 1) for _, x in used])], names=["k", "cells"])
 
 
 def frequencies(docs: DataFrame) -> np.ndarray:
     """The sketch: how many sets have an n-gram of each cell. Its size is fixed, so it may go to the driver and to every task."""
-    parts = common.texts(docs).mapInArrow(_counted, "k int, cells binary").groupBy("k").applyInArrow(_summed, "k int, cells binary")
-    out = np.zeros((SKETCH // SKETCH_ROW, SKETCH_ROW), np.int64)
-    for r in parts.toLocalIterator():
-        out[r.k] = np.frombuffer(r.cells, "<i8")
-    return out.ravel()
+    return common.sum_vectors(common.texts(docs).mapInArrow(_counted, "k int, cells binary"), SKETCH)
 
 
 SIGNED = "doc_id long, own long, n_shingles long, sig long, prefix array<long>, hot array<boolean>, ranges array<short>"
