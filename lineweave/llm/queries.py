@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import common, decontaminate, jaccard, langid, packing, repetition, secrets, token_counts, token_output
+from lineweave.llm import common, decontaminate, jaccard, langid, packing, repetition, secrets, token_counts, token_output, wrappers
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.digests(common.table(spark, sf_dir, "documents"))
 
 
+def op8_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extracted(common.table(spark, sf_dir, "pages"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(common.table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op3_decontamination, op5_token_counts, op6_language_id, op7_repetition_rules, op9_jaccard_join, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op3_decontamination, op5_token_counts, op6_language_id, op7_repetition_rules, op8_wrapper_induction, op9_jaccard_join, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
