@@ -1,7 +1,491 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the library's own operators, each over whole tables, and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lineweave.functions import text
+from lineweave.operators import checks, evaluation, layout, matching, review, terms
+from lineweave.plans.fixtures import fixture, table
+from lineweave.plans.oracles import ORACLE_SQL
+from lineweave.sources import tables
+from lineweave.sources.scratch import cut
+from lineweave.streaming import events as streams
+
 QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "pairing_full"
+FLAGSHIP = "pairing_check"
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def said(c: str):
+    """Discrepancies as text in a fixed order."""
+    return F.array_join(F.array_sort(F.transform(c, lambda d: F.concat_ws(":", d["type"], d["severity"]))), ";")
+
+
+# --- scalar functions -----------------------------------------------------------------------------
+
+
+@query
+def normalize_parts(spark: SparkSession, d: str) -> DataFrame:
+    x = fixture(spark, d, "label_fuzzy").select("description").distinct()
+    x = text.normalize_column(x, "description")
+    return x.select("description", F.col("norm_text").alias("normalized"), F.col("norm_key").alias("sorted_key"), F.array_join(F.array_sort("norm_numbers"), ",").alias("numbers"))
+
+
+@query
+def sorted_key_groups(spark: SparkSession, d: str) -> DataFrame:
+    x = text.normalize_column(fixture(spark, d, "bom").select("description", "pair"), "description")
+    return x.groupBy("norm_key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pair").alias("sets"))
+
+
+@query
+def normalize_documents(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "documents").select("doc_id", F.upper(F.translate("text", "–—‐‑‒", "-----")).alias("t"))
+    return x.select("doc_id", F.size(text.numeric_tokens(F.filter(F.split(F.regexp_replace("t", "[^A-Z0-9.%\\s]", " "), "\\s+"), lambda w: w != ""))).cast("long").alias("numeric_tokens"))
+
+
+@query
+def quantity_parse(spark: SparkSession, d: str) -> DataFrame:
+    x = fixture(spark, d, "label").withColumn("p", text.parse_label_line(F.col("raw_line")))
+    return x.select("pair", "item_ord", "p.quantity", "p.uom", F.col("p.description").alias("said"), "p.sub_value", "p.sub_kind")
+
+
+@query
+def quantity_verdict(spark: SparkSession, d: str) -> DataFrame:
+    b = fixture(spark, d, "bom").select("pair", "item_ord", "quantity")
+    x = b.join(fixture(spark, d, "label").select("pair", "item_ord", F.col("quantity").alias("q"), F.when(F.col("l_partkey") % 3 == 0, 2).cast("int").alias("v"), F.when(F.col("l_partkey") % 6 == 0, "pair").otherwise("per").alias("k"), F.when(F.col("l_partkey") % 10 == 0, "PAIR").otherwise("EACH").alias("u")), ["pair", "item_ord"])
+    x = x.withColumn("v2", text.compare_quantities(F.col("quantity"), F.col("q"), F.col("v"), F.col("k"), F.col("u")))
+    return x.groupBy("v2.equal", "v2.idiom").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def categorize_lines(spark: SparkSession, d: str) -> DataFrame:
+    rules = ((r"\bANVIL\b|\bGIZMO\b", "PACKAGING"), (r"\bRING\b", "DOCUMENT"))
+    x = fixture(spark, d, "bom").withColumn("c", text.categorize(F.col("item_number"), F.col("description"), F.col("quantity"), rules, (("7", "PROCESS"),)))
+    return x.groupBy("c.category").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").cast("decimal(18,6)").alias("quantity"))
+
+
+@query
+def codes_and_ids(spark: SparkSession, d: str) -> DataFrame:
+    x = fixture(spark, d, "bom").groupBy("sku").agg(F.count(F.lit(1)).alias("lines"))
+    sha = F.sha2("sku", 256)
+    return x.select("sku", "lines", text.family_of(F.col("sku")).alias("family"), text.pair_token(F.col("sku"), F.lit("label")).alias("token"), text.document_id(F.lit("bom"), sha, F.concat(F.lit("/in/"), "sku")).alias("doc_id"))
+
+
+@query
+def effectivity(spark: SparkSession, d: str) -> DataFrame:
+    x = fixture(spark, d, "bom").select("effective_thru", F.date_format("effective_thru", "M/d/yy").alias("s"))
+    x = x.withColumn("parsed", text.parse_date(F.col("s")))
+    return x.groupBy(F.year("parsed").cast("long").alias("year"), text.is_active(F.lit(None).cast("date"), F.col("parsed"), F.lit("1998-01-01").cast("date")).alias("active")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("parsed") == F.col("effective_thru")).alias("same"))
+
+
+@query
+def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "embeddings")
+    heads = x.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("head"))
+    return x.join(heads, "label").select("vec_id", F.round(text.cosine(F.col("embedding"), F.col("head")), 5).alias("cosine"))
+
+
+@query
+def change_kinds(spark: SparkSession, d: str) -> DataFrame:
+    x = fixture(spark, d, "changes")
+    return x.groupBy("kind", text.change_kind(F.col("actual"), F.col("proposed")).alias("derived")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- matching -------------------------------------------------------------------------------------
+
+
+def _sides(spark, d, label="label"):
+    return tuple(cut(text.normalize_column(fixture(spark, d, f), "description"), "lines") for f in ("pieces", label))
+
+
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    """A synonym per noun, of various scopes, from the parts themselves."""
+    nouns = table(spark, d, "part").select(F.upper(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("noun"), F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("adj"), "p_size").distinct()
+    k = F.length("noun") + F.length("adj")
+    return nouns.select(
+        F.concat_ws("-", F.lit("REL"), "noun", "adj", "p_size").alias("id"),
+        F.concat_ws(" ", "adj", "noun", F.concat("p_size", F.lit("MM"))).alias("canonical"),
+        F.array(F.concat("noun", F.lit(", "), "adj", F.lit(", "), "p_size", F.lit(" MM STERILE"))).alias("aliases"),
+        F.when(k % 3 == 0, "family:5").otherwise("global").alias("scope"),
+        F.array().cast("array<string>").alias("item_anchors"),
+        (F.col("p_size") % 4 != 0).alias("active"),
+    )
+
+
+@query
+def exact_pairs(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sides(spark, d)
+    return matching.exact_candidates(a, b).select("pair", "a_ord", "b_ord")
+
+
+@query
+def greedy_assignment(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sides(spark, d)
+    return matching.greedy_pairs(cut(matching.first_rung(matching.exact_candidates(a, b)), "candidates")).select("pair", "a_ord", "b_ord")
+
+
+@query
+def dictionary_pairs(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sides(spark, d, "label_fuzzy")
+    return matching.dictionary_candidates(a, b, _terms(spark, d)).select("pair", "a_ord", "b_ord", "relationship_id", "confirm")
+
+
+@query
+def numeric_guard(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sides(spark, d, "label_fuzzy")
+    x = a.select("pair", F.col("norm_numbers").alias("x")).join(b.select("pair", F.col("norm_numbers").alias("y")), "pair")
+    return x.groupBy(text.numeric_conflict(F.col("x"), F.col("y")).alias("conflict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _residue(spark, d):
+    a, b = _sides(spark, d, "label_fuzzy")
+    taken = cut(matching.greedy_pairs(cut(matching.first_rung(matching.exact_candidates(a, b)), "candidates")), "taken")
+    free = lambda x, side: cut(x.join(taken.select("pair", F.col(f"{side}_ord").alias("item_ord")), ["pair", "item_ord"], "left_anti"), "free")
+    return free(a, "a"), free(b, "b")
+
+
+@query
+def fuzzy_scores(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _residue(spark, d)
+    return matching.fuzzy_candidates(a, b).select("pair", "a_ord", "b_ord", "score", "weak", "conflict")
+
+
+@query
+def ladder_levels(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sides(spark, d, "label_fuzzy")
+    pairs = matching.greedy_pairs(cut(matching.ladder(a, b, terms=_terms(spark, d)), "candidates"))
+    return pairs.select("pair", "a_ord", "b_ord", "level", "score")
+
+
+@query
+def ambiguous_lines(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sides(spark, d)
+    c = cut(matching.first_rung(matching.exact_candidates(a, b)), "candidates")
+    return matching.ambiguities(c, matching.greedy_pairs(c)).select("pair", "a_ord", "b_ord", "kind", "holder")
+
+
+@query
+def hint_lines(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _residue(spark, d)
+    c = cut(matching.first_rung(matching.fuzzy_candidates(a, b)), "candidates")
+    return matching.hints(c, matching.greedy_pairs(c), "a").select("pair", "item_ord", "hint_ord", "hint_score")
+
+
+@query
+def find_anywhere(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sides(spark, d, "label_fuzzy")
+    return matching.find_anywhere(a, b)
+
+
+# --- checks ---------------------------------------------------------------------------------------
+
+
+def _results(spark, d, a="pieces", b="label"):
+    rows = checks.pairing_check(fixture(spark, d, a), fixture(spark, d, b), checks.BOM_LABEL, rungs="exact")
+    rows = cut(rows, "rows")
+    key = F.concat_ws("|", F.lit("BOM_LABEL"), F.coalesce("item_number", F.concat(F.lit("b:"), "b_description")))
+    return rows.withColumns({"run_id": F.lit("run"), "sku": F.concat(F.col("pair").cast("string"), F.lit("NS")), "comparison_key": F.concat_ws("|", "pair", key), "row_id": F.concat_ws("-", "pair", F.coalesce("a_ord", F.lit(0)), F.coalesce("b_ord", F.lit(0)))})
+
+
+@query
+def pairing_check(spark: SparkSession, d: str) -> DataFrame:
+    return _results(spark, d).select("pair", "role", "a_ord", "b_ord", "item_number", "classification", "level", "score", said("discrepancies").alias("discrepancies"), "requires_validation")
+
+
+@query
+def pairing_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    x = checks.pairing_check(fixture(spark, d, "pieces"), fixture(spark, d, "label_fuzzy"), checks.BOM_LABEL, terms=_terms(spark, d))
+    return x.groupBy("classification", "level", said("discrepancies").alias("discrepancies")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def merge_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    x = fixture(spark, d, "pieces").withColumn("quantity", F.when(F.col("item_number").cast("long") % 37 != 0, F.col("quantity")))
+    return checks.merge_duplicates(x).select("pair", "item_number", "item_ord", "quantity", "confidence", "merged_rows")
+
+
+@query
+def comparable_lines(spark: SparkSession, d: str) -> DataFrame:
+    x = fixture(spark, d, "pieces").withColumns({"category": F.when(F.col("item_number").cast("long") % 9 == 0, "LABEL").otherwise("PHYSICAL_COMPONENT"), "active": F.col("effective_thru") >= F.lit("1998-01-01").cast("date")})
+    return checks.exempt_rows(x).select("pair", "item_ord", "item_number", "reason")
+
+
+@query
+def header_references(spark: SparkSession, d: str) -> DataFrame:
+    x = checks.header_rows(fixture(spark, d, "sets"))
+    return x.select("pair", "classification", said("discrepancies").alias("discrepancies"))
+
+
+@query
+def drawing_reference(spark: SparkSession, d: str) -> DataFrame:
+    return checks.drawing_references(fixture(spark, d, "drawing_lines"), fixture(spark, d, "drawings"))
+
+
+@query
+def coverage_anti(spark: SparkSession, d: str) -> DataFrame:
+    return checks.coverage(fixture(spark, d, "codes"), fixture(spark, d, "bom_docs"))
+
+
+@query
+def change_applied(spark: SparkSession, d: str) -> DataFrame:
+    lines = fixture(spark, d, "change_lines").withColumn("redlines", F.array("redline"))
+    return checks.change_applied(fixture(spark, d, "changes"), lines).select("form", "code", "change_ord", "kind", "classification", "discrepancy")
+
+
+@query
+def revision_check(spark: SparkSession, d: str) -> DataFrame:
+    old = fixture(spark, d, "pieces")
+    want = text.normalize_column(fixture(spark, d, "bom").where("l_partkey % 22 = 0"), "description").select("pair", F.col("item_ord").alias("exp_ord"), F.lit("REMOVE").alias("kind"), F.col("norm_key").alias("exp_key"))
+    return checks.revision_check(old, fixture(spark, d, "label"), want).select("pair", "change", "norm_key", "a_ord", "b_ord", "exp_ord", "classification")
+
+
+@query
+def violations(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "lineitem").withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    rules = {"quantity": F.col("l_quantity") < 50, "discount": F.col("l_discount").between(0, 0.09), "flag": F.col("l_returnflag").isin("A", "N")}
+    return checks.violations(x, rules, "key").groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
+
+
+# --- summaries and comparison of runs ---------------------------------------------------------------
+
+
+@query
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    return review.summary(_results(spark, d), ["check"])
+
+
+@query
+def set_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return review.set_rollup(_results(spark, d)).select("sku", F.col("rows").alias("n_rows"), "needs_validation", "blockers", "status")
+
+
+@query
+def discrepancy_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return review.open_discrepancies(_results(spark, d)).select("type", "n", "worst")
+
+
+@query
+def queue_page(spark: SparkSession, d: str) -> DataFrame:
+    return review.queue(_results(spark, d), 200, 100).select("row_id", "classification")
+
+
+def _after(spark, d):
+    """A second run, on labels that lost other lines, without one set in nine."""
+    b = fixture(spark, d, "label").where("l_partkey % 10 <> 3")
+    rows = checks.pairing_check(fixture(spark, d, "pieces").where("pair % 9 <> 0"), b.where("pair % 9 <> 0"), checks.BOM_LABEL, rungs="exact")
+    rows = cut(rows, "rows")
+    key = F.concat_ws("|", F.lit("BOM_LABEL"), F.coalesce("item_number", F.concat(F.lit("b:"), "b_description")))
+    return rows.withColumns({"run_id": F.lit("after"), "sku": F.concat(F.col("pair").cast("string"), F.lit("NS")), "comparison_key": F.concat_ws("|", "pair", key), "row_id": F.concat_ws("-", "pair", F.coalesce("a_ord", F.lit(0)), F.coalesce("b_ord", F.lit(0)))})
+
+
+@query
+def run_diff(spark: SparkSession, d: str) -> DataFrame:
+    return review.run_diff(_results(spark, d), _after(spark, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sku").alias("sets"))
+
+
+@query
+def verify_close(spark: SparkSession, d: str) -> DataFrame:
+    items = review.action_items(_results(spark, d)).withColumns({"item_id": F.col("row_id"), "status": F.lit("OPEN")})
+    return review.verify_and_close(items, _after(spark, d)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def business_case(spark: SparkSession, d: str) -> DataFrame:
+    return review.business_case(_results(spark, d))
+
+
+def _mined(spark, d):
+    a, b = _residue(spark, d)
+    c = cut(matching.first_rung(matching.fuzzy_candidates(a, b)), "candidates")
+    p = matching.greedy_pairs(c).join(a.select("pair", F.col("item_ord").alias("a_ord"), F.col("norm_key").alias("a_key")), ["pair", "a_ord"]).join(b.select("pair", F.col("item_ord").alias("b_ord"), F.col("norm_key").alias("b_key")), ["pair", "b_ord"])
+    rows = p.withColumns({"sku": F.col("pair"), "discrepancies": F.expr("filter(array(named_struct('type', 'QTY_MISMATCH', 'severity', if(a_ord % 2 = 0, 'MINOR', 'INFO'))), x -> true)")})
+    return cut(review.mining(rows), "mined")
+
+
+@query
+def mining(spark: SparkSession, d: str) -> DataFrame:
+    return _mined(spark, d)
+
+
+@query
+def worklist_cumulative(spark: SparkSession, d: str) -> DataFrame:
+    return review.worklist(_mined(spark, d)).select("rank", "a_key", "b_key", "would_clear", "running", "share")
+
+
+@query
+def prf_metrics(spark: SparkSession, d: str) -> DataFrame:
+    got = _results(spark, d).select("pair", "item_number", F.explode("discrepancies").alias("x")).select((F.col("pair") % 7).alias("part"), "pair", "item_number", F.col("x.type").alias("type")).where("item_number is not null")
+    b = fixture(spark, d, "bom")
+    want = b.where("l_partkey % 11 = 0").select((F.col("pair") % 7).alias("part"), "pair", "item_number", F.lit("MISSING_IN_LABEL").alias("type")).unionByName(b.where("l_partkey % 13 = 0 and l_partkey % 11 <> 0").select((F.col("pair") % 7).alias("part"), "pair", "item_number", F.lit("QTY_MISMATCH").alias("type")))
+    return evaluation.prf(got, want, ["part", "pair", "item_number", "type"], ["type", "part"])
+
+
+# --- review ---------------------------------------------------------------------------------------
+
+
+@query
+def latest_decision(spark: SparkSession, d: str) -> DataFrame:
+    return review.latest(fixture(spark, d, "decisions"), [*review.ROW, "slot"], "decided_at", "event_id").select("row_id", "slot", "decision", "override", "event_id")
+
+
+def _states(spark, d):
+    return review.row_state(fixture(spark, d, "rows"), fixture(spark, d, "decisions").drop("event_id"), fixture(spark, d, "finals"))
+
+
+@query
+def row_state(spark: SparkSession, d: str) -> DataFrame:
+    return _states(spark, d).select("row_id", "state", "effective", "d1", "d2")
+
+
+@query
+def blind_view(spark: SparkSession, d: str) -> DataFrame:
+    return review.blind_view(_states(spark, d), 2, True).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.count("d1").alias("seen"))
+
+
+@query
+def bulk_accept(spark: SparkSession, d: str) -> DataFrame:
+    return review.bulk_accept(fixture(spark, d, "rows"), fixture(spark, d, "decisions").where("event_id % 40 = 0"), 1)
+
+
+@query
+def review_timing(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    s = review.review_seconds(e.where("event_type = 'view'").select("user_id", "ts"), e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_type").alias("decision")), ["user_id"], most=86_400)
+    return review.timing(s, ["user_id"])
+
+
+# --- terminology ----------------------------------------------------------------------------------
+
+
+def _versions(spark, d):
+    """Parts as relationships: a version per order line of a part, the last of some a deletion."""
+    k = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"))
+    x = table(spark, d, "lineitem").withColumn("version", k.cast("int")).where("version <= 3")
+    return x.select(F.format_string("REL-%03d", "l_partkey").alias("id"), "version", F.concat(F.lit("TERM "), F.col("l_suppkey").cast("string")).alias("canonical"), F.array(F.col("l_returnflag")).alias("aliases"), F.lit("global").alias("scope"), (F.col("l_linenumber") != 3).alias("active"), (F.col("l_suppkey") % 10 == 0).alias("deleted"), F.col("l_shipdate").alias("changed_at"))
+
+
+@query
+def term_current(spark: SparkSession, d: str) -> DataFrame:
+    return terms.current(_versions(spark, d)).select("id", "version", "canonical", "active")
+
+
+@query
+def term_pinned(spark: SparkSession, d: str) -> DataFrame:
+    used = table(spark, d, "part").select(F.concat(F.lit("run"), F.col("p_partkey") % 7).alias("run_id"), F.format_string("REL-%03d", "p_partkey").alias("id"), (1 + F.col("p_partkey") % 2).cast("int").alias("version"))
+    return terms.pinned(_versions(spark, d), used).select("run_id", "id", "version", "canonical", "deleted")
+
+
+@query
+def term_next_id(spark: SparkSession, d: str) -> DataFrame:
+    return terms.next_number(_versions(spark, d))
+
+
+# --- sources and layout ---------------------------------------------------------------------------
+
+
+@query
+def document_sets(spark: SparkSession, d: str) -> DataFrame:
+    x = tables.set_facts(tables.set_key(fixture(spark, d, "documents_fx")))
+    return x.select("set", "sku", "documents", "coverage", F.array_join("warnings", ";").alias("warnings"))
+
+
+@query
+def document_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return tables.document_pairs(tables.set_key(fixture(spark, d, "documents_fx")))
+
+
+def _cells(spark, d):
+    """Orders in files of a hundred rows: a block of keys and values, a header row, then a row per order."""
+    o = table(spark, d, "orders").select((F.floor(F.col("o_orderkey") / 100)).alias("file"), (F.col("o_orderkey") % 100 + 10).alias("row"), F.array(F.col("o_orderkey").cast("string"), F.lit(""), F.col("o_orderpriority"), F.col("o_orderstatus")).alias("c"))
+    body = o.select("file", "row", F.posexplode("c").alias("col", "text"))
+    f = o.select("file").distinct()
+    heads = F.when(F.col("file") % 2 == 0, F.array(F.lit("Component Item"), F.lit(" Qty "), F.lit("Description"), F.lit("item number"))).otherwise(F.array(F.lit("Item Number"), F.lit("Notes"), F.lit(" description"), F.lit("UM")))
+    head = f.select("file", F.lit(5).cast("long").alias("row"), F.posexplode(heads).alias("col", "text"))
+    block = f.select("file", F.lit(1).cast("long").alias("row"), F.posexplode(F.array(F.lit("Parent Item"), F.lit(""), F.concat(F.lit("P"), "file"), F.lit("x"))).alias("col", "text"))
+    return body.unionByName(head).unionByName(block)
+
+
+ALIASES = [("component item", "component_item"), ("item number", "component_item"), ("description", "description"), ("qty", "quantity"), ("quantity per", "quantity"), ("um", "uom")]
+
+
+@query
+def header_discovery(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d)
+    return tables.header_rows(cells, spark.createDataFrame(ALIASES, "alias string, name string"), "component_item", ("description", "quantity")).select("file", F.col("header_row").cast("long").alias("header_row"), "name", F.col("col").cast("long").alias("col_no"))
+
+
+@query
+def header_values(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d)
+    header = tables.header_rows(cells, spark.createDataFrame(ALIASES, "alias string, name string"), "component_item", ("description", "quantity"))
+    return tables.header_values(cells, header, spark.createDataFrame([("parent item", "parent")], "key string, name string"))
+
+
+@query
+def table_lines(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d)
+    header = tables.header_rows(cells, spark.createDataFrame(ALIASES, "alias string, name string"), "component_item", ("description", "quantity"))
+    return tables.body_rows(cells, header, ["component_item", "description"], "component_item").groupBy("file", "description").agg(F.count(F.lit(1)).alias("n"), F.min("component_item").alias("least"))
+
+
+def _words(spark, d):
+    """The documents' words on a grid with jitter; a line of text is a line of the page."""
+    x = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "t"))
+    x = x.select("doc_id", "ln", F.posexplode(F.split("t", " ")).alias("k", "text")).where("text <> ''")
+    y = F.col("ln") * 12.0 + (F.col("k") * 7 % 3) * 0.8
+    return x.select("doc_id", F.lit(1).alias("page"), "text", (F.col("k") * 40.0).alias("x0"), y.alias("y0"), (F.col("k") * 40.0 + F.length("text") * 5.0).alias("x1"), (y + 10.0).alias("y1"), (F.col("ln") * 100_000 + F.col("k")).alias("word_id"), "ln", "k")
+
+
+@query
+def line_grouping(spark: SparkSession, d: str) -> DataFrame:
+    return layout.group_lines(_words(spark, d)).groupBy("doc_id", F.col("line").cast("long").alias("line")).agg(F.count(F.lit(1)).alias("n"), F.max("x1").alias("x1"))
+
+
+@query
+def gap_split(spark: SparkSession, d: str) -> DataFrame:
+    x = layout.split_by_gaps(_words(spark, d).withColumn("line", F.col("ln")), 20.0)
+    return x.groupBy("doc_id", F.col("line").cast("long").alias("line")).agg((F.max("part") + 1).alias("parts"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def nearest_band(spark: SparkSession, d: str) -> DataFrame:
+    w = _words(spark, d)
+    head = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (F.lit(x) + F.col("doc_id") % 10).alias("x0")) for n, x in (("item", 0.0), ("desc", 150.0), ("qty", 700.0))])).alias("h")).select("doc_id", "page", "h.name", "h.x0")
+    return layout.nearest_band(w, layout.bands_from_header(head)).groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def spread_words(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("line"), F.regexp_replace("text", "\n", " ").alias("text"), F.lit(0.0).alias("x0"), F.lit(1000.0).alias("x1"))
+    return layout.spread_words(x).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("w1"), 3).alias("right"), F.round(F.sum(F.col("w1") - F.col("w0")), 3).alias("width"))
+
+
+# --- streams --------------------------------------------------------------------------------------
+
+
+@query
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    return streams.window_counts(table(spark, d, "events"))
+
+
+@query
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return streams.sessions(table(spark, d, "events"), "6 hours").select("user_id", "start", "n")
+
+
+@query
+def stream_timing(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return streams.open_decide(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), 5, 86_400).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def stream_latest_decision(spark: SparkSession, d: str) -> DataFrame:
+    x = fixture(spark, d, "decisions")
+    return review.latest(x, ["row_id"], "decided_at", "event_id").select("row_id", "event_id", "decision")
