@@ -64,7 +64,7 @@ def review_seconds(opened: DataFrame, decided: DataFrame, keys: list[str], most:
     events = opened.select(*keys, "ts", F.lit(None).cast("string").alias("decision")).unionByName(decided.select(*keys, "ts", "decision"))
     before = Window.partitionBy(*keys).orderBy("ts", F.col("decision").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
     x = events.withColumn("opened_at", F.last(F.when(F.col("decision").isNull(), F.col("ts")), ignorenulls=True).over(before)).where("decision is not null")
-    seconds = (F.unix_micros("ts") - F.unix_micros("opened_at")) / 1_000_000
+    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("opened_at").cast("timestamp"))) / 1_000_000
     return x.select(*keys, F.col("ts").alias("decided_at"), "decision", F.when(seconds.between(LEAST_S, most), F.round(seconds, 3)).alias("seconds"))
 
 
@@ -113,11 +113,11 @@ def _findings(results: DataFrame) -> DataFrame:
 def run_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Every comparison of two runs, aligned by key and occurrence, with what became of it."""
     sets = before.select("sku").intersect(after.select("sku")).withColumn("covered", F.lit(True))
-    b, a = _findings(before).withColumn("in_b", F.lit(True)).alias("b"), _findings(after).withColumn("in_a", F.lit(True)).alias("a")
-    x = b.join(a, ["comparison_key", "k"], "full_outer").withColumn("sku", F.coalesce("b.sku", "a.sku")).select("comparison_key", "k", "sku", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ba" for c in ("kinds", "classification", "requires_validation", f"in_{s}")])
+    side = lambda df, s: _findings(df).select("comparison_key", "k", *[F.col(c).alias(f"{s}_{c}") for c in ("sku", "kinds", "classification", "requires_validation")], F.lit(True).alias(f"{s}_in"))
+    x = side(before, "b").join(side(after, "a"), ["comparison_key", "k"], "full_outer").withColumn("sku", F.coalesce("b_sku", "a_sku"))
     x = x.join(sets, "sku", "left")
     had, has = F.coalesce(F.col("b_kinds") != "", F.lit(False)), F.coalesce(F.col("a_kinds") != "", F.lit(False))
-    there, here = F.col("b_in_b").isNotNull(), F.col("a_in_a").isNotNull()
+    there, here = F.col("b_in").isNotNull(), F.col("a_in").isNotNull()
     differs = ~(F.col("b_classification").eqNullSafe(F.col("a_classification")) & F.col("b_requires_validation").eqNullSafe(F.col("a_requires_validation")))
     status = F.when(F.col("covered").isNull(), "not_covered").when(there & ~here, "gone").when(~there & has, "new").when(~there, "changed").when(had & ~has, "resolved").when(~had & has, "new").when(had & has, "still_open").when(differs, "changed").otherwise("unchanged")
     return x.select("sku", "comparison_key", "k", "b_kinds", "a_kinds", status.alias("status"))
