@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import common, decontaminate, jaccard, langid, packing, repetition, secrets, token_counts, token_output, wrappers
+from lineweave.llm import chat, common, decontaminate, jaccard, langid, packing, repetition, secrets, token_counts, token_output, wrappers
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(common.table(spark, sf_dir, "conversations"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(common.table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op3_decontamination, op5_token_counts, op6_language_id, op7_repetition_rules, op8_wrapper_induction, op9_jaccard_join, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op3_decontamination, op4_chat_formatting, op5_token_counts, op6_language_id, op7_repetition_rules, op8_wrapper_induction, op9_jaccard_join, op10_secret_scan)}
+ORACLE_SQL: dict[str, str] = {"op4_chat_formatting": chat.ORACLE_SQL}
