@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+
+
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +42,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 
 def _summed(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in batch.column("cells").to_pylist())
-    return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([total.astype("<i8").tobytes()])})
+    total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<i8") for x in batch.column("cells"))
+    return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)])})
 
 
 def sum_vectors(parts: DataFrame, width: int) -> np.ndarray:
@@ -50,21 +53,23 @@ def sum_vectors(parts: DataFrame, width: int) -> np.ndarray:
     """
     near = parts.withColumn("to", F.pmod(F.spark_partition_id(), F.lit(32)))
     half = near.groupBy("k", "to").applyInArrow(_summed, "k int, cells binary")
-    packed = half.mapInArrow(_packed, "k int, cells binary")
-    rows = {r.k: np.frombuffer(r.cells, "<i8") for r in packed.groupBy("k").applyInArrow(_summed, "k int, cells binary").toLocalIterator()}
+    rows = {r.k: np.frombuffer(zlib.decompress(r.cells), "<i8") for r in half.groupBy("k").applyInArrow(_summed, "k int, cells binary").toLocalIterator()}
     if not rows:
         return np.zeros(width, np.int64)
     step = len(next(iter(rows.values())))
     return np.concatenate([rows.get(k, np.zeros(step, np.int64)) for k in range(-(-width // step))])[:width]
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([zlib.compress(x, 1) for x in batch.column("cells").to_pylist()], pa.binary())], names=["k", "cells"])
+def small_batches(spark: SparkSession) -> None:
+    """Batches between Spark and Python of at most so many rows and bytes, so that tasks need little memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the two columns that an operator works on; other columns, whatever their names, don't reach Python."""
+    small_batches(df.sparkSession)
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 

@@ -133,6 +133,7 @@ def _pass(df: DataFrame, broadcast) -> DataFrame:
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", carry: list[Column] | None = None, block_bytes: int = BLOCK_BYTES, window: int = WINDOW) -> DataFrame:
     """A row per document: doc_id, carried columns, n_words, runs of hit words, and the ids of the items found."""
+    common.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null")
     blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) / block_bytes))

@@ -172,6 +172,7 @@ def measured(df: DataFrame, *, text: str = "_text", least: int = MIN_REPEAT) ->
                 m = measure(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], least)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in rest), *(pa.array(m[k].astype(np.int64)) for k in MEASURES)], names=[*rest, *MEASURES])
 
+    common.small_batches(df.sparkSession)
     schema = df.select(*rest, *[F.lit(0).cast("long").alias(k) for k in MEASURES]).schema
     return df.mapInArrow(ran, schema)
 

@@ -309,5 +309,6 @@ def redacted(docs: DataFrame) -> DataFrame:
                         new[r] = b"".join([*out, raw[last:]]).decode()
                 yield pa.RecordBatch.from_arrays([pa.array(new, batch.schema.field(at).type) if k == at else batch.column(k)[a:b] for k in range(len(names))], schema=batch.schema)
 
+    common.small_batches(docs.sparkSession)
     out = docs.mapInArrow(ran, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
