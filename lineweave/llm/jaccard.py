@@ -5,9 +5,11 @@
 2. A text's signature is the digest of its set, so equal sets are one class. Each class gives the first
    n - ceil(0.8 n) + 1 of its n-grams with their positions; two sets that link share one of them.
 3. Classes that meet in a bucket (an n-gram) are candidates. First each class is verified against the leader of one of its
-   buckets, the class with the fewest rarer n-grams, and components are formed. Then every pair of a bucket whose classes
-   are in different components and pass the length and positional filters, and the suffix filter (a lower bound on the
-   symmetric difference from counts in HISTOGRAM ranges), is verified once. Pairs inside a component can't change it and
+   buckets, the class with the fewest rarer n-grams, then against the leaders of its other buckets that are in other
+   components by then and pass the filters. Then every pair of a bucket whose classes
+   are in different components and pass the length, positional and suffix filters is verified once. The suffix filter
+   parts the hashes into ranges: wherever one set has an odd and the other an even number of n-grams, they differ by one
+   at least, and the number of such ranges bounds the symmetric difference from below, whatever the sets' sizes. Pairs inside a component can't change it and
    are not listed, so a group of near copies costs about a pair per member and not their square; no link that joins two
    components is lost.
 4. Verification compares the sets themselves, from the texts.
@@ -22,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,8 @@ PERCENT = 80
 SKETCH = 1 << 18
 #: Cells in a row of the sketch, as it is summed.
 SKETCH_ROW = 1 << 12
-HISTOGRAM = 16
+#: Hash ranges of a set whose counts, odd or even, are kept for the suffix filter: 64 to a word.
+PARITY_WORDS = 4
 #: Classes, by the sketch, from which a bucket's leaders are sought in SALTS parts.
 HOT, SALTS = 1 << 16, 64
 
@@ -89,7 +93,7 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     return common.sum_vectors(common.texts(docs).mapInArrow(_counted, "k int, cells binary"), SKETCH)
 
 
-SIGNED = "doc_id long, own long, n_shingles long, sig long, prefix array<long>, hot array<boolean>, ranges array<short>"
+SIGNED = "doc_id long, own long, n_shingles long, sig long, prefix array<long>, hot array<boolean>, parity array<long>"
 
 
 def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -103,7 +107,7 @@ def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             for a, b in common.chunks(offs):
                 h, at = shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 df = count[(h % np.uint64(SKETCH)).astype(np.int64)]
-                n, sigs, prefixes, hots, ranges = np.diff(at), [], [], [], []
+                n, sigs, prefixes, hots, parities = np.diff(at), [], [], [], []
                 for r in range(b - a):
                     own = h[at[r] : at[r + 1]]
                     sig = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) if len(own) else None
@@ -111,7 +115,7 @@ def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     if sig is None or sig in seen:
                         prefixes.append(None)
                         hots.append(None)
-                        ranges.append(None)
+                        parities.append(None)
                         continue
                     if len(seen) >= 1_000_000:
                         seen.clear()
@@ -125,9 +129,10 @@ def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                         first = np.lexsort((own, d))
                     prefixes.append(own[first].view(np.int64))
                     hots.append(d[first] >= HOT)
-                    ranges.append(np.minimum(np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=HISTOGRAM), 32767).astype(np.int16))
-                cols = [batch.column("doc_id")[a:b], batch.column("own")[a:b], pa.array(n.astype(np.int64)), pa.array(sigs, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(hots, pa.list_(pa.bool_())), pa.array(ranges, pa.list_(pa.int16()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "own", "n_shingles", "sig", "prefix", "hot", "ranges"])
+                    odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+                    parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                cols = [batch.column("doc_id")[a:b], batch.column("own")[a:b], pa.array(n.astype(np.int64)), pa.array(sigs, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(hots, pa.list_(pa.bool_())), pa.array(parities, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "own", "n_shingles", "sig", "prefix", "hot", "parity"])
 
     return _own(docs).mapInArrow(made, SIGNED)
 
@@ -200,6 +205,10 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = common.cut(_verified(pairs, kept, percent), "jaccard-links")
     comps = components(links, "a", "b")
 
+    again = common.cut(_verified(_to_leaders(shared, lead, comps, signs, percent), kept, percent), "jaccard-links")
+    links = links.unionByName(again)
+    comps = components(links, "a", "b")
+
     more = common.cut(_verified(_between(shared, comps, signs, percent), kept, percent), "jaccard-links")
     comps = components(links.unionByName(more), "a", "b")
 
@@ -218,23 +227,40 @@ def _overlap(n, m, percent: int):
     return F.ceil(percent * (n + m) / (100 + percent) - 1e-9)
 
 
+def _apart(x: str, y: str):
+    """The suffix filter's lower bound on the symmetric difference of two sets."""
+    return reduce(lambda s, t: s + t, [F.bit_count(F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}"))) for k in range(PARITY_WORDS)])
+
+
+def _parities(signs: DataFrame, name: str, prefix: str) -> DataFrame:
+    words = [F.element_at("parity", k + 1).alias(f"{prefix}{k}") for k in range(PARITY_WORDS)]
+    return signs.where("parity is not null").select(F.col("sig").alias(name), *words).dropDuplicates([name])
+
+
+def _to_leaders(shared: DataFrame, lead: DataFrame, comps: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a class and the leader of a bucket of it in another component that pass all filters, each once."""
+    told = lead.join(comps.select(F.col("node").alias("x"), F.col("component").alias("lead_component")), F.col("lead.sig") == F.col("x"), "left")
+    own = shared.join(comps.select(F.col("node").alias("sig"), "component"), "sig", "left").join(told, ["gram", "salt"]).where(F.col("sig") != F.col("lead.sig"))
+    own = own.where(~F.coalesce(F.col("component") == F.col("lead_component"), F.lit(False)))
+    need = _overlap(F.col("n"), F.col("lead.n"), percent)
+    fits = _lengths_fit(F.col("n"), F.col("lead.n"), percent) & (F.least(F.col("n") - F.col("pos"), F.col("lead.n") - F.col("lead.pos")) >= need)
+    pairs = own.where(fits).select(F.least("sig", "lead.sig").alias("a"), F.greatest("sig", "lead.sig").alias("b"), (F.col("n") + F.col("lead.n") - 2 * need).alias("most")).distinct()
+    return pairs.join(_parities(signs, "a", "p"), "a").join(_parities(signs, "b", "q"), "b").where(_apart("p", "q") <= F.col("most")).select("a", "b")
+
+
 def _between(shared: DataFrame, comps: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Pairs of a bucket whose classes are in different components, by the length, positional and suffix filters, each once."""
     own = shared.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     sizes = own.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("gram").agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    own = common.cut(own.join(main, "gram").select("gram", "sig", "n", "pos", "component", (F.col("component") == F.col("main.component")).alias("in_main")), "jaccard-open")
+    own = own.join(main, "gram").select("gram", "sig", "n", "pos", "component", (F.col("component") == F.col("main.component")).alias("in_main"))
+    own = common.cut(own.join(_parities(signs, "sig", "p"), "sig"), "jaccard-open")
     x, y = own.where("not in_main").alias("x"), own.alias("y")
     need = _overlap(F.col("x.n"), F.col("y.n"), percent)
     most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.in_main") | (F.col("x.sig") < F.col("y.sig")))
-    pairs = x.join(y, on & _lengths_fit(F.col("x.n"), F.col("y.n"), percent) & (most >= need))
-    pairs = pairs.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
-    hist = signs.where("ranges is not null").select("sig", "n_shingles", "ranges").dropDuplicates(["sig"])
-    pairs = pairs.join(hist.select(F.col("sig").alias("a"), F.col("n_shingles").alias("na"), F.col("ranges").alias("ra")), "a")
-    pairs = pairs.join(hist.select(F.col("sig").alias("b"), F.col("n_shingles").alias("nb"), F.col("ranges").alias("rb")), "b")
-    apart = F.aggregate(F.zip_with("ra", "rb", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, d: s + d)
-    return pairs.where(apart <= F.col("na") + F.col("nb") - 2 * _overlap(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    fits = _lengths_fit(F.col("x.n"), F.col("y.n"), percent) & (most >= need) & (_apart("x.p", "y.p") <= F.col("x.n") + F.col("y.n") - 2 * need)
+    return x.join(y, on & fits).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
