@@ -9,12 +9,16 @@ import numpy as np
 
 BYTE_BPE = "byte_bpe_50k.json"
 
-#: Fixed value: the pre-token pattern of the ByteLevel pre-tokenizer.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters on whose classes all Unicode versions agree; a text with others goes to the library as it is.
-_OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u024f\\u2013\\u2014\\u2018\\u2019\\u201c\\u201d\\u2026\\u20ac]")
+#: Fixed value: the pre-token pattern of the ByteLevel pre-tokenizer, for the characters that _OTHER doesn't find.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: Characters other than those on whose classes all Unicode versions and `re` agree; a text with one goes to the library as it is.
+_OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00b1\\u00b4-\\u00b8\\u00ba\\u00bb\\u00bf-\\u024f\\u2013\\u2014\\u2018\\u2019\\u201c\\u201d\\u2026\\u20ac]")
 #: Distinct pre-tokens kept by a worker before it starts anew; it changes speed and memory, never ids.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
+
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: b for b in _PRINTABLE} | {b: 0x100 + k for k, b in enumerate(sorted({*range(0x100)} - {*_PRINTABLE}))}
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -48,13 +52,11 @@ class _Index(dict):
 
 class Encoder:
     def __init__(self, path: str) -> None:
-        import regex
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.find = regex.compile(PRE_TOKEN).findall
+        self.find = re.compile(PRE_TOKEN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
@@ -66,7 +68,8 @@ class Encoder:
         return [x.ids for x in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
     def _learn(self) -> None:
-        ids = self._direct(self.index.new)
+        model = self.tokenizer.model  # a new pre-token goes straight to the library's BPE
+        ids = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(_BYTES))] for w in self.index.new]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
