@@ -41,7 +41,7 @@ SKETCH = 1 << 18
 SKETCH_ROW = 1 << 12
 #: Hash ranges of a set whose counts, odd or even, are kept for the suffix filter: 64 to a word.
 PARITY_WORDS = 4
-#: Classes, by the sketch, from which a bucket's leaders are sought in SALTS parts.
+#: Documents, by the sketch, from which a bucket's leaders are sought in SALTS parts, numbered from 1; part 0 is a whole bucket.
 HOT, SALTS = 1 << 16, 64
 
 
@@ -98,7 +98,7 @@ SIGNED = "doc_id long, own long, n_shingles long, sig long, prefix array<long>,
 
 def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Each document's set size, the signature of its set, and, from the first copy that a task meets, its prefix."""
-    sketch = docs.sparkSession.sparkContext.broadcast(frequencies(docs))
+    sketch, hot_from = docs.sparkSession.sparkContext.broadcast(frequencies(docs)), HOT
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = sketch.value, set()
@@ -128,7 +128,7 @@ def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     else:
                         first = np.lexsort((own, d))
                     prefixes.append(own[first].view(np.int64))
-                    hots.append(d[first] >= HOT)
+                    hots.append(d[first] >= hot_from)
                     odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
                     parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 cols = [batch.column("doc_id")[a:b], batch.column("own")[a:b], pa.array(n.astype(np.int64)), pa.array(sigs, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(hots, pa.list_(pa.bool_())), pa.array(parities, pa.list_(pa.int64()))]
@@ -183,10 +183,11 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = signs.select("doc_id", "n_shingles", "sig")
     classes = signs.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "own")).alias("x")).select("sig", F.col("x.doc_id").alias("rep"), "x.own")
     rows = signs.where("prefix is not null").select("sig", "n_shingles", F.posexplode(F.arrays_zip("prefix", "hot")).alias("pos", "x"))
-    salt = F.when(F.col("x.hot"), F.pmod("sig", F.lit(SALTS))).otherwise(0)
+    salt = F.when(F.col("x.hot"), F.pmod("sig", F.lit(SALTS)) + 1).otherwise(0)
     rows = rows.select(F.col("x.prefix").alias("gram"), salt.cast("short").alias("salt"), "sig", (F.col("n_shingles") * 2**31 + F.col("pos")).alias("place"))
 
-    # a bucket's rows stand together in one sorted run, which Spark spills when it is long; only those with two classes go on
+    # a bucket's rows stand together in one sorted run, which Spark spills when it is long; only those with two classes go on,
+    # and all of a hot one, as a class that is alone in its part may meet those of other parts
     bucket = Window.partitionBy("gram", "salt")
     shared = rows.withColumns({"lo": F.min("sig").over(bucket), "hi": F.max("sig").over(bucket)}).where((F.col("lo") != F.col("hi")) | F.col("salt").cast("boolean"))
     pos = F.pmod("place", F.lit(2**31))

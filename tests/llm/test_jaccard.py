@@ -66,6 +66,16 @@ def test_one_large_group(spark):
     assert got == brute(rows)
 
 
+def test_hot_grams_lose_no_link(spark):
+    rows = near_copies(7, 60, 12)
+    limit, jaccard.HOT = jaccard.HOT, 1
+    try:
+        got = sorted(map(tuple, jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    finally:
+        jaccard.HOT = limit
+    assert got == brute(rows)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (101, 100)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
