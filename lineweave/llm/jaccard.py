@@ -15,8 +15,8 @@
 4. Verification compares the sets themselves, from the texts.
 
 Edge cases: a null or empty text or one without words has an empty set and is a component of its own; a text of fewer than
-five words is one shingle, its word sequence; repeated rows of one doc_id each have their row; an empty table gives no
-rows; other columns are ignored or, in one_of_each(), kept. Sets are compared by 64-bit hashes of n-grams.
+five words is one shingle, its word sequence; repeated rows of one doc_id each have their row; a row without doc_id links
+like any other and gets the smallest doc_id of its component, null where none has one; an empty table gives no rows; other columns are ignored or, in one_of_each(), kept. Sets are compared by 64-bit hashes of n-grams.
 """
 
 from __future__ import annotations
@@ -169,19 +169,32 @@ def _verified(pairs: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "za", "zb").mapInArrow(tested, "a long, b long")
 
 
+#: Stands for a missing doc_id where a class is tied to one of its texts; sorts last.
+NO_ID = 2**63 - 1
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in batches:
         for k in range(0, len(batch), 500):
             part = batch.slice(k, 500)
+            need = []
+            for at, own in zip(part.column("doc_id").to_pylist(), part.column("own").to_pylist(), strict=True):
+                need.append(at != NO_ID or own not in seen)  # of rows without doc_id, one per text and task
+                if at == NO_ID:
+                    if len(seen) >= 1_000_000:
+                        seen.clear()
+                    seen.add(own)
+            part = part.filter(pa.array(need, pa.bool_()))
             z = [zlib.compress((t or "").encode(), 1) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("own"), pa.array(z, pa.binary())], names=["rep", "own", "z"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("own"), pa.array(z, pa.binary())], names=["at", "own", "z"])
 
 
 def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     signs = common.cut(signed(docs, percent), "jaccard-signed")
     members = signs.select("doc_id", "n_shingles", "sig")
-    classes = signs.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "own")).alias("x")).select("sig", F.col("x.doc_id").alias("rep"), "x.own")
+    classes = signs.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min(F.struct(_known_id().alias("at"), "own")).alias("x")).select("sig", "rep", "x.at", "x.own")
     rows = signs.where("prefix is not null").select("sig", "n_shingles", F.posexplode(F.arrays_zip("prefix", "hot")).alias("pos", "x"))
     salt = F.when(F.col("x.hot"), F.pmod("sig", F.lit(SALTS)) + 1).otherwise(0)
     rows = rows.select(F.col("x.prefix").alias("gram"), salt.cast("short").alias("salt"), "sig", (F.col("n_shingles") * 2**31 + F.col("pos")).alias("place"))
@@ -195,8 +208,8 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = common.cut(shared, "jaccard-shared")
 
     met = shared.select("sig").distinct().join(classes, "sig")
-    packed = _own(docs).mapInArrow(_packed, "rep long, own long, z binary")
-    kept = common.cut(met.join(packed, ["rep", "own"]).groupBy("sig").agg(F.first("z").alias("z")), "jaccard-texts")
+    packed = _own(docs).withColumn("doc_id", _known_id()).mapInArrow(_packed, "at long, own long, z binary")
+    kept = common.cut(met.join(packed, ["at", "own"]).groupBy("sig").agg(F.first("z").alias("z")), "jaccard-texts")
 
     lead = shared.groupBy("gram", "salt").agg(F.min(F.struct("pos", "n", "sig")).alias("lead"))
     near = _lengths_fit(F.col("n"), F.col("lead.n"), percent)
@@ -219,6 +232,10 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return members.join(final, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _known_id():
+    return F.coalesce("doc_id", F.lit(NO_ID))
+
+
 def _lengths_fit(n, m, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 

@@ -76,6 +76,18 @@ def test_hot_grams_lose_no_link(spark):
     assert got == brute(rows)
 
 
+def test_rows_without_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*base[:-1], f"e{k}"])
+    other, lone = " ".join(f"v{i}" for i in range(30)), " ".join(f"u{i}" for i in range(30))
+    rows = [(None, " ".join(base)), (7, " ".join(base)), (5, " ".join(base)), (3, near(1)), (None, near(2)), (None, other), (None, other), (None, other + " x"), (9, other + " y"), (None, lone), (None, lone + " x")]
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
+    want = [(d, 3) for d in (None, 7, 5, 3, None)] + [(d, 9) for d in (None, None, None, 9)] + [(None, None)] * 2
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    kept = jaccard.one_of_each(spark.createDataFrame([x for x in rows if x[0] or x[1] == rows[0][1]], "doc_id long, text string"))
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [3, 9, None]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (101, 100)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
