@@ -18,12 +18,14 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import math
 import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +35,8 @@ from lineweave.llm import common
 MIN_PAGES = 8
 MIN_SHARE = 0.6
 MAX_DEPTH = 64
-#: Cells of a matching beyond which two lists of children are aligned from both ends.
-MAX_CELLS = 40_000
+#: Cells of a matching from which arrays are faster than lists; the result is the same.
+FEW_CELLS = 1_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|[^<]+|<""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -156,39 +158,105 @@ def leaves(node: Node) -> list[Node]:
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Leaf pairs of the simple tree matching of two nodes with one label."""
 
-    def weigh(x: Node, y: Node) -> tuple[int, list[tuple[Node, Node]]]:
+    known: dict[tuple[int, int], int] = {}
+
+    def weigh(x: Node, y: Node) -> int:
         if x.label != y.label:
-            return 0, []
+            return 0
         if not x.children and not y.children:
-            return 1 + (x.text == y.text), [(x, y)] if x.text and y.text else []
-        found = align(x.children, y.children)
-        return 1 + sum(w for w, _ in found), [p for _, pairs in found for p in pairs]
-
-    def align(xs: list[Node], ys: list[Node]) -> list[tuple[int, list]]:
-        n, m = len(xs), len(ys)
-        if n * m > MAX_CELLS:
-            k = next((k for k in range(min(n, m)) if xs[k].label != ys[k].label), min(n, m))
-            j = next((j for j in range(min(n, m) - k) if xs[-1 - j].label != ys[-1 - j].label), min(n, m) - k)
-            return [weigh(x, y) for x, y in [*zip(xs[:k], ys[:k], strict=True), *zip(xs[n - j :], ys[m - j :], strict=True)]]
-        w = [[weigh(x, y) if x.label == y.label else None for y in ys] for x in xs]
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n):
-            for j in range(m):
-                c = w[i][j]
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + c[0] if c else 0)
-        out, i, j = [], n, m
+            return 1 + (x.text == y.text)
+        key = id(x), id(y)
+        if key not in known:
+            w = 1 + align(x.children, y.children, False)[0]
+            if len(known) >= 1_000_000:
+                known.clear()
+            known[key] = w
+        return known[key]
+
+    def plain_after(row: list[int], w: list[int]) -> list[int]:
+        new = [0]
+        for j, v in enumerate(w):
+            new.append(max(new[j], row[j + 1], row[j] + v if v else 0))
+        return new
+
+    def traced(first: int, j: int, ws, best, xs: list[Node], ys: list[Node], out: list) -> int:
+        """Appends the pairs of the rows from `first` on, last ones first, and returns the column that is reached."""
+        i = len(ws)
         while i and j:
-            c = w[i - 1][j - 1]
-            if c and best[i][j] == best[i - 1][j - 1] + c[0]:
-                out.append(c)
+            w = ws[i - 1][j - 1]
+            if w and best[i][j] == best[i - 1][j - 1] + w:
+                out.append((xs[first + i - 1], ys[j - 1]))
                 i, j = i - 1, j - 1
             elif best[i][j] == best[i - 1][j]:
                 i -= 1
             else:
                 j -= 1
-        return out[::-1]
+        return j
+
+    def align(xs: list[Node], ys: list[Node], listed: bool) -> tuple[int, list[tuple[Node, Node]]]:
+        """The largest weight and, if asked for, node pairs. Of n rows of the table about 2 sqrt(n) are held at once."""
+        n, m = len(xs), len(ys)
+        if n * m <= FEW_CELLS and not listed:
+            row = [0] * (m + 1)
+            for x in xs:
+                row = plain_after(row, [weigh(x, y) for y in ys])
+            return row[m], []
+        if n * m <= FEW_CELLS:
+            ws = [[weigh(x, y) for y in ys] for x in xs]
+            best = [[0] * (m + 1)]
+            for w in ws:
+                best.append(plain_after(best[-1], w))
+            out: list[tuple[Node, Node]] = []
+            traced(0, m, ws, best, xs, ys, out)
+            return best[n][m], out[::-1]
+        names: dict = {}
+        number = lambda keys: np.array([names.setdefault(k, len(names)) for k in keys], np.int64)
+        fx, fy = [_chain(x) for x in xs], [_chain(y) for y in ys]
+        (lx, px, tx), (ly, py, ty) = ([number(("l", v.label) for v in nodes), number(("p", f[0]) if f else (side, k) for k, f in enumerate(forms)), number(("t", f[1] if f else None) for f in forms)] for side, forms, nodes in (("x", fx, xs), ("y", fy, ys)))
+
+        def weights(i: int) -> np.ndarray:
+            w = np.where(py == px[i], (len(fx[i][0]) if fx[i] else 0) + (ty == tx[i]), 0)
+            for j in np.flatnonzero((ly == lx[i]) & (py != px[i])).tolist():
+                w[j] = weigh(xs[i], ys[j])
+            return w
+
+        def after(row: np.ndarray, w: np.ndarray) -> np.ndarray:
+            new = row.copy()
+            np.maximum(row[1:], np.where(w > 0, row[:-1] + w, 0), out=new[1:])
+            return np.maximum.accumulate(new)
+
+        step, row = math.isqrt(n) + 1, np.zeros(m + 1, np.int64)
+        held = [row]
+        for i in range(n):
+            row = after(row, weights(i))
+            if listed and (i + 1) % step == 0:
+                held.append(row)
+        out, j = [], m
+        for block in range(len(held) - 1, -1, -1) if listed else ():
+            first, best, ws = block * step, [held[block]], []
+            for i in range(first, min(first + step, n)):
+                ws.append(weights(i))
+                best.append(after(best[-1], ws[-1]))
+            j = traced(first, j, ws, best, xs, ys, out)
+        return int(row[m]), out[::-1]
+
+    def pairs(x: Node, y: Node) -> list[tuple[Node, Node]]:
+        if not x.children and not y.children:
+            return [(x, y)] if x.text and y.text else []
+        return [p for c, d in align(x.children, y.children, True)[1] for p in pairs(c, d)]
+
+    return pairs(a, b) if a.label == b.label else []
+
 
-    return weigh(a, b)[1]
+def _chain(node: Node) -> tuple[tuple[str, ...], str] | None:
+    """Labels and text of a node that has no branches: two with the same labels weigh their number, and one more if texts are equal."""
+    path = [node.label]
+    while node.children:
+        if len(node.children) > 1:
+            return None
+        node = node.children[0]
+        path.append(node.label)
+    return tuple(path), node.text
 
 
 def key_of(leaf: Node) -> int:

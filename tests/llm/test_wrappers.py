@@ -58,6 +58,15 @@ def test_matching_is_largest(a, b):
         assert sum(1 + (x.text == y.text) for x, y in pairs) == brute_match(a, b) - 1
 
 
+def test_long_lists_are_matched_in_full():
+    leaf = lambda t: wrappers.Node("p", children=[wrappers.Node("#text", text=t)])
+    tree = lambda k, n: wrappers.Node("div", children=[*(leaf(f"{k} {i}") for i in range(n)), leaf("constant"), *(leaf(f"{k} end {i}") for i in range(9))])
+    pairs = match(tree("a", 230), tree("b", 350))
+    assert len(pairs) == 240 and [x.text for x, y in pairs if x.text == y.text] == ["constant"]
+    a, b = wrappers.Node("div", children=[wrappers.Node("h2"), *tree("a", 2000).children]), tree("b", 9)
+    assert "constant" in [y.text for x, y in match(a, b) if x.text == y.text]
+
+
 def page(k, constant="Follow us every day"):
     body = "".join(f"<p>story {k} part {i}</p>" for i in range(k % 4 + 1))
     return f"<html><body><div><h1>Head {k}</h1>{body}<p>{constant}</p></div><footer>f</footer></body></html>"
