@@ -6,8 +6,9 @@ under BPE; so the state after a character is the suffix that a longer piece coul
 one could begin, the last piece up to there and the count relative to now. Equal states are one, and transitions are
 compiled when first taken. No piece has a space mark after another character, so a space mark after one (and any character
 outside the vocabulary, counted as its bytes) resets the state: a stretch between resets, a unit, maps every entry state
-to the same exit and adds its own count. Counts of whole texts are a prefix scan over the maps of their units; a unit of
-over CHUNK characters is cut into chunks whose state maps are composed in the same way.
+to the same exit and adds its own count. Only these resets make a prefix scan possible: counts of whole texts are
+cumulative sums over their units. Inside a unit there is no scan: it is walked in order from the one state known, CHUNK
+characters at a time, so a very long text without spaces is one sequential loop.
 
 Space runs: the pieces of several marks have the lowest score, so all others are joined before; a run of r marks before a
 word counts as the word with its own mark, and r - 1 marks, or r if the word leaves its mark alone.
