@@ -26,6 +26,8 @@ def scratch(spark: SparkSession, label: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share; set to a local one only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="spark-lineweave-")
@@ -37,7 +39,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """The same rows from a table written to the shared folder: lineage ends there and no executor holds the only copy."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

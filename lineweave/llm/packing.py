@@ -1,12 +1,14 @@
 """Best-fit packing improved by swap-based local search.
 
-Pieces are dealt evenly into groups of about GROUP_PIECES, each packed by one task: best fit in descending order, then a
-search that takes the emptiest bin and moves its pieces, swaps one of them for a shorter one, or two of them for one,
-wherever that raises the sum of squared fills, until the bin is empty or nothing helps. Only lengths are moved, never ids.
-More rows make more groups, not larger ones; each group costs one underfull bin at most over a single search.
-
-Edge cases: a null or empty text is the end id alone; repeated rows are packed as often as they stand; an empty table
-gives no rows; a text longer than a sequence is cut into full pieces after a first, shorter one; other columns are ignored.
+Pieces are dealt evenly into groups of about GROUP_PIECES, each packed by one task: best fit by size classes, then
+the search. It takes the emptiest bin and moves one of its pieces into another underfull bin, swaps one for a shorter one
+there, or two for one, whatever raises the sum of squared fills most, until the bin is empty; a bin that nothing helps is
+left until one of its partners changes. Only lengths are moved, never ids. More pieces make more groups, not larger ones;
+the emptiest bin of each group is packed again with those of the other groups. Full pieces are sequences of their own.
+
+Edge cases: a null or empty text is the end id alone; repeated rows, and rows of one doc_id with different texts, are packed
+as often as they stand; pieces of one length are interchangeable; an empty table gives no rows; a text longer than a
+sequence, however long, is cut into full pieces after a first, shorter one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,16 +29,15 @@ from lineweave.llm.token_output import END_ID
 
 MAX_TOKENS = 2048
 GROUP_PIECES = 1 << 14
-#: Bins in turn taken as the one to empty, and not emptied, before the search ends.
-PATIENCE = 64
+#: Steps of a group's search, at most so many times its pieces.
+STEPS_PER_PIECE = 4
 
 
 def best_fit(lengths: np.ndarray, cap: int) -> list[list[int]]:
-    """Bins of indices; the longest first, each into the fullest bin that has room."""
+    """Bins of indices: each piece in turn goes into the fullest bin that has room."""
     bins: list[list[int]] = []
     room: list[tuple[int, int]] = []  # (free, bin), sorted
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        size = int(lengths[i])
+    for i, size in enumerate(lengths.tolist()):
         k = bisect.bisect_left(room, (size, -1))
         if k < len(room):
             free, b = room.pop(k)
@@ -49,62 +50,90 @@ def best_fit(lengths: np.ndarray, cap: int) -> list[list[int]]:
     return bins
 
 
-def local_search(lengths: np.ndarray, bins: list[list[int]], cap: int, patience: int = PATIENCE) -> list[list[int]]:
-    """Fewer bins of the same pieces, where moves, swaps of one for one or of two for one find a way."""
+def local_search(lengths: np.ndarray, bins: list[list[int]], cap: int) -> list[list[int]]:
+    """Fewer bins of the same pieces, where moves, swaps of one for one or of two for one find a way.
+
+    What leaves the source for a place with room for x tokens gains most if it is the longest piece or pair of up to x
+    tokens, so one table of the source's sizes finds the best step over all underfull bins and all their pieces.
+    """
+    members = [set(b) for b in bins]
     of = np.zeros(len(lengths), np.int64)
-    for b, members in enumerate(bins):
-        of[members] = b
+    for b, m in enumerate(bins):
+        of[m] = b
     fill = np.bincount(of, weights=lengths, minlength=len(bins)).astype(np.int64)
-    count = np.bincount(of, minlength=len(bins))
-    least, failed = math.ceil(int(lengths.sum()) / cap), set()
-    while (count > 0).sum() > least and len(failed) < patience:
-        open_bins = [b for b in np.flatnonzero((fill < cap) & (count > 0)).tolist() if b not in failed]
-        if len(open_bins) < 1:
+    least, alive, steps = -(-int(lengths.sum()) // cap), len(bins), STEPS_PER_PIECE * len(lengths)
+    failed = np.zeros(len(bins), bool)
+    while alive > least and steps > 0:
+        open_ = (fill > 0) & (fill < cap)
+        sources = np.flatnonzero(open_ & ~failed)
+        if len(sources) < 1:
             break
-        source = min(open_bins, key=lambda b: fill[b])
-        while count[source]:
-            mine = np.flatnonzero(of == source)
-            others = np.flatnonzero((of != source) & (fill[of] < cap))
-            free = cap - fill[of[others]]
-            pairs = [(int(i), int(j)) for a, i in enumerate(mine[:24]) for j in mine[a + 1 : 24]]
-            best = None  # (gain, pieces out, piece back or None, bin)
-            targets = np.flatnonzero((fill < cap) & (count > 0) & (np.arange(len(fill)) != source))
-            for out in [(int(i),) for i in mine] + pairs:
-                size = int(lengths[list(out)].sum())
-                if len(out) == 1 and len(fits := targets[cap - fill[targets] >= size]):
-                    b = int(fits[np.argmax(fill[fits])])
-                    gain = 2 * size * (int(fill[b]) - int(fill[source]) + size)
-                    best = max(best or (0,), (gain, out, None, b), key=lambda x: x[0])
-                delta = size - lengths[others]
-                gains = np.where((delta > 0) & (delta <= free), 2 * delta * (fill[of[others]] - fill[source] + delta), 0)
-                if len(gains) and gains.max() > (best[0] if best else 0):
-                    k = int(np.argmax(gains))
-                    best = (int(gains[k]), out, int(others[k]), int(of[others[k]]))
-            if not best or best[0] <= 0:
-                failed.add(source)
+        source = int(sources[np.argmin(fill[sources])])
+        while fill[source] and steps > 0:
+            steps -= 1
+            own: dict[int, list[int]] = {}
+            for i in members[source]:
+                own.setdefault(int(lengths[i]), []).append(i)
+            one = np.zeros(cap + 1, np.int64)
+            sizes = np.array(sorted(own), np.int64)
+            one[sizes] = sizes
+            two = one.copy()
+            for s in sizes.tolist():
+                with_s = s + (sizes[sizes >= s] if len(own[s]) > 1 else sizes[sizes > s])
+                with_s = with_s[with_s <= cap]
+                two[with_s] = with_s
+            one, two = np.maximum.accumulate(one), np.maximum.accumulate(two)
+            open_ = (fill > 0) & (fill < cap)
+            open_[source] = False
+            targets = np.flatnonzero(open_)
+            others = np.flatnonzero(open_[of])
+            moved = one[cap - fill[targets]]
+            gains = 2 * moved * (fill[targets] - fill[source] + moved)
+            k = int(np.argmax(gains)) if len(gains) else -1
+            gain, size, back, to = (int(gains[k]), int(moved[k]), -1, int(targets[k])) if k >= 0 else (0, 0, -1, -1)
+            there = of[others]
+            delta = two[np.minimum(lengths[others] + cap - fill[there], cap)] - lengths[others]
+            gains = np.where(delta > 0, 2 * delta * (fill[there] - fill[source] + delta), 0)
+            k = int(np.argmax(gains)) if len(gains) else -1
+            if k >= 0 and gains[k] > gain:
+                gain, size, back, to = int(gains[k]), int(delta[k] + lengths[others[k]]), int(others[k]), int(there[k])
+            if gain <= 0:
+                failed[source] = True
                 break
-            _, out, back, b = best
-            failed.discard(b)
+            if size in own and (back < 0 or one[size] == size):
+                out = [own[size][0]]
+            else:
+                s = next(s for s in own if size - s in own and (size - s != s or len(own[s]) > 1))
+                out = [own[s][0], own[size - s][-1]]
             for i in out:
-                of[i], fill[source], fill[b] = b, fill[source] - lengths[i], fill[b] + lengths[i]
-                count[source], count[b] = count[source] - 1, count[b] + 1
-            if back is not None:
-                of[back], fill[source], fill[b] = source, fill[source] + lengths[back], fill[b] - lengths[back]
-                count[source], count[b] = count[source] + 1, count[b] - 1
-    order = np.argsort(of, kind="stable")
-    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(of[order])) + 1)] if len(order) else []
+                members[source].discard(i)
+                members[to].add(i)
+            if back >= 0:
+                members[to].discard(back)
+                members[source].add(back)
+                of[back] = source
+            of[out] = to
+            change = size - (int(lengths[back]) if back >= 0 else 0)
+            fill[source] -= change
+            fill[to] += change
+            failed[to] = False
+        alive -= not fill[source]
+    return [sorted(m) for m in members if m]
+
+
+def by_size_class(lengths: np.ndarray) -> np.ndarray:
+    """Long pieces first, by powers of two, as they stand within one."""
+    return np.argsort(-np.frexp(lengths.astype(np.float64))[1], kind="stable")
 
 
 def pack(lengths: np.ndarray, cap: int = MAX_TOKENS) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each piece; full pieces have bins of their own."""
-    bins = [[i] for i in np.flatnonzero(lengths >= cap).tolist()]
-    small = np.flatnonzero(lengths < cap)
-    if len(small):
-        bins += [small[x].tolist() for x in local_search(lengths[small], best_fit(lengths[small], cap), cap)]
+    """Bin and offset of each piece."""
+    order = by_size_class(lengths)
+    ordered = lengths[order]
     bin_of, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    for b, members in enumerate(bins):
-        sizes = lengths[members]
-        bin_of[members], offset[members] = b, np.cumsum(sizes) - sizes
+    for b, members in enumerate(local_search(ordered, best_fit(ordered, cap), cap)):
+        sizes = ordered[members]
+        bin_of[order[members]], offset[order[members]] = b, np.cumsum(sizes) - sizes
     return bin_of, offset
 
 
@@ -122,23 +151,35 @@ def pieces(docs: DataFrame, *, cap: int = MAX_TOKENS, vocabulary: str = BYTE_BPE
     """The pieces of each whole text, with their checksums and, if asked for, their ids."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary), np.array([END_ID], np.uint32)
+        enc = encoder(vocabulary)
         for batch in batches:
-            col = batch.column("text")
-            _, offs = common.buffers(col)
-            for a, b in common.chunks(offs):
-                rows = []
-                for doc, ids in zip(batch.column("doc_id")[a:b].to_pylist(), enc.encode(col[a:b].to_pylist()), strict=True):
-                    ids = np.concatenate([ids, end]).astype("<u4")
-                    rows += [(doc, p, s, n, zlib.crc32(ids[s : s + n]), *([ids[s : s + n].tolist()] if with_ids else [])) for p, (s, n) in enumerate(cut_pieces(len(ids), cap))]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
+            data, offs = common.buffers(batch.column("text"))
+            for a, b in common.chunks(offs, common.BATCH_BYTES):
+                ids, ends = enc.encode_flat(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], END_ID)
+                ids = ids.astype("<u4")
+                n = np.diff(ends)
+                parts = np.maximum(1, -(-n // cap))
+                row = np.repeat(np.arange(b - a), parts)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                first = n - (parts - 1) * cap  # all pieces but the first are full
+                start = np.where(piece > 0, first[row] + (piece - 1) * cap, 0)
+                length = np.where(piece > 0, cap, first[row])
+                at = ends[row] + start
+                crcs = [zlib.crc32(ids[s:e]) for s, e in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                cols = [batch.column("doc_id")[a:b].take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
+                if with_ids:
+                    cols.append(pa.array([ids[s:e].astype(np.int64) for s, e in zip(at.tolist(), (at + length).tolist(), strict=True)], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
     return common.texts(docs).mapInArrow(made, PIECE + ", ids array<long>" * with_ids)
 
 
-def pack_pieces(found: DataFrame, rows: int, *, cap: int = MAX_TOKENS, group: int = GROUP_PIECES) -> DataFrame:
-    """Adds sequence_id and offset. rows: about how many pieces there are, to choose the number of groups."""
+#: Sequence numbers of the groups' packing, of the second packing and of full pieces begin at multiples of this.
+_RANGE = 1 << 61
+
+
+def _packed_groups(found: DataFrame, rows: int, cap: int, group: int, base: int) -> DataFrame:
+    """Adds sequence_id, offset and whether the sequence is the emptiest of its group, about `group` pieces each."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -146,16 +187,29 @@ def pack_pieces(found: DataFrame, rows: int, *, cap: int = MAX_TOKENS, group: in
         held = [b for b in batches if b.num_rows]
         if held:
             t = pa.Table.from_batches(held).combine_chunks()
-            bin_of, offset = pack(t.column("length").to_numpy(), cap)
-            t = t.append_column("sequence_id", pa.array(bin_of + (TaskContext.get().partitionId() << 32))).append_column("offset", pa.array(offset))
-            yield from t.to_batches()
+            lengths = t.column("length").to_numpy()
+            bin_of, offset = pack(lengths, cap)
+            last = bin_of == np.argmin(np.bincount(bin_of, weights=lengths))
+            for name, x in (("sequence_id", bin_of + (base + (TaskContext.get().partitionId() << 32))), ("offset", offset), ("emptiest", last)):
+                t = t.append_column(name, pa.array(x))
+            yield from t.to_batches(4096)
+
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(max(1, math.ceil(rows / group))).mapInArrow(packed, PACKED + ", emptiest boolean")
+
 
-    return found.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(max(1, math.ceil(rows / group))).mapInArrow(packed, PACKED)
+def pack_pieces(found: DataFrame, *, cap: int = MAX_TOKENS, group: int = GROUP_PIECES) -> DataFrame:
+    """Adds sequence_id and offset to pieces of at most cap tokens. found: a table that is cheap to read more than once."""
+    short = found.where(F.col("length") < cap)
+    once = common.cut(_packed_groups(short, short.count(), cap, group, 0), "packed")
+    rest = once.where("emptiest")
+    again = _packed_groups(rest, rest.count(), cap, group, _RANGE).drop("emptiest")
+    full = found.where(F.col("length") >= cap).select("doc_id", "piece", "start", "length", "ids_crc32", (F.monotonically_increasing_id() + 2 * _RANGE).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return once.where("not emptiest").drop("emptiest").unionByName(again).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, *, cap: int = MAX_TOKENS, vocabulary: str = BYTE_BPE) -> DataFrame:
     """All documents in as few sequences of at most cap tokens as the search finds."""
-    return pack_pieces(pieces(docs, cap=cap, vocabulary=vocabulary), docs.count(), cap=cap)
+    return pack_pieces(common.cut(pieces(docs, cap=cap, vocabulary=vocabulary), "pieces"), cap=cap)
 
 
 def sequences(plan: DataFrame, docs: DataFrame, *, cap: int = MAX_TOKENS, vocabulary: str = BYTE_BPE) -> DataFrame:

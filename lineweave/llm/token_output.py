@@ -7,7 +7,8 @@ decode side by side. An id of over 60 bits is an escape: selector 15, then the i
 the blocks that have any. Zeros that pad the last word of a block are cut by the segment's count.
 
 Edge cases: a null or empty text is the end id alone; documents with equal doc_id are ordered by the hash of their
-texts, and equal rows are interchangeable; an empty table gives an empty file set and no rows; other columns are ignored.
+texts, and equal rows are interchangeable; a very long text is a segment of its own, whatever its length; a null doc_id
+sorts first; an empty table gives an empty file set and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from lineweave.llm.bytebpe import BYTE_BPE, encoder
 
 END_ID = 0
 BLOCK_IDS = 1024
-SEGMENT_IDS = 1 << 16
+SEGMENT_IDS = 1 << 18
 
 #: Ids and bits of a word, by selector 0 to 13.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -117,61 +118,92 @@ def decode_words(words: np.ndarray, block_words: np.ndarray, escaped: list[int],
 
 
 SEGMENT = (
-    "part int, first_doc long, first_tie long, segment int, start_in_part long, n_ids long, doc_ids array<long>, lengths array<long>,"
+    "part int, first_doc long, first_tie long, first_nth long, segment int, start_in_part long, n_ids long, doc_ids array<long>, lengths array<long>,"
     " words binary, block_words binary, escaped array<int>"
 )
 _SEGMENT_ARROW = pa.schema(
-    [("part", pa.int32()), ("first_doc", pa.int64()), ("first_tie", pa.int64()), ("segment", pa.int32()), ("start_in_part", pa.int64()), ("n_ids", pa.int64())]
+    [("part", pa.int32()), ("first_doc", pa.int64()), ("first_tie", pa.int64()), ("first_nth", pa.int64()), ("segment", pa.int32()), ("start_in_part", pa.int64()), ("n_ids", pa.int64())]
     + [("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("words", pa.binary()), ("block_words", pa.binary()), ("escaped", pa.list_(pa.int32()))]
 )
+#: Bytes of a table by written part up to which it is sent to all tasks.
+BROADCAST_BYTES = 16 << 20
+
+
+def encoded(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary: str = BYTE_BPE, end_id: int = END_ID) -> DataFrame:
+    """doc_id, tie, nth and the ids of each whole text with end_id, as little-endian words of `width` bytes; in any order."""
+
+    def ran(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary)
+        for batch in batches:
+            data, offs = common.buffers(batch.column("text"))
+            for a, b in common.chunks(offs, common.BATCH_BYTES):
+                ids, ends = enc.encode_flat(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], end_id)
+                width = 2 if int(ids.max(initial=0)) < 1 << 16 else 4
+                raw = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(ids.astype(f"<u{width}"))])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("tie")[a:b], pa.array(np.full(b - a, width, np.int32)), raw], names=["doc_id", "tie", "width", "ids"])
+
+    rows = common.texts(docs, key, text).withColumn("tie", F.xxhash64("text")).mapInArrow(ran, "doc_id long, tie long, width int, ids binary")
+    return rows.withColumn("nth", F.monotonically_increasing_id())
 
 
 def write_token_files(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", vocabulary: str = BYTE_BPE, end_id: int = END_ID) -> None:
-    """Encodes whole texts, appends end_id to each and writes them in ascending order of key as the files described above."""
+    """Encodes whole texts, appends end_id to each and writes them in ascending order of key as the files described above.
+
+    Ids, not texts, are sorted; they are written first, so that finding the ranges of the sort doesn't encode twice.
+    """
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, number, start, first = encoder(vocabulary), TaskContext.get().partitionId(), 0, 0, None
+        part, number, start, first = TaskContext.get().partitionId(), 0, 0, None
         held: list[np.ndarray] = []
-        names: list[int] = []
+        names: list[int | None] = []
+        sizes: list[np.ndarray] = []
         size = 0
 
         def segment() -> pa.RecordBatch:
-            ids = np.concatenate(held).astype(np.uint64)
+            ids = np.concatenate(held)
             words, block_words, escaped = encode_words(ids)
-            row = [part, *first, number, start, len(ids), names, [len(x) for x in held], words.astype("<u8").tobytes(), block_words.astype("<i4").tobytes(), escaped]
+            row = [part, *first, number, start, len(ids), names, np.concatenate(sizes), words.astype("<u8").tobytes(), block_words.astype("<i4").tobytes(), escaped]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SEGMENT_ARROW, strict=True)], schema=_SEGMENT_ARROW)
 
-        end = np.array([end_id], np.uint32)
         for batch in batches:
-            col = batch.column("text")
-            _, offs = common.buffers(col)
-            for a, b in common.chunks(offs):
-                keys, ties = batch.column("doc_id")[a:b].to_pylist(), batch.column("tie")[a:b].to_pylist()
-                for doc, tie, ids in zip(keys, ties, enc.encode(col[a:b].to_pylist()), strict=True):
-                    first = first or (doc, tie)
-                    names.append(doc)
-                    held.append(np.concatenate([ids, end]))
-                    size += len(ids) + 1
-                    if size >= SEGMENT_IDS:
-                        yield segment()
-                        number, start, held, names, size = number + 1, start + size, [], [], 0
+            if not len(batch):
+                continue
+            first = first or tuple(batch.column(c)[0].as_py() for c in ("doc_id", "tie", "nth"))
+            data, offs = common.buffers(batch.column("ids"))
+            width = batch.column("width").to_numpy()
+            keys = batch.column("doc_id").to_pylist()
+            count = np.diff(offs) // width
+            a = 0
+            while a < len(batch):  # rows up to a change of width or to a full segment
+                b = a + 1 + int(np.argmax(np.append(width[a + 1 :] != width[a], True)))
+                b = min(b, a + 1 + int(np.searchsorted(np.cumsum(count[a:b]), SEGMENT_IDS - size)))
+                held.append(np.frombuffer(data[offs[a] : offs[b]].tobytes(), f"<u{width[a]}").astype(np.uint32))
+                names += keys[a:b]
+                sizes.append(count[a:b])
+                size += int(count[a:b].sum())
+                if size >= SEGMENT_IDS:
+                    yield segment()
+                    number, start, held, names, sizes, size = number + 1, start + size, [], [], [], 0
+                a = b
         if held:
             yield segment()
 
-    rows = common.texts(docs, key, text).withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ordered.mapInArrow(coded, SEGMENT).write.option("compression", "zstd").parquet(path)
+    rows = common.cut(encoded(docs, key=key, text=text, vocabulary=vocabulary, end_id=end_id), "token-ids")
+    order = ("doc_id", "tie", "nth")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(coded, SEGMENT).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Segments with `start`, the number of all ids before them. Only one row per written part is summed up in one place."""
     files = spark.read.schema(SEGMENT).parquet(path)
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"), F.min("first_doc").alias("first_doc"), F.min("first_tie").alias("first_tie"))
-    order = Window.orderBy("first_doc", "first_tie", "part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = parts.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("part_start"))
-    return files.join(F.broadcast(begins), "part").withColumn("start", F.col("part_start") + F.col("start_in_part"))  # a row per part
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"), F.min(F.struct("first_doc", "first_tie", "first_nth")).alias("first"))
+    order = Window.orderBy("first", "part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = common.cut(parts.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("part_start")), "token-parts")
+    if begins.count() * 12 <= BROADCAST_BYTES:  # a row of an int and a long per part
+        begins = F.broadcast(begins)
+    return files.join(begins, "part").withColumn("start", F.col("part_start") + F.col("start_in_part"))
 
 
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"

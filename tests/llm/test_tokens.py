@@ -70,11 +70,82 @@ def test_packing(spark, docs):
     assert sum(len(r.ids) for r in made) == sum(r.length for r in rows)
 
 
-@settings(max_examples=40, deadline=None)
+def best_known(sizes, cap):
+    """The fewest bins, by trying every placement."""
+    best = len(sizes)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for r in {r for r in rooms if r >= sizes[i]}:
+            k = rooms.index(r)
+            place(i + 1, [*rooms[:k], r - sizes[i], *rooms[k + 1 :]])
+        place(i + 1, [*rooms, cap - sizes[i]])
+
+    sizes = sorted(sizes, reverse=True)
+    place(0, [])
+    return best
+
+
+def searched(x, cap):
+    first = packing.best_fit(x, cap)
+    then = packing.local_search(x, first, cap)
+    assert sorted(i for b in then for i in b) == list(range(len(x)))
+    assert all(x[b].sum() <= cap for b in then) and len(then) <= len(first)
+    assert sum(int(x[b].sum()) ** 2 for b in then) >= sum(int(x[b].sum()) ** 2 for b in first)
+    return len(first), len(then)
+
+
+@settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=60))
 def test_local_search_never_worse(sizes):
-    x = np.array(sizes)
-    first = packing.best_fit(x, 100)
-    then = packing.local_search(x, first, 100)
-    assert sorted(i for b in then for i in b) == list(range(len(x)))
-    assert all(x[b].sum() <= 100 for b in then) and len(then) <= len(first)
+    searched(np.array(sizes), 100)
+
+
+def test_local_search_gains_and_nears_the_optimum():
+    rng = np.random.default_rng(3)
+    over = 0
+    for _ in range(40):
+        x = rng.integers(20, 70, 9)
+        over += searched(x, 100)[1] - best_known(x.tolist(), 100)
+    assert over <= 3
+    for low, high in ((300, 800), (600, 1400)):
+        x = rng.integers(low, high, 2000)
+        x = x[packing.by_size_class(x)]
+        first, then = searched(x, 2048)
+        descending = len(packing.best_fit(-np.sort(-x), 2048))
+        assert then < first and then <= descending
+
+
+def test_packing_in_groups(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(rng.integers(1, 900, 3000))] + [(7, 1, 0, 2048, 1), (7, 1, 0, 2048, 1), (None, 0, 0, 5, 1)]
+    found = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack_pieces(found, group=256).collect()
+    assert sorted((r.doc_id or -1, r.length) for r in out) == sorted((r[0] or -1, r[3]) for r in rows)
+    seqs = {}
+    for r in out:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for members in seqs.values():
+        assert [o for o, _ in sorted(members)] == np.cumsum([0, *[n for _, n in sorted(members)]]).tolist()[:-1]
+        assert sum(n for _, n in members) <= 2048
+    least = -(-sum(r[3] for r in rows) // 2048)
+    assert len(seqs) <= 1.02 * least
+
+
+def test_two_texts_of_one_id_and_repeated_rows(spark):
+    rows = [(4, "two of one id"), (4, "another text"), (2, "same"), (2, "same"), (None, "no id"), (3, "very long " * 60_000)]
+    docs = spark.createDataFrame([(*r, b"x") for r in rows], "doc_id long, text string, ids binary")
+    t = truth()
+    lengths = lambda d: sorted(len(t.encode(x, add_special_tokens=False).ids) + 1 for k, x in rows if k == d)
+    got = token_output.token_file_digests(docs).collect()
+    for d in (None, 2, 3, 4):
+        assert sorted(r.n_tokens for r in got if r.doc_id == d) == lengths(d)
+    places = sorted((r.start, r.n_tokens, -1 if r.doc_id is None else r.doc_id) for r in got)
+    assert [p[0] for p in places] == np.cumsum([0, *[p[1] for p in places]]).tolist()[:-1] and [p[2] for p in places] == [-1, 2, 2, 3, 4, 4]
+    packed = packing.pack_documents(docs).collect()
+    assert sum(r.length for r in packed) == sum(p[1] for p in places)
