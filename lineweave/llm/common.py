@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
@@ -16,6 +16,8 @@ CHUNK_BYTES = 1 << 20
 
 
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Parts of a key whose first rows are ranked apart.
+PARTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +64,17 @@ def sum_vectors(parts: DataFrame, width: int) -> np.ndarray:
     return np.concatenate([rows.get(k, np.zeros(step, np.int64)) for k in range(-(-width // step))])[:width]
 
 
+def smallest(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
+    """The `most` rows of each key that come first in order.
+
+    Each of PARTS parts of a key sends on its own first ones, so that a task ranks at most PARTS x most rows of a hot key.
+    """
+    columns, part = rows.columns, F.pmod(F.xxhash64(*order), F.lit(PARTS))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    first = rows.withColumn("_part", part).withColumn("_rank", rank(key, "_part")).where(F.col("_rank") <= most)
+    return first.withColumn("_rank", rank(key)).where(F.col("_rank") <= most).select(*columns)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Batches between Spark and Python of at most so many rows and bytes, so that tasks need little memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):

@@ -1,20 +1,22 @@
 """Benchmark decontamination by a broadcast hash set of test n-grams.
 
-Words are runs of a-z (A-Z lowered), 0-9 and characters over U+007F. Every run of WINDOW words of an item is a window; a
-shorter item with words is one window. Texts are scanned by rolling hashes of windows; a window whose hash is in the set is
-compared word for word before it counts. The index of one block of items is broadcast: blocks hold about BLOCK_BYTES of
-item text, so what is broadcast at once doesn't grow with the benchmark; more items make more passes.
+1. Words are runs of a-z (A-Z lowered), 0-9 and characters over U+007F. Every run of WINDOW words of an item is a window; a
+   shorter item with words is one window. Windows are written as a table with their words.
+2. What is broadcast is the set of the windows' 64-bit hashes, 8 bytes each, if that is no more than SET_BYTES; beyond, a
+   bit map of MAP_BITS bits with two bits per window, which lets some more windows through. Its size never depends on more.
+3. One scan of the texts by rolling hashes gives a row per document, with the windows in the set and their words, if any.
+4. Only those few are joined with the table of windows, by hash and words, so every hit is compared word for word.
+5. Documents are marked, or removed, or the union of their hit windows is cut from them.
 
 Edge cases: a null or empty text has no words and isn't contaminated; an item that has no words or no id is ignored;
-repeated items count once, repeated documents each have their row; empty tables give no hits or no rows; other columns of
-the documents are kept by contaminated_removed() and spans_removed() and ignored by scan().
+repeated items count once, repeated documents each have their row; a very long text is scanned whole like any other; empty
+tables give no hits or no rows; other columns of the documents are kept by contaminated_removed() and spans_removed() and
+ignored by scan().
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,10 @@ from pyspark.sql import functions as F
 from lineweave.llm import common
 
 WINDOW = 13
-BLOCK_BYTES = 4 << 20
+SET_BYTES = 64 << 20
+MAP_BITS = 30
+#: Bytes of a table up to which it is sent to all tasks.
+BROADCAST_BYTES = 16 << 20
 #: A document is contaminated if at least one word in so many is hit.
 ONE_IN = 20
 
@@ -32,119 +37,147 @@ WORD_BYTES = np.zeros(256, bool)
 WORD_BYTES[0x30:0x3A] = WORD_BYTES[0x61:0x7B] = WORD_BYTES[0x80:] = True
 
 
-@dataclass
-class Windows:
-    """The windows of k words of a block of items, sorted by hash."""
-
-    k: int
-    hashes: np.ndarray
-    seen: np.ndarray  # by the top 20 bits of a hash
-    item: np.ndarray
-    start: np.ndarray
-    end: np.ndarray
-
-
-@dataclass
-class Index:
-    ids: list[int]
-    text: bytes  # words with one space between
-    windows: list[Windows]
-
-
-def index_of(items: list[tuple[int, str]], window: int = WINDOW) -> Index:
-    ids, parts, lengths = [], [], []
-    for item, text in items:
-        data = common.lowered(np.frombuffer((text or "").encode(), np.uint8))
-        starts, ends, _ = common.words(data, np.array([0, len(data)]), WORD_BYTES)
-        if item is not None and len(starts):
-            ids.append(item)
-            parts.append(b" ".join(data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)))
-            lengths.append(len(starts))
-    text = b"\n".join(parts)
-    data = np.frombuffer(text, np.uint8)
-    offs = np.cumsum([0] + [len(p) + 1 for p in parts])
-    offs[-1] = len(data)
-    starts, ends, row = common.words(data, offs, WORD_BYTES)
-    word_hash = common.run_hashes(data, starts, ends)
-    n, out = np.array(lengths), []
-    for k in sorted({min(window, x) for x in lengths}):
-        h = common.window_hashes(word_hash, k)
-        at = np.flatnonzero((row[: len(h)] == row[k - 1 :]) & (((n == k) | (k == window))[row[: len(h)]]))
-        at = at[np.argsort(h[at], kind="stable")]
-        seen = np.zeros(1 << 20, bool)
-        seen[h[at] >> np.uint64(44)] = True
-        out.append(Windows(k, h[at], seen, row[at].astype(np.int32), starts[at].astype(np.int32), ends[at + k - 1].astype(np.int32)))
-    return Index(ids, text, out)
-
-
-def hits_in(data: np.ndarray, offs: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, dict[int, set[int]], tuple]:
-    """Words of each row, which of all words are hit, the items found in each row, and the words' starts, ends and rows."""
+class HashSet:
+    """The hashes of windows of k words: sorted, with a table of their top bits to look at first."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.unique(hashes)
+        self.bits = min(26, max(16, int(len(self.hashes)).bit_length() + 6))
+        self.seen: np.ndarray | None = None
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        top = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        if self.seen is None:
+            self.seen = np.zeros(1 << self.bits, bool)
+            self.seen[(self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        out = self.seen[top]
+        at = np.flatnonzero(out)
+        if len(at):
+            near = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            out[at] = self.hashes[near] == h[at]
+        return out
+
+
+class BitMap:
+    """Two bits for each hash, of a fixed number: it has all hashes that were put in, and some others."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits = bits
+        self.map = np.zeros(1 << max(0, bits - 3), np.uint8)
+
+    def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64), (common.mixed(h) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def add(self, h: np.ndarray) -> None:
+        for x in self._places(h):
+            np.bitwise_or.at(self.map, x >> 3, (1 << (x & 7)).astype(np.uint8))
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        x, y = self._places(h)
+        return ((self.map[x >> 3] >> (x & 7).astype(np.uint8)) & (self.map[y >> 3] >> (y & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _said(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lowered bytes of texts, and of their words starts, ends, rows and hashes."""
     data = common.lowered(data)
     starts, ends, row = common.words(data, offs, WORD_BYTES)
-    word_hash = common.run_hashes(data, starts, ends)
-    marks, items = np.zeros(len(starts) + 1, np.int64), {}
-    for w in index.windows:
-        h = common.window_hashes(word_hash, w.k)
-        at = np.flatnonzero((row[: len(h)] == row[w.k - 1 :]) & w.seen[h >> np.uint64(44)]) if len(h) else np.zeros(0, np.int64)
-        lo, hi = np.searchsorted(w.hashes, h[at], side="left"), np.searchsorted(w.hashes, h[at], side="right")
-        for i, a, b in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
-            said = b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(i, i + w.k))
-            found = {index.ids[w.item[x]] for x in range(a, b) if index.text[w.start[x] : w.end[x]] == said}
-            if found:
-                marks[i] += 1
-                marks[i + w.k] -= 1
-                items.setdefault(int(row[i]), set()).update(found)
-    return np.bincount(row, minlength=len(offs) - 1), np.cumsum(marks[:-1]) > 0, items, (starts, ends, row)
+    return data, starts, ends, row, common.run_hashes(data, starts, ends)
 
 
-FOUND = "n_words long, runs array<struct<first:long,last:long>>, items array<long>"
+WINDOWS = "k int, h long, words string, item long"
 
 
-def _pass(df: DataFrame, broadcast) -> DataFrame:
-    """Adds one block's hits to _words, _runs (first and last word of each hit run) and _items of a table with _text."""
-    names, kinds = df.columns, df.schema
+def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The distinct windows of the items: number of words, hash, words with one space between, and the item's id."""
 
-    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = broadcast.value
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = common.buffers(batch.column("_text"))
-            n_words, runs, items = [], [], []
+            data, offs = common.buffers(batch.column("text"))
             for a, b in common.chunks(offs):
-                n, hit, found, (_, _, row) = hits_in(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], index)
-                n_words += n.tolist()
-                begin = np.cumsum(n) - n
-                old_runs, old_items = batch.column("_runs")[a:b].to_pylist(), batch.column("_items")[a:b].to_pylist()
-                for r in range(b - a):
-                    if r in found:
-                        own = hit[begin[r] : begin[r] + n[r]].copy()
-                        for x in old_runs[r] or ():
-                            own[x["first"] : x["last"] + 1] = True
-                        edge = np.diff(np.concatenate([[False], own, [False]]).astype(np.int8))
-                        runs.append([{"first": f, "last": e - 1} for f, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)])
-                        items.append(sorted({*(old_items[r] or ()), *found[r]}))
-                    else:
-                        runs.append(old_runs[r] or [])
-                        items.append(old_items[r] or [])
-            new = {"_words": pa.array(n_words, pa.int64()), "_runs": pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), "_items": pa.array(items, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
-
-    return df.mapInArrow(scanned, kinds)
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", carry: list[Column] | None = None, block_bytes: int = BLOCK_BYTES, window: int = WINDOW) -> DataFrame:
-    """A row per document: doc_id, carried columns, n_words, runs of hit words, and the ids of the items found."""
-    common.small_batches(docs.sparkSession)
+                raw, starts, ends, row, word = _said(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                n = np.bincount(row, minlength=b - a)
+                for k in sorted({min(window, x) for x in n.tolist() if x}):
+                    h = common.window_hashes(word, k)
+                    at = np.flatnonzero((row[: len(h)] == row[k - 1 :]) & ((n == k) | (k == window))[row[: len(h)]])
+                    said = [b" ".join(raw[starts[j] : ends[j]].tobytes() for j in range(i, i + k)).decode() for i in at.tolist()]
+                    item = batch.column("doc_id")[a:b].take(pa.array(row[at]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(h[at].view(np.int64)), pa.array(said, pa.string()), item], names=["k", "h", "words", "item"])
+
+    return common.texts(benchmark, "item_id").where("doc_id is not null").mapInArrow(made, WINDOWS).distinct()
+
+
+def _hash_sets(windows: DataFrame, set_bytes: int, map_bits: int) -> dict[int, HashSet | BitMap]:
+    """What is broadcast, by words of a window."""
+    distinct = windows.select("k", "h").distinct()
+    n = distinct.count()
+    parts = max(1, -(-8 * n // set_bytes))
+    small = parts == 1
+    out: dict[int, HashSet | BitMap] = {}
+    for p in range(parts):  # set_bytes of hashes come to the driver at a time
+        own = distinct.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == p).toArrow()
+        k, h = own.column("k").to_numpy(), own.column("h").to_numpy().view(np.uint64)
+        for words in np.unique(k).tolist():
+            mine = h[k == words]
+            if small:
+                out[words] = HashSet(mine)
+            else:
+                out.setdefault(words, BitMap(map_bits)).add(mine)
+    return out
+
+
+SCANNED = "doc_id long, n_words long, hits array<struct<k:int,at:long,h:long,words:string>>"
+_HITS = pa.list_(pa.struct([("k", pa.int32()), ("at", pa.int64()), ("h", pa.int64()), ("words", pa.string())]))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", set_bytes: int = SET_BYTES, map_bits: int = MAP_BITS, window: int = WINDOW) -> DataFrame:
+    """A row per document: doc_id, two hashes of its text, n_words, runs of hit words (first and last), and the items found."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null")
-    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) / block_bytes))
-    empty = F.lit(None).cast("array<struct<first:long,last:long>>").alias("_runs"), F.lit(None).cast("array<long>").alias("_items")
-    df = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"), *(carry or []), F.lit(0).cast("long").alias("_words"), *empty)
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else items
-        index = spark.sparkContext.broadcast(index_of([tuple(r) for r in own.distinct().collect()], window))  # block_bytes of text
-        df = _pass(df if b == 0 else common.cut(df, "decontaminate"), index)
-    rest = [c for c in df.columns if c not in ("_id", "_text", "_words", "_runs", "_items")]
-    return df.select(F.col("_id").alias("doc_id"), *rest, F.col("_words").alias("n_words"), F.col("_runs").alias("runs"), F.col("_items").alias("items"))
+    windows = common.cut(windows_of(benchmark, window), "benchmark-windows")
+    sets = spark.sparkContext.broadcast(_hash_sets(windows, set_bytes, map_bits))
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = common.buffers(batch.column("text"))
+            for a, b in common.chunks(offs):
+                raw, starts, ends, row, word = _said(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                n = np.bincount(row, minlength=b - a)
+                before = np.cumsum(n) - n
+                hits: list[list[dict]] = [[] for _ in range(b - a)]
+                for k, known in sets.value.items():
+                    h = common.window_hashes(word, k)
+                    if len(h):
+                        for i in np.flatnonzero((row[: len(h)] == row[k - 1 :]) & known.has(h)).tolist():
+                            said = b" ".join(raw[starts[j] : ends[j]].tobytes() for j in range(i, i + k)).decode()
+                            hits[row[i]].append({"k": k, "at": i - int(before[row[i]]), "h": int(h[i : i + 1].view(np.int64)[0]), "words": said})
+                cols = [batch.column("doc_id")[a:b], pa.array(n.astype(np.int64)), pa.array(hits, _HITS), batch.column("x")[a:b], batch.column("y")[a:b]]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "hits", "x", "y"])
+
+    rows = common.texts(docs, key, text).withColumns({"x": F.xxhash64("text"), "y": F.xxhash64(F.lit(1), "text")})
+    found = common.cut(rows.mapInArrow(scanned, SCANNED + ", x long, y long").withColumn("nth", F.monotonically_increasing_id()), "decontaminate")
+    some = found.where(F.size("hits") > 0)
+    each = some.select("nth", F.inline("hits"))
+    told = windows.groupBy("k", "h", "words").agg(F.collect_set("item").alias("of"))  # a window stands in few items, however many documents have it
+    if (windows.agg(F.sum(F.length("words") + 20)).first()[0] or 0) <= BROADCAST_BYTES:
+        told = F.broadcast(told)
+    real = each.join(told, ["k", "h", "words"]).groupBy("nth").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("at").alias("first"), (F.col("at") + F.col("k") - 1).alias("last")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("of")))).alias("items")
+    )
+    none = F.lit(None).cast("array<struct<first:long,last:long>>"), F.lit(None).cast("array<long>")
+    both = some.join(real, "nth", "left").select("doc_id", "x", "y", "n_words", "spans", "items")
+    both = both.unionByName(found.where(F.size("hits") == 0).select("doc_id", "x", "y", "n_words", none[0].alias("spans"), none[1].alias("items")))
+    return both.select("doc_id", "x", "y", "n_words", _runs("spans").alias("runs"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
+
+
+def _runs(spans: str) -> Column:
+    """Sorted spans with those that meet or overlap made one."""
+    start = F.array().cast("array<struct<first:long,last:long>>")
+
+    def joined(acc: Column, s: Column) -> Column:
+        end = F.element_at(acc, -1)
+        wider = F.struct(end["first"].alias("first"), F.greatest(end["last"], s["last"]).alias("last"))
+        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["last"] + 1 >= s["first"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.coalesce(F.aggregate(spans, start, joined), start)
 
 
 def n_hit(runs: str = "runs") -> Column:
@@ -163,10 +196,21 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _with_texts(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """The documents joined with rows on texts, told by two hashes; these are sent along if they are small."""
+    x, y = ("_x" + "_" * len(max(docs.columns, key=len)), "_y" + "_" * len(max(docs.columns, key=len)))
+    told = common.cut(found.withColumnsRenamed({"x": x, "y": y}), "texts-found")
+    if (told.agg(F.count(F.lit(1)) * 64 + (F.coalesce(F.sum(16 * F.size("runs")), F.lit(0)) if "runs" in told.columns else 0)).first()[0] or 0) <= BROADCAST_BYTES:
+        told = F.broadcast(told)
+    text = F.col("text").cast("string")
+    return docs.withColumns({x: F.xxhash64(text), y: F.xxhash64(F.lit(1), text)}).join(told, [x, y], how)
+
+
 def contaminated_removed(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that aren't contaminated."""
-    found = scan(docs, benchmark, carry=[F.struct(*docs.columns).alias("_row")])
-    return found.where(~is_contaminated(n_hit(), F.col("n_words"))).select("_row.*")
+    found = scan(docs, benchmark)
+    gone = found.where(is_contaminated(n_hit(), F.col("n_words"))).select("x", "y").distinct()
+    return _with_texts(docs, gone, "left_anti").select(*docs.columns)
 
 
 def spans_removed(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -186,6 +230,9 @@ def spans_removed(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(out, pa.string())], schema=pa.schema([batch.schema.field("_row"), ("_cut", pa.string())]))
 
-    found = scan(docs, benchmark, carry=[F.struct(*docs.columns).alias("_row")]).select("_row", F.col("_row.text").alias("text"), "runs")
-    done = found.mapInArrow(cut, found.select("_row", F.col("text").alias("_cut")).schema)
+    hit = scan(docs, benchmark).where(F.size("runs") > 0).select("x", "y", "runs").dropDuplicates(["x", "y"])
+    common.small_batches(docs.sparkSession)
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
+    rows = _with_texts(own, hit, "left").select("_row", "text", "runs")
+    done = rows.mapInArrow(cut, rows.select("_row", F.col("text").alias("_cut")).schema)
     return done.select(*[F.col("_cut").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -12,11 +12,16 @@
    at least, and the number of such ranges bounds the symmetric difference from below, whatever the sets' sizes. Pairs inside a component can't change it and
    are not listed, so a group of near copies costs about a pair per member and not their square; no link that joins two
    components is lost.
-4. Verification compares the sets themselves, from the texts.
+4. A bucket with many pairs left is split by a second n-gram: prefixes one longer share two n-grams if sets link, so classes
+   of such a bucket meet only where they also share a later one. What is still large is cut into square blocks of pairs
+   (both sides dealt), so that no task has more than about BLOCK_PAIRS of them.
+5. Verification compares the sets themselves, from the texts.
 
 Edge cases: a null or empty text or one without words has an empty set and is a component of its own; a text of fewer than
-five words is one shingle, its word sequence; repeated rows of one doc_id each have their row; a row without doc_id links
-like any other and gets the smallest doc_id of its component, null where none has one; an empty table gives no rows; other columns are ignored or, in one_of_each(), kept. Sets are compared by 64-bit hashes of n-grams.
+five words is one shingle, its word sequence; repeated rows of one doc_id, and rows of one doc_id with different texts, each
+have their row; a row without doc_id links like any other and gets the smallest doc_id of its component, null where none has
+one; a very long text is one set like any other; an empty table gives no rows; other columns are ignored or, in
+one_of_each(), kept. Sets are told apart by two 64-bit digests, n-grams inside them by one.
 """
 
 from __future__ import annotations
@@ -41,8 +46,11 @@ SKETCH = 1 << 18
 SKETCH_ROW = 1 << 12
 #: Hash ranges of a set whose counts, odd or even, are kept for the suffix filter: 64 to a word.
 PARITY_WORDS = 4
-#: Documents, by the sketch, from which a bucket's leaders are sought in SALTS parts, numbered from 1; part 0 is a whole bucket.
+#: An n-gram is hot if its cell has so many sets more than twice the cells' mean; its rows are then looked at in SALTS parts,
+#: numbered from 1, while part 0 is a whole bucket.
 HOT, SALTS = 1 << 16, 64
+#: Pairs of a bucket from which it is split by a second n-gram, and pairs of a block.
+SPLIT_PAIRS, BLOCK_PAIRS = 1 << 14, 1 << 22
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -93,12 +101,13 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     return common.sum_vectors(common.texts(docs).mapInArrow(_counted, "k int, cells binary"), SKETCH)
 
 
-SIGNED = "doc_id long, own long, n_shingles long, sig long, prefix array<long>, hot array<boolean>, parity array<long>"
+SIGNED = "doc_id long, own long, n_shingles long, sig long, proof long, prefix array<long>, hot array<boolean>, parity array<long>"
 
 
-def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Each document's set size, the signature of its set, and, from the first copy that a task meets, its prefix."""
-    sketch, hot_from = docs.sparkSession.sparkContext.broadcast(frequencies(docs)), HOT
+def signed(docs: DataFrame, percent: int = PERCENT, *, hot: int = HOT) -> DataFrame:
+    """Each document's set size, the signature of its set with a second one, its proof, and, from the first copy that a task meets, its prefix and the n-gram after it."""
+    counts = frequencies(docs)
+    sketch, hot_from = docs.sparkSession.sparkContext.broadcast(counts), 2 * counts.mean() + hot
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = sketch.value, set()
@@ -107,21 +116,22 @@ def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             for a, b in common.chunks(offs):
                 h, at = shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 df = count[(h % np.uint64(SKETCH)).astype(np.int64)]
-                n, sigs, prefixes, hots, parities = np.diff(at), [], [], [], []
+                n, sigs, proofs, prefixes, hots, parities = np.diff(at), [], [], [], [], []
                 for r in range(b - a):
                     own = h[at[r] : at[r + 1]]
-                    sig = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) if len(own) else None
-                    sigs.append(sig)
-                    if sig is None or sig in seen:
+                    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+                    sigs.append(int.from_bytes(digest[:8], "little", signed=True) if digest else None)
+                    proofs.append(int.from_bytes(digest[8:], "little", signed=True) if digest else None)
+                    if digest is None or digest in seen:
                         prefixes.append(None)
                         hots.append(None)
                         parities.append(None)
                         continue
                     if len(seen) >= 1_000_000:
                         seen.clear()
-                    seen.add(sig)
+                    seen.add(digest)
                     d = df[at[r] : at[r + 1]]
-                    p = _prefix_length(len(own), percent)
+                    p = _prefix_length(len(own), percent) + 1  # with one n-gram more, for the second level
                     if p < len(own):
                         near = np.flatnonzero(d <= np.partition(d, p - 1)[p - 1])  # ties at the p-th stay until hashes part them
                         first = near[np.lexsort((own[near], d[near]))][:p]
@@ -131,12 +141,24 @@ def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     hots.append(d[first] >= hot_from)
                     odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
                     parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-                cols = [batch.column("doc_id")[a:b], batch.column("own")[a:b], pa.array(n.astype(np.int64)), pa.array(sigs, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(hots, pa.list_(pa.bool_())), pa.array(parities, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "own", "n_shingles", "sig", "prefix", "hot", "parity"])
+                cols = [batch.column("doc_id")[a:b], batch.column("own")[a:b], pa.array(n.astype(np.int64)), pa.array(sigs, pa.int64()), pa.array(proofs, pa.int64())]
+                cols += [pa.array(prefixes, pa.list_(pa.int64())), pa.array(hots, pa.list_(pa.bool_())), pa.array(parities, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "own", "n_shingles", "sig", "proof", "prefix", "hot", "parity"])
 
     return _own(docs).mapInArrow(made, SIGNED)
 
 
+def told_apart(signs: DataFrame) -> DataFrame:
+    """The rows with a new sig wherever sets of one sig have different proofs; commonly there are none, and nothing is joined."""
+    while True:
+        both = signs.where("sig is not null").groupBy("sig").agg(F.min("proof").alias("lo"), F.max("proof").alias("hi")).where("lo <> hi")
+        both = common.cut(both.select("sig", "lo"), "jaccard-collisions")
+        if both.isEmpty():
+            return signs
+        new = F.when(F.col("lo").isNotNull() & (F.col("proof") != F.col("lo")), F.xxhash64("sig", "proof")).otherwise(F.col("sig"))
+        signs = common.cut(signs.join(both, "sig", "left").select(*[new.alias(c) if c == "sig" else c for c in signs.columns]), "jaccard-signed")
+
+
 def _own(docs: DataFrame) -> DataFrame:
     """own tells rows of one doc_id apart by their texts."""
     return common.texts(docs).withColumn("own", F.xxhash64("text"))
@@ -190,12 +212,13 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("own"), pa.array(z, pa.binary())], names=["at", "own", "z"])
 
 
-def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
-    signs = common.cut(signed(docs, percent), "jaccard-signed")
-    members = signs.select("doc_id", "n_shingles", "sig")
-    classes = signs.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min(F.struct(_known_id().alias("at"), "own")).alias("x")).select("sig", "rep", "x.at", "x.own")
-    rows = signs.where("prefix is not null").select("sig", "n_shingles", F.posexplode(F.arrays_zip("prefix", "hot")).alias("pos", "x"))
+def _linked(docs: DataFrame, percent: int, hot: int, split: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """A row per document with its set's sig, and the component of each sig, named by a sig of it."""
+    signs = told_apart(common.cut(signed(docs, percent, hot=hot), "jaccard-signed"))
+    classes = signs.where("sig is not null").groupBy("sig").agg(F.min(F.struct(_known_id().alias("at"), "own")).alias("x")).select("sig", "x.at", "x.own")
+    # a set of one n-gram links with its copies only, which are of its class; so does any set with one row
+    one = signs.where("prefix is not null and n_shingles > 1").select("sig", "n_shingles", F.posexplode(F.arrays_zip("prefix", "hot")).alias("pos", "x"))
+    rows = one.where(F.col("pos") < F.col("n_shingles") - F.ceil(percent * F.col("n_shingles") / 100 - 1e-9) + 1)
     salt = F.when(F.col("x.hot"), F.pmod("sig", F.lit(SALTS)) + 1).otherwise(0)
     rows = rows.select(F.col("x.prefix").alias("gram"), salt.cast("short").alias("salt"), "sig", (F.col("n_shingles") * 2**31 + F.col("pos")).alias("place"))
 
@@ -216,20 +239,33 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = shared.join(lead, ["gram", "salt"]).where((F.col("sig") != F.col("lead.sig")) & near)
     first = first.groupBy("sig").agg(F.min(F.struct((F.col("pos") + F.col("lead.pos")).alias("d"), F.col("lead.sig").alias("other"))).alias("x"))
     pairs = first.select(F.least("sig", "x.other").alias("a"), F.greatest("sig", "x.other").alias("b")).distinct()
-    links = common.cut(_verified(pairs, kept, percent), "jaccard-links")
-    comps = components(links, "a", "b")
-
-    again = common.cut(_verified(_to_leaders(shared, lead, comps, signs, percent), kept, percent), "jaccard-links")
-    links = links.unionByName(again)
-    comps = components(links, "a", "b")
-
-    more = common.cut(_verified(_between(shared, comps, signs, percent), kept, percent), "jaccard-links")
-    comps = components(links.unionByName(more), "a", "b")
-
+    comps = common.cut(components(common.cut(_verified(pairs, kept, percent), "jaccard-links"), "a", "b"), "jaccard-components")
+    comps = _widened(comps, _verified(_to_leaders(shared, lead, comps, signs, percent), kept, percent))
+    comps = _widened(comps, _verified(_between(shared, comps, signs, percent, split, block), kept, percent))
+    return signs.select("doc_id", "own", "n_shingles", "sig"), comps
+
+
+def _widened(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with further links, followed between the components that there are."""
+    found = common.cut(links, "jaccard-links")
+    if found.isEmpty():
+        return comps
+    end = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    over = found.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y"))
+    tops = common.cut(components(over, "x", "y"), "jaccard-tops")
+    old = comps.join(tops.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    # a node that was in no component until now is among the tops
+    return common.cut(old.unionByName(tops).groupBy("node").agg(F.min("component").alias("component")), "jaccard-components")
+
+
+def joined(docs: DataFrame, percent: int = PERCENT, *, hot: int = HOT, split: int = SPLIT_PAIRS, block: int = BLOCK_PAIRS) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    rows, comps = _linked(docs, percent, hot, split, block)
+    classes = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     named = classes.join(comps, classes["sig"] == comps["node"], "left").select("sig", "rep", F.coalesce("component", "sig").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     final = named.join(least, "component").select("sig", "component_id")
-    return members.join(final, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "n_shingles", "sig").join(final, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _known_id():
@@ -266,27 +302,52 @@ def _to_leaders(shared: DataFrame, lead: DataFrame, comps: DataFrame, signs: Dat
     return pairs.join(_parities(signs, "a", "p"), "a").join(_parities(signs, "b", "q"), "b").where(_apart("p", "q") <= F.col("most")).select("a", "b")
 
 
-def _between(shared: DataFrame, comps: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+def _open(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of buckets with classes of two components or more: whether each is of the bucket's largest, and the pairs across."""
+    sizes = rows.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy(*keys).agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    many = ((F.col("all") - F.col("main.size")) * F.col("all")).alias("pairs")
+    return rows.join(main, keys).select(*rows.columns, (F.col("component") == F.col("main.component")).alias("in_main"), many)
+
+
+def _between(shared: DataFrame, comps: DataFrame, signs: DataFrame, percent: int, split: int, block: int) -> DataFrame:
     """Pairs of a bucket whose classes are in different components, by the length, positional and suffix filters, each once."""
-    own = shared.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    sizes = own.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("gram").agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    own = own.join(main, "gram").select("gram", "sig", "n", "pos", "component", (F.col("component") == F.col("main.component")).alias("in_main"))
-    own = common.cut(own.join(_parities(signs, "sig", "p"), "sig"), "jaccard-open")
-    x, y = own.where("not in_main").alias("x"), own.alias("y")
+    own = shared.join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("gram", "sig", "n", "pos", F.coalesce("component", "sig").alias("component"))
+    own = common.cut(_open(own.dropDuplicates(["gram", "sig"]), ["gram"]), "jaccard-open")
+    few = own.where(F.col("pairs") <= split).withColumns({"then": F.lit(0).cast("long"), "pos2": F.col("pos")})
+    prefixes = signs.where("prefix is not null").select("sig", "prefix").dropDuplicates(["sig"])
+    many = own.where(F.col("pairs") > split).drop("in_main", "pairs").join(prefixes, "sig").select("gram", "sig", "n", "pos", "component", F.posexplode("prefix").alias("pos2", "then"))
+    many = _open(many.where(F.col("pos2") > F.col("pos")).select("gram", "then", "sig", "n", "pos", F.col("pos2").cast("long").alias("pos2"), "component"), ["gram", "then"])
+    both = few.select(many.columns).unionByName(many).join(_parities(signs, "sig", "p"), "sig")
+    # square blocks of pairs: each row has a place on its own side and stands once for each place of the other side
+    side = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("pairs") / block))).cast("int")
+    both = common.cut(both.withColumns({"place": F.pmod(F.xxhash64("sig"), side).cast("int"), "places": F.sequence(F.lit(0), side - 1)}), "jaccard-open")
+    x = both.where("not in_main").withColumns({"i": F.col("place"), "j": F.explode("places")}).drop("places").alias("x")
+    y = both.withColumns({"j": F.col("place"), "i": F.explode("places")}).drop("places").alias("y")
     need = _overlap(F.col("x.n"), F.col("y.n"), percent)
-    most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.in_main") | (F.col("x.sig") < F.col("y.sig")))
-    fits = _lengths_fit(F.col("x.n"), F.col("y.n"), percent) & (most >= need) & (_apart("x.p", "y.p") <= F.col("x.n") + F.col("y.n") - 2 * need)
+    after = lambda at: F.least(F.col("x.n") - F.col(f"x.{at}"), F.col("y.n") - F.col(f"y.{at}"))
+    on = reduce(lambda s, t: s & t, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("gram", "then", "i", "j")])
+    on = on & (F.col("x.component") != F.col("y.component")) & (F.col("y.in_main") | (F.col("x.sig") < F.col("y.sig")))
+    # the two n-grams are the first that the sets share wherever they link, or the only one looked at
+    fits = _lengths_fit(F.col("x.n"), F.col("y.n"), percent) & (after("pos") >= need) & (after("pos2") + F.when(F.col("x.pos2") == F.col("x.pos"), 0).otherwise(1) >= need)
+    fits = fits & (_apart("x.p", "y.p") <= F.col("x.n") + F.col("y.n") - 2 * need)
     return x.join(y, on & fits).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents, all columns, with the smallest doc_id of each component; of repeated rows of that id and text, one.
+def _free(names: list[str], name: str) -> str:
+    while name in names:
+        name += "_"
+    return name
+
 
-    A document without doc_id stays.
-    """
-    keep = joined(docs, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    own = docs.withColumn("_own", F.xxhash64("text"))
-    first = own.where("doc_id is not null").join(keep, own["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id", "_own"])
-    return first.drop("_own").unionByName(docs.where("doc_id is null"))
+def one_of_each(docs: DataFrame, percent: int = PERCENT, **limits: int) -> DataFrame:
+    """One document, all columns, of each component: the one with the smallest doc_id (of several texts of that id, the one
+    with the smallest hash; of repeated rows, one; of rows without doc_id only, one). Documents without words all stay."""
+    rows, comps = _linked(docs, percent, *(limits.get(k, v) for k, v in (("hot", HOT), ("split", SPLIT_PAIRS), ("block", BLOCK_PAIRS))))
+    ends = rows.where("sig is not null").select("sig", _known_id().alias("at"), "own").join(comps.withColumnRenamed("node", "sig"), "sig", "left")
+    first = ends.groupBy(F.coalesce("component", "sig").alias("c")).agg(F.min(F.struct("at", "own")).alias("x"))
+    at, own = _free(docs.columns, "_at"), _free(docs.columns, "_own")
+    keep = first.select(F.col("x.at").alias(at), F.col("x.own").alias(own)).distinct()
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    told = docs.where(~wordless).withColumns({at: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), own: F.xxhash64(F.col("text").cast("string"))})
+    return told.join(keep, [at, own], "left_semi").dropDuplicates([at, own]).select(*docs.columns).unionByName(docs.where(wordless))

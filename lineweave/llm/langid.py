@@ -2,14 +2,16 @@
 
 Texts are lowered, runs of non-letters become one space, and their n-grams of one to three characters are hashed into
 FEATURES cells. Document frequencies are counted over all training documents. Weights are learned from a bounded sample,
-SAMPLE_PER_LANG documents of each language (those with the smallest hashes, so that any partitioning gives the same), by
+SAMPLE_PER_LANG documents of each of the MAX_LANGS most frequent languages (those with the smallest hashes, so that any
+partitioning gives the same), by
 follow-the-regularised-leader with elastic-net penalties; a fifth of the sample isn't learned from but gives the
 temperature that makes scores probabilities. Every document is predicted from its whole text alone.
 
 A document is held out, and never learned from, if crc32 of its doc_id as text leaves 2 when divided by 4.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; so is every text when no document is labelled; a
-null lang is never learned; a document without doc_id isn't held out; repeated rows each have their row; an empty table
+null lang is never learned; a document without doc_id isn't held out; a very long text is one vector like any other; of
+equal scores the first language by name is taken; repeated rows each have their row and are learned once; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.llm import common
@@ -29,6 +31,8 @@ from lineweave.llm import common
 FEATURES_BITS = 15
 FEATURES = 1 << FEATURES_BITS
 SAMPLE_PER_LANG = 800
+#: Languages that are learned, those with the most documents: the bound of the sample, with SAMPLE_PER_LANG, and of the weights.
+MAX_LANGS = 200
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.0005
 UNKNOWN = "und"
@@ -157,8 +161,9 @@ def fit(docs: DataFrame, *, per_lang: int = SAMPLE_PER_LANG) -> Model:
     """docs: doc_id, text and lang; learns from labelled documents that aren't held out."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out()).withColumn("h", F.xxhash64("doc_id", "text"))
-    first = own.select("lang", "h").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_lang).select("lang", "h")
-    chosen = own.join(F.broadcast(first), ["lang", "h"]).dropDuplicates(["lang", "h"])  # per_lang rows of each language
+    counts = common.smallest(own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("all"), (-F.col("n")).alias("less"), "lang"), "all", ["less", "lang"], MAX_LANGS)
+    first = common.smallest(own.select("lang", "h").join(F.broadcast(counts.select("lang")), "lang", "left_semi").distinct(), "lang", ["h"], per_lang)
+    chosen = own.join(F.broadcast(first), ["lang", "h"]).dropDuplicates(["lang", "h"])  # per_lang rows of MAX_LANGS languages at most
     rows = chosen.mapInArrow(_as_features, "lang string, h long, cells array<int>, n array<int>").collect()
     sample = [(r.lang, np.array(r.cells, np.int64), np.array(r.n, np.float64)) for r in sorted(rows, key=lambda r: (r.h, r.lang))]
     df = common.sum_vectors(own.select("text").mapInArrow(_frequencies, "k int, cells binary"), FEATURES + 1)

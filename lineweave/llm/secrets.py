@@ -5,27 +5,28 @@ sample: LABELLED strings per kind, those with the smallest hashes, so that it is
 A prefix tree of each kind's strings, over character classes, is folded into a deterministic probabilistic automaton by
 state merging in the red-blue order: two states merge if Hoeffding's bound at ALPHA can't tell their stop and transition
 frequencies apart, all the way down. Ordinary tokens that occur in the texts in which the secrets were found give a
-background automaton. Every candidate, a run of LEAST_CHARS or more credential characters outside the base spans, with a
-digit and a letter, is scored by its log likelihood per character under the best format minus that under the background;
+background automaton. Every candidate, a run of LEAST_CHARS or more credential characters outside the base spans, is scored by its log likelihood per character under the best format minus that under the background;
 those over MARGIN, and no more than SLACK less likely than all but one in a hundred of the labelled strings, are spans of
 kind `format`.
 
-Edge cases: a null or empty text has no spans; no labelled strings means no automata and base spans only; repeated rows
+Edge cases: a null or empty text has no spans; a very long text, or candidate, is scored whole; of strings with one hash
+the smaller is labelled first; no labelled strings means no automata and base spans only; repeated rows
 each have their row; an empty table gives no rows; other columns are ignored or, in redacted(), kept.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.llm import common
@@ -179,24 +180,44 @@ def base_spans(data: np.ndarray, offs: np.ndarray) -> list[list[tuple[int, str,
 
 
 def candidates(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and rows of runs of LEAST_CHARS or more credential characters that have a digit and a letter."""
+    """Starts, ends and rows of runs of LEAST_CHARS or more credential characters."""
     starts, ends, row = common.words(data, offs, _CREDENTIAL)
     keep = ends - starts >= LEAST_CHARS
-    starts, ends, row = starts[keep], ends[keep], row[keep]
-    digit = np.concatenate([[0], np.cumsum((data >= 0x30) & (data <= 0x39))])
-    letter = np.concatenate([[0], np.cumsum((_CLASS_OF[data] >= 1) & (_CLASS_OF[data] <= 4))])
-    keep = (digit[ends] > digit[starts]) & (letter[ends] > letter[starts])
     return starts[keep], ends[keep], row[keep]
 
 
+class _Smallest:
+    """The distinct tokens with the smallest hashes, `most` of them."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.known, self.sorted = most, set(), []
+
+    def __len__(self) -> int:
+        return len(self.sorted)
+
+    @property
+    def last(self) -> int:
+        return self.sorted[-1][0]
+
+    def add(self, h: int, token: bytes) -> None:
+        if token not in self.known:
+            self.known.add(token)
+            bisect.insort(self.sorted, (h, token))
+            if len(self.sorted) > self.most:
+                self.known.discard(self.sorted.pop()[1])
+
+    def items(self) -> list[tuple[int, bytes]]:
+        return self.sorted
+
+
 def labelled(docs: DataFrame, per_kind: int = LABELLED) -> dict[str, list[bytes]]:
     """A bounded sample of distinct strings by kind, and of ordinary tokens of the same texts as `background`."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
+        held = defaultdict(lambda: _Smallest(per_kind))
         for batch in batches:
             data, offs = common.buffers(batch.column("text"))
-            rows = []
+            rows: list[tuple[str, bytes]] = []
             for a, b in common.chunks(offs):
                 part, own = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
                 for r, spans in enumerate(base_spans(part, own)):
@@ -207,16 +228,17 @@ def labelled(docs: DataFrame, per_kind: int = LABELLED) -> dict[str, list[bytes]
                         token = ASSIGN.match(text[s:e])[2] if kind == "assign" else text[s:e]
                         rows.append((kind, token))
                     rows += [("background", t) for t in re.findall(rb"[A-Za-z0-9+/_.=-]{8,}", text) if not any(t in text[s:e] for s, _, e in spans)]
-            rows = [x for x in dict.fromkeys(rows) if x not in seen]
-            if len(seen) > 500_000:
-                seen.clear()
-            seen.update(rows)
-            hashes = [int.from_bytes(hashlib.blake2b(t, digest_size=7).digest(), "big") for _, t in rows]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([t for _, t in rows], pa.binary()), pa.array(hashes, pa.int64())], names=["kind", "token", "h"])
-
-    rows = common.texts(docs).mapInArrow(found, "kind string, token binary, h long").distinct()
-    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("h", "token"))).where(F.col("rank") <= per_kind)
+            for kind, token in dict.fromkeys(rows):
+                own = held[kind]
+                h = int.from_bytes(hashlib.blake2b(token, digest_size=7).digest(), "big")
+                if len(own) < per_kind or h < own.last:
+                    own.add(h, token)
+        rows = [(kind, t, h) for kind, own in held.items() for h, t in own.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["kind", "token", "h"])
+
+    rows = common.texts(docs).mapInArrow(found, "kind string, token binary, h long").distinct()  # per_kind of each kind from a task
+    first = common.smallest(rows, "kind", ["h", "token"], per_kind)
     out: dict[str, list[bytes]] = {}
     for r in first.select("kind", "token").collect():  # per_kind rows of four kinds at most
         out.setdefault(r.kind, []).append(bytes(r.token))
@@ -227,25 +249,68 @@ def formats(sample: dict[str, list[bytes]]) -> dict[str, Automaton]:
     return {k: infer(v) for k, v in sorted(sample.items()) if v}
 
 
-def likely(token: bytes, automata: dict[str, Automaton], margin: float = MARGIN) -> bool:
-    plain = automata["background"].score(token) if "background" in automata else -math.log(70)
+def scores(tokens: list[bytes], automaton: Automaton) -> np.ndarray:
+    """Automaton.score() of many tokens, a character of each at a time."""
+    size = np.array([len(t) for t in tokens], np.int64)
+    out = np.zeros(len(tokens))
+    order = np.argsort(-size, kind="stable")
+    flat = _CLASS_OF[np.frombuffer(b"".join(tokens), np.uint8)]
+    start = np.cumsum(size) - size
+    bad = np.zeros(len(tokens), bool)
+    state = np.zeros(len(tokens), np.int64)
+    live = int(np.searchsorted(-size[order], 0))  # tokens with a character at this place are the first ones
+    place = 0
+    while live:
+        own = order[:live]
+        c = flat[start[own] + place]
+        bad[own] |= c < 0
+        c = np.maximum(c, 0)
+        out[own] += automaton.step[state[own], c] - _LOG_SIZE[c]
+        after = automaton.next[state[own], c]
+        state[own] = np.where(after >= 0, after, 0)
+        place += 1
+        live = int(np.searchsorted(-size[order[:live]], -place))
+    out = (out + automaton.stop[state]) / np.maximum(1, size)
+    out[bad] = -math.inf
+    return out
+
+
+#: Tokens of more bytes are scored one by one.
+LONG = 512
+
+
+def likely(tokens: list[bytes], automata: dict[str, Automaton], margin: float = MARGIN) -> list[bool]:
+    """Which tokens some format explains, and better than ordinary text does."""
+    if not tokens or not automata:
+        return [False] * len(tokens)
+    long = [k for k, t in enumerate(tokens) if len(t) > LONG]
+    short = [b"" if len(t) > LONG else t for t in tokens]
+
+    def scored(a: Automaton) -> np.ndarray:
+        out = scores(short, a)
+        out[long] = [a.score(tokens[k]) for k in long]
+        return out
+
+    plain = scored(automata["background"]) if "background" in automata else np.full(len(tokens), -math.log(70))
+    found = np.zeros(len(tokens), bool)
     for kind, a in automata.items():
-        if kind != "background" and (own := a.score(token)) >= a.floor and own - plain > margin:
-            return True
-    return False
+        if kind != "background":
+            own = scored(a)
+            found |= (own >= a.floor) & (own - plain > margin)
+    return found.tolist()
 
 
 def all_spans(data: np.ndarray, offs: np.ndarray, automata: dict[str, Automaton]) -> list[list[tuple[int, str, int]]]:
     """Base spans and, outside them, the candidates that the automata find likely."""
     out = base_spans(data, offs)
-    judged: dict[bytes, bool] = {}
+    left = []
     for s, e, r in zip(*(x.tolist() for x in candidates(data, offs)), strict=True):
         s, e = s - int(offs[r]), e - int(offs[r])
-        if any(s < y and x < e for x, _, y in out[r]):
-            continue
-        token = data[offs[r] + s : offs[r] + e].tobytes()
-        if token not in judged:
-            judged[token] = bool(automata) and likely(token, automata)
+        if not any(s < y and x < e for x, _, y in out[r]):
+            left.append((r, s, e, data[offs[r] + s : offs[r] + e].tobytes()))
+    tokens = list(dict.fromkeys(x[3] for x in left))
+    judged = dict(zip(tokens, likely(tokens, automata), strict=True))
+    for r, s, e, token in left:
         if judged[token]:
             out[r].append((s, "format", e))
     for spans in out:

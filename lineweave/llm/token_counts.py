@@ -6,21 +6,24 @@ under BPE; so the state after a character is the suffix that a longer piece coul
 one could begin, the last piece up to there and the count relative to now. Equal states are one, and transitions are
 compiled when first taken. No piece has a space mark after another character, so a space mark after one (and any character
 outside the vocabulary, counted as its bytes) resets the state: a stretch between resets, a unit, maps every entry state
-to the same exit and adds its own count. Only these resets make a prefix scan possible: counts of whole texts are
-cumulative sums over their units. Inside a unit there is no scan: it is walked in order from the one state known, CHUNK
-characters at a time, so a very long text without spaces is one sequential loop.
+to the same exit and adds its own count. Counts of whole texts are prefix sums over their units.
+
+A unit of over CHUNK characters is cut into chunks. Each chunk yields a state map, from entry states to exit state and tokens
+gained: its entry is guessed by running the WARM characters before it from the start state, as transducers of this kind
+forget what is further back. Maps of neighbours are composed pairwise, as in a parallel prefix scan; a map that is met from
+an entry it lacks is extended by it, so that a wrong guess costs time and never changes a count.
 
 Space runs: the pieces of several marks have the lowest score, so all others are joined before; a run of r marks before a
 word counts as the word with its own mark, and r - 1 marks, or r if the word leaves its mark alone.
 
 Edge cases: a null or empty text has no tokens; repeated rows each have their row; an empty table gives no rows; other
-columns are ignored. The memo of units and the compiled states are dropped and built anew beyond a bound; counts stay.
+columns are ignored; a very long text, with or without spaces, is counted whole. The memo of units and the compiled states are dropped and built anew beyond a bound; counts stay.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ PIECE_BPE = "piece_bpe_32k.model"
 MARK = "▁"
 LIMIT = 4096
 CHUNK = 256
+WARM = 32
 MEMO_UNITS = 1_000_000
 MAX_STATES = 1_000_000
 
@@ -123,6 +127,26 @@ class Transducer:
             total += step[1]
         return state, total
 
+    def state_map(self, text: str, entries: Iterable[int]) -> dict[int, tuple[int, int]]:
+        """Exit state and tokens gained of a chunk for each entry state."""
+        return {e: self.chunk_map(e, text) for e in entries}
+
+    def composed(self, text: str, chunk: int = CHUNK, warm: int = WARM) -> tuple[int, int]:
+        """Exit state and tokens gained of a text without resets, from the start state, by composing the maps of its chunks."""
+        maps = []
+        for k in range(0, len(text), chunk):
+            entry = self.chunk_map(0, text[max(0, k - warm) : k])[0] if k else 0
+            maps.append((k, min(len(text), k + chunk), self.state_map(text[k : k + chunk], [entry])))
+        while len(maps) > 1:
+            over = []
+            for (a, _, f), (b, c, g) in zip(maps[::2], maps[1::2], strict=False):
+                for exit_, _ in f.values():
+                    if exit_ not in g:
+                        g.update(self.state_map(text[b:c], [exit_]))
+                over.append((a, c, compose(f, g)))
+            maps = over + maps[len(over) * 2 :]
+        return maps[0][2][0] if maps else (0, 0)
+
     def unit(self, text: str) -> int:
         """Tokens of a unit: marks, then characters of the alphabet other than marks, or one other character."""
         word = text.lstrip(MARK)
@@ -133,11 +157,8 @@ class Transducer:
             return len(word.encode())
         if len(self.states) > MAX_STATES:
             self._clear()
-        state, total = 0, 0
         text = MARK * bool(marks) + word
-        for k in range(0, len(text), CHUNK):
-            state, gained = self.chunk_map(state, text[k : k + CHUNK])
-            total += gained
+        state, total = self.chunk_map(0, text) if len(text) <= CHUNK else self.composed(text)
         if marks > 1:
             lone = self.states[state][1][-1][3]
             total += self.run(marks) - 1 if lone else self.run(marks - 1)
@@ -163,6 +184,11 @@ class Transducer:
         return np.diff(total[ends])
 
 
+def compose(f: dict[int, tuple[int, int]], g: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int]]:
+    """The state map of two chunks in a row; g has all exits of f."""
+    return {e: (g[x][0], n + g[x][1]) for e, (x, n) in f.items()}
+
+
 class _Memo(dict):
     """Counts of units; long ones aren't kept."""
 

@@ -1,7 +1,7 @@
 import random
 import re
 
-import pandas as pd
+from pyspark.sql import functions as F
 
 from lineweave.llm import jaccard
 from lineweave.llm.components import components
@@ -50,6 +50,8 @@ def test_joined_equals_all_pairs(spark):
     assert got == brute(rows)
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({x[2] for x in got})
+    twice = spark.createDataFrame([(1, "one text of the id that goes on", 1, 2), (1, "quite another text of this very id", 1, 2), (2, "one text of the id that goes on", 1, 2)], "doc_id long, text string, _own long, _at long")
+    assert sorted(r.text[:3] for r in jaccard.one_of_each(twice).collect()) == ["one", "qui"]
     assert jaccard.joined(docs.limit(0)).count() == 0
 
 
@@ -66,14 +68,33 @@ def test_one_large_group(spark):
     assert got == brute(rows)
 
 
-def test_hot_grams_lose_no_link(spark):
+def test_small_limits_lose_no_link(spark):
     rows = near_copies(7, 60, 12)
-    limit, jaccard.HOT = jaccard.HOT, 1
-    try:
-        got = sorted(map(tuple, jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
-    finally:
-        jaccard.HOT = limit
-    assert got == brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for limits in ({"hot": -(10**9)}, {"split": 0}, {"split": 0, "block": 2}, {"hot": -(10**9), "split": 1, "block": 1}):
+        assert sorted(map(tuple, jaccard.joined(docs, **limits).collect())) == want
+
+
+def test_a_shared_passage_makes_no_square(spark):
+    """Classes that share one opening and don't link meet only where they share a second n-gram."""
+    rng = random.Random(2)
+    rows = [(d, " ".join(["one", "opening", "of", "all", "texts", *(f"v{rng.randrange(10**9)}" for _ in range(3))])) for d in range(3000)]
+    rows += [(d + 5000, rows[d][1] + " x") for d in range(0, 3000, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = spark.createDataFrame([(1, d, 4, 0) for d in range(3000)], "gram long, sig long, n long, pos long").withColumn("salt", F.lit(0))
+    signs = spark.createDataFrame([(d, [1, 10**6 + d], [0, 0, 0, 0]) for d in range(3000)], "sig long, prefix array<long>, parity array<long>")
+    none = spark.createDataFrame([], "node long, component long")
+    assert jaccard._between(shared, none, signs, 80, jaccard.SPLIT_PAIRS, jaccard.BLOCK_PAIRS).count() == 0
+    assert jaccard._between(shared.where("sig < 40"), none, signs, 80, 10**9, 64).count() == 40 * 39 // 2
+    got = {r.doc_id: r.component_id for r in jaccard.joined(docs).collect()}
+    assert got == {d: d % 5000 for d, _ in rows}
+
+
+def test_equal_signatures_are_told_apart(spark):
+    rows = [(1, 5, 7), (2, 5, 8), (3, 5, 7), (4, 6, 1), (5, None, None)]
+    got = {r.doc_id: r.sig for r in jaccard.told_apart(spark.createDataFrame(rows, "doc_id long, sig long, proof long")).collect()}
+    assert got[1] == got[3] == 5 != got[2] and got[4] == 6 and got[5] is None
 
 
 def test_rows_without_id(spark):
@@ -85,7 +106,7 @@ def test_rows_without_id(spark):
     want = [(d, 3) for d in (None, 7, 5, 3, None)] + [(d, 9) for d in (None, None, None, 9)] + [(None, None)] * 2
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     kept = jaccard.one_of_each(spark.createDataFrame([x for x in rows if x[0] or x[1] == rows[0][1]], "doc_id long, text string"))
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [3, 9, None]
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [3, 9]
 
 
 def test_components(spark):

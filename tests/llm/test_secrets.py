@@ -39,9 +39,12 @@ def test_automata_tell_formats_from_words():
     rng = random.Random(3)
     words = ["".join(rng.choice(["the", "tion", "ou", "and", "re", "ly", "sh", "ing", "ver", "12"]) for _ in range(8)) for _ in range(200)]
     automata = secrets.formats({"hex": [k.encode() for k in keys(rng, 200)], "background": [w.encode() for w in words[:100]]})
-    found = [secrets.likely(k[:24].encode(), automata) for k in keys(rng, 100)]
+    found = secrets.likely([k[:24].encode() for k in keys(rng, 100)], automata)
     assert np.mean(found) > 0.9
-    assert not any(secrets.likely(w.encode(), automata) for w in words[100:] + ["mail6.example.com", "2024-01-02T03:04:05"])
+    assert not any(secrets.likely([w.encode() for w in words[100:] + ["mail6.example.com", "2024-01-02T03:04:05"]], automata))
+    for a in automata.values():  # many at once as one by one
+        tokens = [w.encode() for w in words[:20] + keys(rng, 5) + ["", "x", "a b", "f" * 600]]
+        assert np.allclose(secrets.scores(tokens, a), [a.score(x) for x in tokens])
     # strings of one format fold into fewer states than their prefix tree has
     assert len(automata["hex"].stop) < 200
     fixed = secrets.infer([f"ab-{i:02d}".encode() for i in range(90)])
@@ -66,3 +69,30 @@ def test_scan(spark):
     assert masked[50].text is None and masked[52].text == texts[52] and masked[53].text == "see [secret] here"
     assert secrets.scanned(docs.limit(0)).count() == 0
     assert secrets.scanned(docs.where("doc_id = 52")).first().spans == ""
+
+
+def test_held_out_formats():
+    """Strings of the labelled formats that no base pattern finds, against ordinary long tokens."""
+    rng = random.Random(12)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = {
+        "assign": lambda: "gp_" + "".join(rng.choice(base62) for _ in range(32)),
+        "access": lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)),
+        "hex": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40)),
+    }
+    syllables = ["the", "tion", "ou", "and", "re", "ly", "sh", "ing", "ver", "ment", "eau", "keit"]
+    ordinary = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(5, 10)))
+    automata = secrets.formats({k: [f().encode() for _ in range(200)] for k, f in made.items()} | {"background": [ordinary().encode() for _ in range(200)]})
+    for f in made.values():
+        assert np.mean(secrets.likely([f().encode() for _ in range(200)], automata)) >= 0.9
+    assert np.mean(secrets.likely([ordinary().encode() for _ in range(500)], automata)) <= 0.01
+    cut = [made["hex"]()[:28].encode() for _ in range(100)]  # too short for the base pattern
+    assert all(not x for x in secrets.base_spans(*common.buffers(pa.array([c.decode() for c in cut])))) and np.mean(secrets.likely(cut, automata)) >= 0.9
+
+
+def test_more_strings_than_are_labelled(spark):
+    rng = random.Random(5)
+    texts = [f"token={k} and other words_{i}_of_the_text" for i, k in enumerate(keys(rng, 300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, many = secrets.labelled(docs.coalesce(1), 50), secrets.labelled(docs.repartition(16), 50)
+    assert one == many and {k: len(v) for k, v in one.items()} == {"assign": 50, "background": 50, "hex": 50}

@@ -47,8 +47,13 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     want = sorted((d, *brute_hits(t, [x for x in ITEMS if x[0] is not None])) for d, t, _ in DOCS)
     assert sorted(map(tuple, decontaminate.digests(docs, bench).collect())) == want
-    blocks = decontaminate.scan(docs, bench, block_bytes=60).select("doc_id", "n_words", decontaminate.n_hit().alias("h"), "items")
-    assert sorted((r.doc_id, r.n_words, r.h, len(r["items"])) for r in blocks.collect()) == [x[:4] for x in want]
+    for limits in ({"set_bytes": 16}, {"set_bytes": 16, "map_bits": 3}):  # a bit map, and one that lets all windows through
+        blocks = decontaminate.scan(docs, bench, **limits).select("doc_id", "n_words", decontaminate.n_hit().alias("h"), "items")
+        assert sorted((r.doc_id, r.n_words, r.h, len(r["items"])) for r in blocks.collect()) == [x[:4] for x in want]
+    limit, decontaminate.BROADCAST_BYTES = decontaminate.BROADCAST_BYTES, 0
+    assert sorted(map(tuple, decontaminate.digests(docs, bench).collect())) == want
+    assert sorted(r.doc_id for r in decontaminate.contaminated_removed(docs, bench).collect()) == [x[0] for x in want if not x[5]]
+    decontaminate.BROADCAST_BYTES = limit
     kept = decontaminate.contaminated_removed(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [x[0] for x in want if not x[5]]
     cut = {r.doc_id: r.text for r in decontaminate.spans_removed(docs, bench).collect()}
@@ -112,3 +117,14 @@ def test_quality_rules(spark):
     kept = repetition.rejected_removed(docs)
     assert kept.columns == docs.columns and kept.count() == sum(x[-1] for x in want)
     assert repetition.digests(docs.limit(0)).count() == 0
+
+
+def test_longest_repeat_rejects_on_its_own(spark):
+    fresh = (f"w{i}" for i in range(10**6))
+    some = lambda n: [next(fresh) for _ in range(n)]
+    passage, short = some(40), some(25)
+    texts = {1: [*some(300), *passage, *some(200), *passage], 2: [*some(300), *short, *some(200), *short], 3: some(600), 4: [*some(50_000), *(p := some(4000)), *some(5000), *p]}
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in repetition.digests(docs).collect()}
+    assert not any(r.base_failed or r.covered_chars > repetition.MAX_COVERED * r.word_chars for r in got.values())
+    assert {k: r.kept for k, r in got.items()} == {1: False, 2: True, 3: True, 4: False}

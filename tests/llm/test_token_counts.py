@@ -23,13 +23,35 @@ def test_space_runs_and_long_units():
     assert T.counts(texts).tolist() == library(texts)
 
 
-def test_chunk_maps_compose():
-    text = "▁internationalisation"
-    whole = T.chunk_map(0, text)
-    for cut in range(len(text)):
-        state, n = T.chunk_map(0, text[:cut])
-        state, m = T.chunk_map(state, text[cut:])
-        assert (state, n + m) == whole
+def test_state_maps_compose():
+    text = "▁internationalisationofthewholeunit"
+    entries = {T.chunk_map(0, text[:k])[0] for k in range(len(text))}
+    assert len(entries) > 3
+    for cut in range(1, len(text)):
+        f = T.state_map(text[:cut], [0])
+        g = T.state_map(text[cut:], entries | {x for x, _ in f.values()})
+        assert token_counts.compose(f, g) == T.state_map(text, [0])
+    middle = T.state_map("ation", entries)
+    last = T.state_map("sof", {x for x, _ in middle.values()})
+    assert token_counts.compose(middle, last) == T.state_map("ationsof", entries)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([w for w in WORDS if "▁" not in w]), min_size=1, max_size=60).map("".join), st.integers(1, 9), st.integers(0, 9))
+def test_long_units_by_composition(word, chunk, warm):
+    """Also with chunks so short, and guesses so poor, that maps must be extended."""
+    text = "▁" + word
+    assert T.composed(text, chunk, warm) == T.chunk_map(0, text)
+
+
+def test_memo_and_states_are_built_anew():
+    limits = token_counts.MEMO_UNITS, token_counts.MAX_STATES
+    token_counts.MEMO_UNITS, token_counts.MAX_STATES = 3, 20
+    try:
+        texts = ["several words that fill the memo and many states of it", "unbelievably " * 30, "again and again"]
+        assert [int(T.counts([t])[0]) for t in texts] == library(texts)
+    finally:
+        token_counts.MEMO_UNITS, token_counts.MAX_STATES = limits
 
 
 def test_counted(spark):
