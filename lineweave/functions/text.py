@@ -35,7 +35,7 @@ STEPS = (
 
 @pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    return texts if texts.isna().all() else texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
 def _singular(t: Column) -> Column:
@@ -74,14 +74,12 @@ def content_tokens(t: Column) -> Column:
 
 
 def normalize_column(df: DataFrame, text: str, prefix: str = "norm") -> DataFrame:
-    """Adds `prefix`_tokens, _text, _key, _numbers; each distinct text is normalised once, and only texts beyond ASCII visit Python."""
-    own = df.select(F.col(text).alias("_t")).distinct().where("_t is not null")
-    plain = own.where(~F.col("_t").rlike(r"[^\x00-\x7F]")).withColumn("_n", F.col("_t"))
-    other = own.where(F.col("_t").rlike(r"[^\x00-\x7F]")).withColumn("_n", nfkc(F.translate("_t", TRADEMARKS, "")))
-    done = plain.unionByName(other).withColumn(f"{prefix}_tokens", tokens(F.col("_n"))).drop("_n")
+    """Adds `prefix`_tokens, _text, _key, _numbers in place, without a shuffle. Only texts beyond ASCII go to Python, others as nulls."""
+    beyond = F.col(text).rlike(r"[^\x00-\x7F]")
+    folded = nfkc(F.when(beyond, F.translate(text, TRADEMARKS, "")))
+    own = df.withColumn("_n", folded).withColumn(f"{prefix}_tokens", tokens(F.coalesce("_n", text))).drop("_n")
     t = F.col(f"{prefix}_tokens")
-    done = done.withColumns({f"{prefix}_text": normalized(t), f"{prefix}_key": sorted_key(t), f"{prefix}_numbers": numbers(t)})
-    return df.join(done, df[text] == done["_t"], "left").drop("_t")
+    return own.withColumns({f"{prefix}_text": normalized(t), f"{prefix}_key": sorted_key(t), f"{prefix}_numbers": numbers(t)})
 
 
 def numeric_conflict(a: Column, b: Column) -> Column:
@@ -292,3 +290,65 @@ def parse_suggestion(c: Column) -> Column:
     known = F.upper(own["verdict"]).isin("SAME_ITEM", "DIFFERENT_ITEM", "UNSURE")
     sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(own["confidence"], F.lit(0.0))))
     return F.struct(F.when(known, F.upper(own["verdict"])).otherwise("UNSURE").alias("verdict"), F.when(known, sure).otherwise(0.0).alias("confidence"))
+
+
+# --- keys and cells -------------------------------------------------------------------------------
+
+
+def row_id(letter: Column, sku: Column, pair: Column, seq: Column) -> Column:
+    """`R-<sku>-<pair>-<seq>`, the sequence with three digits at least; without a pair token, `R-<sku>-<seq>`."""
+    return F.when(pair.isNull(), F.format_string("%s-%s-%03d", letter, sku, seq)).otherwise(F.format_string("%s-%s-%s-%03d", letter, sku, pair, seq))
+
+
+def comparison_key(check: Column, sku: Column, role: Column, item_number: Column, a_key: Column, b_key: Column, change_key: Column) -> Column:
+    """What a row compares, whatever its id: header or reference by role, a change by its key, else A's item number or text, or B's text."""
+    what = (
+        F.when(role.isin("header", "reference", "coverage"), role)
+        .when(change_key.isNotNull(), F.concat(F.lit("A:"), change_key))
+        .when(F.coalesce(item_number, a_key).isNotNull(), F.concat(F.lit("A:"), F.coalesce(item_number, a_key)))
+        .otherwise(F.concat(F.lit("B:"), b_key))
+    )
+    return F.concat_ws("|", check, sku, what)
+
+
+def change_key(kind: Column, actual: Column, proposed: Column) -> Column:
+    """`KIND:actual->proposed` of a change form's row, with what it has."""
+    a, p = F.nullif(F.trim(actual), F.lit("")), F.nullif(F.trim(proposed), F.lit(""))
+    return F.concat(kind, F.lit(":"), F.when(kind == "DELETE", a).when(kind == "ADD", p).when(kind == "SUBSTITUTE", F.concat(a, F.lit("->"), p)).otherwise(F.coalesce(a, p)))
+
+
+def revision_key(change: Column, a_key: Column, b_key: Column) -> Column:
+    """What changed between two revisions and on which text: ADDED and DESC by the new text, REMOVED by the old one."""
+    old, new = F.coalesce(a_key, b_key), F.coalesce(b_key, a_key)
+    return F.when(change == "HEADER", "HEADER").otherwise(F.concat(change, F.lit(":"), F.when(change.isin("REMOVED", "ABSENT", "SATISFIED"), old).otherwise(new)))
+
+
+def split_list(cell: Column, commas: bool = True) -> Column:
+    """Parts of a cell, trimmed, empty ones left out; aliases (commas=False) part at semicolons and line ends only."""
+    return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), r"[;\n,]" if commas else r"[;\n]"), F.trim), lambda x: x != "")
+
+
+def is_truthy(cell: Column) -> Column:
+    return F.coalesce(F.upper(F.trim(cell)).isin("Y", "YES", "TRUE", "1", "ACTIVE"), F.lit(False))
+
+
+#: Fixed value: the scopes of a relationship.
+SCOPE = r"^(global|family:\S+|sku:\S+)$"
+
+
+def scope_parts(scope: Column) -> Column:
+    """struct(valid, kind, code) of `global`, `family:<code>` or `sku:<code>`."""
+    kind = F.split_part(scope, F.lit(":"), F.lit(1))
+    return F.struct(F.coalesce(scope.rlike(SCOPE), F.lit(False)).alias("valid"), kind.alias("kind"), F.nullif(F.split_part(scope, F.lit(":"), F.lit(2)), F.lit("")).alias("code"))
+
+
+def relative_path(path: Column, root: Column) -> Column:
+    """The path below a root, as it is where it lies elsewhere."""
+    base = F.concat(F.rtrim(root, F.lit("/")), F.lit("/"))
+    return F.when(F.startswith(path, base), F.substring(path, F.length(base) + 1, F.length(path))).otherwise(path)
+
+
+def cell_text(number: Column, day: Column, said: Column) -> Column:
+    """A typed cell as text: dates MM/dd/yy, whole numbers without a point, texts trimmed; the first that is given."""
+    whole = F.when(number == F.floor(number), F.format_string("%d", F.floor(number))).otherwise(number.cast("string"))
+    return F.coalesce(F.date_format(day, "MM/dd/yy"), whole, F.trim(said), F.lit(""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions import text
@@ -36,24 +36,26 @@ BOM_LABEL = Policy("BOM_LABEL", "R", True, "MISSING_IN_LABEL", "MISSING_IN_BOM")
 BOM_DRAWING = Policy("BOM_DRAWING", "D", False, "MISSING_IN_DRAWING", "EXTRA_ON_DRAWING", soft_a=("PACKAGING",), conditional_b=True)
 LABEL_DRAWING = Policy("LABEL_DRAWING", "L", False, "MISSING_IN_DRAWING", "EXTRA_ON_DRAWING", exempt_b=("PACKAGING", "LABEL", "DOCUMENT"), conditional_b=True)
 
-#: What a reviewer is told to do, by type of discrepancy.
+#: What a reviewer is told to do, by type of discrepancy.
 ACTIONS = {
-    "QTY_MISMATCH": "Compare both quantities with the approved redline and correct one side.",
-    "DESC_MISMATCH": "Decide whether both texts name one component; if so, add a synonym.",
-    "MISSING_IN_LABEL": "Decide whether this component belongs on the label; if it is there in other words, add a synonym.",
-    "MISSING_IN_BOM": "Decide whether a component of the bill of materials stands for this label line.",
-    "REF_PARENT_MISMATCH": "Make sure that the label belongs to this set before looking at other rows.",
-    "AMBIGUOUS_MATCH": "Choose the right line, or anchor a synonym to the item number.",
-    "LOW_EXTRACTION_CONFIDENCE": "Check what was read against the page.",
-    "PCO_CHANGE_NOT_APPLIED": "Apply the change before release, or reject it.",
-    "PCO_QTY_SEQ_MISMATCH": "Align quantity and sequence with the proposal.",
-    "BOM_MISSING_FOR_AFFECTED_CODE": "Add the bill of materials of this code.",
-    "MISSING_IN_DRAWING": "Decide whether the drawing must show the component.",
-    "EXTRA_ON_DRAWING": "Decide whether the callout names a component in other words or an obsolete one.",
-    "DRAWING_REV_MISMATCH": "Compare the drawing's number and revision with the released ones.",
-    "UNEXPECTED_LABEL_CHANGE": "Compare the change with the approved redline.",
-    "EXPECTED_CHANGE_ABSENT": "Apply the approved change to the new revision.",
+    "QTY_MISMATCH": "Confirm the correct quantity against the approved redline; correct the BOM or the label.",
+    "DESC_MISMATCH": "Confirm the two descriptions refer to the same component; add a relationship if they do.",
+    "MISSING_IN_LABEL": "Confirm whether this BOM component must appear on the label; if it does under another wording, add a relationship.",
+    "MISSING_IN_BOM": "Confirm whether this label line corresponds to a BOM component under a different description.",
+    "REF_PARENT_MISMATCH": "Verify the label belongs to this SKU before reviewing any other row.",
+    "AMBIGUOUS_MATCH": "Select the correct label line; consider an item-anchored relationship to remove the ambiguity.",
+    "LOW_EXTRACTION_CONFIDENCE": "Verify the extracted values against the source page.",
+    "PCO_CHANGE_NOT_APPLIED": "Apply the PCO change to the BOM (or redline it) before release, or reject the PCO row.",
+    "PCO_QTY_SEQ_MISMATCH": "Align the BOM quantity / operation sequence with the PCO proposal, or correct the PCO.",
+    "BOM_MISSING_FOR_AFFECTED_CODE": "Download the BOM for this affected code from JDE and add it to the set before reviewing.",
+    "MISSING_IN_DRAWING": "Confirm whether the component must be shown on the packaging drawing; update the drawing or the BOM.",
+    "EXTRA_ON_DRAWING": "Confirm whether the drawing callout refers to a BOM component under another description or an obsolete item.",
+    "DRAWING_REV_MISMATCH": "Confirm the drawing number / revision referenced by the BOM against the released drawing.",
+    "UNEXPECTED_LABEL_CHANGE": "Confirm the change against the approved redline; it is not covered by the PCO.",
+    "EXPECTED_CHANGE_ABSENT": "Apply the approved change to the new label revision or update the PCO.",
 }
+#: Fixed value: the confidence below which a missing line says so, whatever the threshold of paired lines.
+MISSING_CONFIDENCE = 0.7
 FINDING = "struct<type:string,severity:string>"
 
 
@@ -102,8 +104,11 @@ def pairing_check(a: DataFrame, b: DataFrame, policy: Policy, *, terms: DataFram
     quantity, uom, sub_value, sub_kind, conditional, confidence. rungs: `all`, or `exact` to leave out similarity.
     """
     an, bn = cut(text.normalize_column(a, "description"), "lines"), cut(text.normalize_column(b, "description"), "lines")
-    candidates = cut(matching.first_rung(matching.exact_candidates(an, bn)) if rungs == "exact" else matching.ladder(an, bn, terms=terms, vectors=vectors, suggestions=suggestions, t=t), "candidates")
-    pairs = cut(matching.greedy_pairs(candidates), "pairs")
+    if rungs == "exact":
+        candidates, pairs = matching.exact_candidates(an, bn), cut(matching.exact_pairs(an, bn), "pairs")
+    else:
+        candidates = cut(matching.ladder(an, bn, terms=terms, vectors=vectors, suggestions=suggestions, t=t), "candidates")
+        pairs = cut(matching.greedy_pairs(candidates), "pairs")
     a, b = an.select(*a.columns), bn.select(*b.columns)
     unsure = matching.ambiguities(candidates, pairs, t).groupBy("pair", "a_ord").agg(F.count(F.lit(1)).alias("alternatives"))
     none = F.lit(None)
@@ -123,13 +128,13 @@ def pairing_check(a: DataFrame, b: DataFrame, policy: Policy, *, terms: DataFram
 
     free_a = a.join(pairs.select("pair", F.col("a_ord").alias("item_ord")), ["pair", "item_ord"], "left_anti").join(matching.hints(candidates, pairs, "a"), ["pair", "item_ord"], "left").join(unsure.withColumnRenamed("a_ord", "item_ord"), ["pair", "item_ord"], "left")
     soft = F.col("category").isin(*policy.soft_a) if policy.soft_a else F.lit(False)
-    lone = findings(finding(~soft, policy.missing_a, policy.severity), finding(~soft & F.coalesce(F.col("alternatives") > 0, F.lit(False)), "AMBIGUOUS_MATCH", "MAJOR"), finding(~soft & (F.col("confidence") < t.low_confidence), "LOW_EXTRACTION_CONFIDENCE", "INFO"))
+    lone = findings(finding(~soft, policy.missing_a, policy.severity), finding(~soft & F.coalesce(F.col("alternatives") > 0, F.lit(False)), "AMBIGUOUS_MATCH", "MAJOR"), finding(~soft & (F.col("confidence") < MISSING_CONFIDENCE), "LOW_EXTRACTION_CONFIDENCE", "INFO"))
     missing_a = free_a.select("pair", F.when(soft, "exempt").otherwise("item").alias("role"), F.col("item_ord").alias("a_ord"), none.cast("int").alias("b_ord"), "item_number", F.col("description").alias("a_description"), none.cast("string").alias("b_description"), F.when(soft, "EXACT").otherwise("MISSING").alias("classification"), F.lit("NONE").alias("level"), F.when(soft, 0.0).otherwise(F.coalesce("hint_score", F.lit(0.0))).alias("score"), none.cast("string").alias("relationship_id"), lone.alias("discrepancies"))
 
     free_b = b.join(pairs.select("pair", F.col("b_ord").alias("item_ord")), ["pair", "item_ord"], "left_anti").join(matching.hints(candidates, pairs, "b"), ["pair", "item_ord"], "left")
     own = text.categorize(none.cast("string"), F.col("description"), none.cast("decimal(18,6)"))["category"]
     exempt = (F.lit(policy.conditional_b) & F.coalesce("conditional", F.lit(False))) | (own.isin(*policy.exempt_b) if policy.exempt_b else F.lit(False))
-    extra = findings(finding(~exempt, policy.missing_b, policy.severity), finding(~exempt & (F.col("confidence") < t.low_confidence), "LOW_EXTRACTION_CONFIDENCE", "INFO"))
+    extra = findings(finding(~exempt, policy.missing_b, policy.severity), finding(~exempt & (F.col("confidence") < MISSING_CONFIDENCE), "LOW_EXTRACTION_CONFIDENCE", "INFO"))
     missing_b = free_b.select("pair", F.when(exempt, "exempt").otherwise("item").alias("role"), none.cast("int").alias("a_ord"), F.col("item_ord").alias("b_ord"), none.cast("string").alias("item_number"), none.cast("string").alias("a_description"), F.col("description").alias("b_description"), F.when(exempt, "EXACT").otherwise("MISSING").alias("classification"), F.lit("NONE").alias("level"), F.when(exempt, 0.0).otherwise(F.coalesce("hint_score", F.lit(0.0))).alias("score"), none.cast("string").alias("relationship_id"), extra.alias("discrepancies"))
     rows = paired.unionByName(missing_a).unionByName(missing_b).withColumn("check", F.lit(policy.check))
     needs = (F.col("role") != "exempt") & (F.col("classification").isin("POTENTIAL", "MISMATCH", "MISSING") | (F.size("discrepancies") > 0))
@@ -169,11 +174,14 @@ def coverage(codes: DataFrame, boms: DataFrame) -> DataFrame:
     return out.select("form", "code", "boms", kind.alias("classification"))
 
 
-def change_applied(changes: DataFrame, lines: DataFrame) -> DataFrame:
+def change_applied(changes: DataFrame, lines: DataFrame, *, terms: DataFrame | None = None, skipped: DataFrame | None = None, t: Thresholds = Thresholds()) -> DataFrame:
     """Is each change of a form applied on each affected set?
 
-    changes: form, code, change_ord, kind, actual, proposed, qty_proposed, seq_proposed; lines: code, item_ord, item_number,
-    quantity, oper_seq, active, redlines (texts).
+    changes: form, code, change_ord, kind, actual, proposed, qty_proposed, seq_proposed and, if descriptions count,
+    description; lines: code, item_ord, item_number, quantity, oper_seq, active, redlines (texts) and, likewise, description.
+    With descriptions, a deleted item that stands under another number with the same or a similar text is POTENTIAL, and an
+    added one whose text differs has a MINOR DESC_MISMATCH. skipped (code) names sets of which pages weren't read: there, a
+    deletion can't be confirmed.
     """
     old = lines.select("code", F.col("item_number").alias("actual"), "item_ord", "quantity", "oper_seq", "active", "redlines")
     key = ["form", "code", "change_ord"]
@@ -198,40 +206,150 @@ def change_applied(changes: DataFrame, lines: DataFrame) -> DataFrame:
     undecided = (F.col("rows") > 1) & wanted.isNull()
     absent, wrong = F.lit("PCO_CHANGE_NOT_APPLIED"), F.lit("PCO_QTY_SEQ_MISMATCH")
     out = lambda kind, why=None: F.struct(F.lit(kind).alias("classification"), (F.lit(None).cast("string") if why is None else why).alias("discrepancy"))
-    delete = F.when((F.col("a_rows") > 0) & deleted, out("POTENTIAL")).when(F.col("a_rows") > 0, out("MISMATCH", absent)).otherwise(out("EXACT"))
+    alike, unlike = _alike(changes, lines, terms, t) if {"description"} <= set(changes.columns) & set(lines.columns) else (None, None)
+    none = F.lit(None).cast("boolean")
+    x = x.join(alike, key, "left").join(unlike, key, "left") if alike is not None else x.withColumns({"look_alike": none, "desc_differs": none})
+    x = x.join(skipped.select("code", F.lit(True).alias("unread")).distinct(), "code", "left") if skipped is not None else x.withColumn("unread", none)
+    true = lambda c: F.coalesce(c, F.lit(False))
+    delete = F.when((F.col("a_rows") > 0) & deleted, out("POTENTIAL")).when(F.col("a_rows") > 0, out("MISMATCH", absent)).when(F.col("a_inactive") > 0, out("EXACT")).when(true("look_alike") | true("unread"), out("POTENTIAL")).otherwise(out("EXACT"))
     add = F.when((F.col("rows") == 0) & F.col("p_redlined"), out("POTENTIAL")).when(F.col("rows") == 0, out("MISMATCH", absent)).when(undecided, out("POTENTIAL")).when(F.col("differs"), out("MISMATCH", wrong)).otherwise(out("EXACT"))
     redlined = (F.col("a_rows") > 0) & (F.col("p_rows") == 0) & F.array_contains(lines_said, F.col("proposed"))
     substitute = F.when(redlined, out("POTENTIAL")).when((F.col("a_rows") > 0) | (F.col("p_rows") == 0), out("MISMATCH", absent)).when(F.col("differs"), out("MISMATCH", wrong)).otherwise(out("EXACT"))
     modify = F.when(F.col("rows") == 0, out("MISMATCH", absent)).when(undecided, out("POTENTIAL")).when(F.col("differs") & F.array_contains(lines_said, F.col("qty_proposed")), out("POTENTIAL")).when(F.col("differs"), out("MISMATCH", wrong)).otherwise(out("EXACT"))
     verdict = F.when(F.col("kind") == "DELETE", delete).when(F.col("kind") == "ADD", add).when(F.col("kind") == "SUBSTITUTE", substitute).otherwise(modify)
-    return x.withColumn("v", verdict).select("form", "code", "change_ord", "kind", "actual", "proposed", "v.classification", "v.discrepancy")
+    minor = true("desc_differs") & (F.col("p_rows") > 0) & (((F.col("kind") == "ADD") & ~undecided) | ((F.col("kind") == "SUBSTITUTE") & (F.col("a_rows") == 0)))
+    return x.withColumn("v", verdict).select("form", "code", "change_ord", "kind", "actual", "proposed", "v.classification", "v.discrepancy", F.when(minor, "DESC_MISMATCH").alias("minor"))
+
+
+def _alike(changes: DataFrame, lines: DataFrame, terms: DataFrame | None, t: Thresholds) -> tuple[DataFrame, DataFrame]:
+    """Per change: does an active line under another number say the same (look_alike), and does the line chosen for what is proposed say something else (desc_differs)?"""
+    key = ["form", "code", "change_ord"]
+    texts = changes.where("description is not null and description <> ''").select(*key, "description", "actual", "proposed", "seq_proposed", "kind")
+    a = text.normalize_column(texts.select(F.col("code").alias("pair"), "description", F.lit(None).cast("string").alias("item_number"), F.col("code").alias("sku")).distinct().withColumn("item_ord", F.xxhash64("pair", "description")), "description")
+    b = text.normalize_column(lines.where("active").select(F.col("code").alias("pair"), "item_ord", "item_number", "description"), "description")
+    same = cut(matching.assignable(matching.ladder(a, b, terms=terms, t=t, prune=False)).select("pair", "a_ord", "b_ord"), "alike")
+    said = same.join(a.select("pair", F.col("item_ord").alias("a_ord"), "description"), ["pair", "a_ord"]).join(b.select("pair", F.col("item_ord").alias("b_ord"), F.col("item_number").alias("number")), ["pair", "b_ord"]).withColumnRenamed("pair", "code")
+    look = texts.where("kind = 'DELETE'").join(said, ["code", "description"]).where(F.col("number") != F.col("actual")).select(*key).distinct().withColumn("look_alike", F.lit(True))
+    wanted = text.parse_number(F.col("seq_proposed"))
+    on = lines.where("active").select("code", F.col("item_number").alias("proposed"), "item_ord", "oper_seq")
+    first = texts.where("kind in ('ADD', 'SUBSTITUTE')").join(on, ["code", "proposed"]).groupBy(*key, "description").agg(F.min_by("item_ord", F.struct(~F.coalesce(text.parse_number(F.col("oper_seq")) == wanted, F.lit(False)), "item_ord")).alias("b_ord"))
+    unlike = first.join(said, ["code", "description", "b_ord"], "left_anti").select(*key, F.lit(True).alias("desc_differs"))
+    return look, unlike
 
 
 # --- label revisions ------------------------------------------------------------------------------
 
 
-def revision_check(old: DataFrame, new: DataFrame, expected: DataFrame, *, rungs: str = "exact") -> DataFrame:
-    """Old against new lines of each set; differences explained by expected changes or flagged.
+def header_change(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A row per set: is the reference or the product's name another one? Each: pair, ref, product."""
+    a, b = (df.select("pair", F.coalesce("ref", F.lit("")).alias(f"{s}_ref"), F.coalesce("product", F.lit("")).alias(f"{s}_product")) for df, s in ((old, "a"), (new, "b")))
+    x = a.join(b, "pair")
+    same = (F.col("a_ref") == F.col("b_ref")) & (F.col("a_product") == F.col("b_product"))
+    return x.select("pair", "a_ref", "b_ref", F.when(same, "EXACT").otherwise("MISMATCH").alias("classification"), findings(finding(~same, "UNEXPECTED_LABEL_CHANGE", "MAJOR")).alias("discrepancies"))
+
 
-    old, new: as side A and B of pairing_check(); expected: pair, exp_ord, kind (ADD, REMOVE, QTY), exp_key, quantity. The
-    k-th difference of a kind and text is explained by the k-th expectation of it; those left over are absent unless the
-    new revision already satisfies them.
+def _allotted(rows: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """The k-th row of a key with its k-th expectation. rows: keys, place; expected: keys, exp_ord."""
+    k = lambda order: F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return rows.withColumn("k", k("place")).join(expected.withColumn("k", k("exp_ord")), [*keys, "k"], "left").drop("k")
+
+
+def revision_check(old: DataFrame, new: DataFrame, expected: DataFrame, *, rungs: str = "exact", terms: DataFrame | None = None) -> DataFrame:
+    """Old against new lines of each set; each difference is explained by an expected change or flagged.
+
+    old, new: as side A and B of pairing_check(); expected: pair, exp_ord, kind (ADD, REMOVE, SUBSTITUTE, QTY), exp_key,
+    quantity, old_key (of a SUBSTITUTE, may be null). Keys are normalised texts in any order; the k-th difference of a kind
+    and text takes the k-th expectation of it. A pair of lines is UNCHANGED only if text, quantity, sub-quantity and unit
+    are the same. Expectations left over are satisfied if the new revision shows what they ask for: an ADD that is there, a
+    REMOVE that isn't, a QTY with that quantity, a SUBSTITUTE that is there while the outgoing text isn't; others are absent.
+    """
+    rows = cut(pairing_check(old, new, Policy("LABEL_REVISION", "V", True, "UNEXPECTED_LABEL_CHANGE", "UNEXPECTED_LABEL_CHANGE"), rungs=rungs, terms=terms), "rows")
+    told = lambda df, s: df.select("pair", F.col("item_ord").alias(f"{s}_ord"), F.col("quantity").alias(f"{s}_quantity"), F.upper(F.coalesce("uom", F.lit("EACH"))).alias(f"{s}_uom"), *[F.col(c).alias(f"{s}_{c}") if c in df.columns else F.lit(None).cast(t).alias(f"{s}_{c}") for c, t in (("sub_value", "int"), ("sub_kind", "string"))])
+    x = rows.select("pair", "a_ord", "b_ord", "level", "a_description", "b_description").join(told(old, "a"), ["pair", "a_ord"], "left").join(told(new, "b"), ["pair", "b_ord"], "left")
+    x = text.normalize_column(text.normalize_column(x, "a_description", "a"), "b_description", "b")
+    one = {"EA": "EACH"}
+    unit = lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in one.items() for v in kv]), F.col(c)), F.col(c))
+    same = {
+        "DESC": F.col("level") == "EXACT",
+        "QTY": F.coalesce(F.col("a_quantity") == F.col("b_quantity"), F.lit(False)),
+        "SUB": F.col("a_sub_value").eqNullSafe(F.col("b_sub_value")) & F.col("a_sub_kind").eqNullSafe(F.col("b_sub_kind")),
+        "UOM": unit("a_uom") == unit("b_uom"),
+    }
+    both = F.col("a_ord").isNotNull() & F.col("b_ord").isNotNull()
+    changes = F.when(F.col("b_ord").isNull(), F.array(F.lit("REMOVED"))).when(F.col("a_ord").isNull(), F.array(F.lit("ADDED"))).otherwise(F.array_compact(F.array(*[F.when(~ok, F.lit(c)) for c, ok in same.items()])))
+    x = cut(x.withColumns({"changes": changes, "place": F.coalesce("a_ord", "b_ord")}), "changes")
+    unchanged = x.where(both & (F.size("changes") == 0)).select("pair", F.lit("UNCHANGED").alias("change"), F.col("b_key").alias("norm_key"), "a_ord", "b_ord", F.lit(None).cast("int").alias("exp_ord"), F.lit("EXACT").alias("classification"))
+
+    each = x.select("pair", "a_ord", "b_ord", "a_key", "b_key", "b_quantity", "place", F.explode("changes").alias("change"))
+    asks = F.when(F.col("change") == "REMOVED", "REMOVE").when(F.col("change") == "ADDED", "ADD").when(F.col("change") == "DESC", "SUBSTITUTE").when(F.col("change") == "QTY", "QTY")
+    each = each.select("pair", "a_ord", "b_ord", "place", "change", asks.alias("kind"), F.when(F.col("change") == "REMOVED", F.col("a_key")).otherwise(F.col("b_key")).alias("exp_key"), "b_quantity", "a_key")
+    want = expected.select("pair", "exp_ord", "kind", "exp_key", *[F.col(c) if c in expected.columns else F.lit(None).cast(t).alias(c) for c, t in (("quantity", "decimal(18,6)"), ("old_key", "string"))])
+    keys = ["pair", "kind", "exp_key"]
+    # a QTY is met at its quantity only, and a SUBSTITUTE of a given text by a line that had it
+    by_quantity = _allotted(each.where("kind = 'QTY'").withColumn("quantity", F.col("b_quantity")), want.where("kind = 'QTY'").select(*keys, "quantity", "exp_ord"), [*keys, "quantity"]).drop("quantity")
+    by_old = _allotted(each.where("kind = 'SUBSTITUTE'").withColumn("old_key", F.col("a_key")), want.where("kind = 'SUBSTITUTE' and old_key is not null").select(*keys, "old_key", "exp_ord"), [*keys, "old_key"]).drop("old_key")
+    by_new = _allotted(by_old.where("exp_ord is null").drop("exp_ord"), want.where("kind = 'SUBSTITUTE' and old_key is null").select(*keys, "exp_ord"), keys)
+    first = by_quantity.unionByName(by_old.where("exp_ord is not null")).unionByName(by_new)
+    first = first.unionByName(_allotted(each.where("kind in ('ADD', 'REMOVE')"), want.where("kind in ('ADD', 'REMOVE')").select(*keys, "exp_ord"), keys))
+    # a line that is new may be a substitution that names it
+    first = cut(first, "met")
+    rest = want.where("kind = 'SUBSTITUTE'").join(first.where("exp_ord is not null").select("pair", "exp_ord"), ["pair", "exp_ord"], "left_anti")
+    late = _allotted(first.where("kind = 'ADD' and exp_ord is null").drop("exp_ord").withColumn("kind", F.lit("SUBSTITUTE")), rest.select(*keys, "exp_ord"), keys)
+    met = first.where("not (kind = 'ADD' and exp_ord is null)").unionByName(late).unionByName(each.where("kind is null").withColumn("exp_ord", F.lit(None).cast(want.schema["exp_ord"].dataType)))
+    qty_off = want.select("pair", "exp_ord", F.col("quantity").alias("asked"))
+    met = cut(met.join(qty_off, ["pair", "exp_ord"], "left"), "met")
+    off = (F.col("change") == "ADDED") & F.col("asked").isNotNull() & ~F.coalesce(F.col("asked") == F.col("b_quantity"), F.lit(False))
+    found = met.select("pair", "change", F.col("exp_key").alias("norm_key"), "a_ord", "b_ord", "exp_ord", F.when(F.col("exp_ord").isNull(), "MISMATCH").when(off, "POTENTIAL").otherwise("EXACT").alias("classification"))
+
+    there = text.normalize_column(new.select("pair", "description", "quantity"), "description").groupBy("pair", "norm_key").agg(F.collect_set("quantity").alias("shown"))  # the quantities one text has in one set
+    left = want.join(met.where("exp_ord is not null").select("pair", "exp_ord"), ["pair", "exp_ord"], "left_anti")
+    left = left.join(there.select("pair", F.col("norm_key").alias("exp_key"), "shown"), ["pair", "exp_key"], "left").join(there.select("pair", F.col("norm_key").alias("old_key"), F.lit(True).alias("old_there")), ["pair", "old_key"], "left")
+    present = F.col("shown").isNotNull()
+    ok = F.when(F.col("kind") == "ADD", present).when(F.col("kind") == "REMOVE", ~present).when(F.col("kind") == "QTY", present & F.coalesce(F.array_contains("shown", F.col("quantity")), F.lit(False))).otherwise(present & (F.col("old_key").isNull() | F.col("old_there").isNull()))
+    none = F.lit(None).cast("int")
+    absent = left.select("pair", F.when(ok, "SATISFIED").otherwise("ABSENT").alias("change"), F.col("exp_key").alias("norm_key"), none.alias("a_ord"), none.alias("b_ord"), "exp_ord", F.when(ok, "EXACT").otherwise("MISSING").alias("classification"))
+    return unchanged.unionByName(found).unionByName(absent)
+
+
+def expected_changes(changes: DataFrame, codes: DataFrame, boms: DataFrame) -> DataFrame:
+    """What change forms let a label's next revision show, per affected set.
+
+    changes: form, change_ord, kind, actual, proposed, description, qty_proposed; codes: form, sku; boms: sku, item_number,
+    item_ord, description. Only physical components count; a SUBSTITUTE names the outgoing text, from the set's own bill of
+    materials if it has it, else from the first one that does; a MODIFY asks for a quantity.
     """
-    rows = pairing_check(old, new, Policy("LABEL_REVISION", "V", True, "UNEXPECTED_LABEL_CHANGE", "UNEXPECTED_LABEL_CHANGE"), rungs=rungs)
-    kind = F.when(F.col("b_ord").isNull(), "REMOVE").when(F.col("a_ord").isNull(), "ADD").when(F.exists("discrepancies", lambda d: d["type"] == "QTY_MISMATCH"), "QTY").otherwise("UNCHANGED")
-    rows = text.normalize_column(cut(rows, "rows").withColumn("change", kind).withColumn("said", F.coalesce("b_description", "a_description")), "said").select("pair", "change", "a_ord", "b_ord", "norm_key")
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("pair", "change", "norm_key")
-    rows = rows.withColumn("k", F.row_number().over(by.orderBy(F.coalesce("a_ord", "b_ord"))))
-    want = expected.select("pair", F.col("kind").alias("change"), F.col("exp_key").alias("norm_key"), "exp_ord").withColumn("k", F.row_number().over(by.orderBy("exp_ord")))
-    met = rows.join(want, ["pair", "change", "norm_key", "k"], "left")
-    found = met.select("pair", "change", "norm_key", "a_ord", "b_ord", "exp_ord", F.when((F.col("change") == "UNCHANGED") | F.col("exp_ord").isNotNull(), "EXACT").otherwise("MISMATCH").alias("classification"))
-    present = text.normalize_column(new.select("pair", "description"), "description").select("pair", "norm_key").distinct().withColumn("there", F.lit(True))
-    left = want.join(rows, ["pair", "change", "norm_key", "k"], "left_anti").join(present, ["pair", "norm_key"], "left")
-    satisfied = F.when(F.col("change") == "REMOVE", F.col("there").isNull()).otherwise(F.col("there").isNotNull() & (F.col("change") == "ADD"))
-    absent = left.select("pair", "change", "norm_key", F.lit(None).cast("int").alias("a_ord"), F.lit(None).cast("int").alias("b_ord"), "exp_ord", F.when(satisfied, "EXACT").otherwise("MISSING").alias("classification"))
-    return found.unionByName(absent)
+    own = changes.join(codes.select("form", "sku"), "form")
+    category = text.categorize(F.coalesce(F.nullif("proposed", F.lit("")), F.col("actual")), F.col("description"), F.lit(None).cast("decimal(18,6)"))["category"]
+    own = own.where(category == text.PHYSICAL)
+    here = boms.groupBy("sku", F.col("item_number").alias("actual")).agg(F.min_by("description", "item_ord").alias("here"))
+    anywhere = boms.groupBy(F.col("item_number").alias("actual")).agg(F.min_by("description", F.struct("sku", "item_ord")).alias("anywhere"))
+    x = own.join(here, ["sku", "actual"], "left").join(anywhere, "actual", "left").withColumn("out", F.coalesce("here", "anywhere"))
+    kind = F.when(F.col("kind") == "DELETE", "REMOVE").when(F.col("kind") == "MODIFY", "QTY").otherwise(F.col("kind"))
+    return x.select("sku", "form", "change_ord", kind.alias("kind"), F.coalesce(F.when(F.col("kind") == "DELETE", F.col("out")), F.col("description")).alias("description"), text.parse_decimal(F.col("qty_proposed")).alias("quantity"), F.when(F.col("kind") == "SUBSTITUTE", F.col("out")).alias("old_description"))
+
+
+def mark_kind(state: Column, classification: Column, discrepancies: Column, requires_validation: Column) -> Column:
+    """How a line is marked on the annotated print: clear, discrepancy or review. state: what reviewers said (clear or discrepancy), or null."""
+    real = F.exists(discrepancies, lambda d: d["severity"] != "INFO") | classification.isin("MISMATCH", "MISSING")
+    return F.when(state.isin("clear", "discrepancy"), state).when(real, "discrepancy").when(requires_validation, "review").otherwise("clear")
+
+
+def drawing_relevant(lines: DataFrame) -> DataFrame:
+    """Lines that a packaging drawing must show: comparable ones, and packaging that is active; merged rows come first by item_ord."""
+    ok = comparable(F.col("category"), F.col("quantity"), F.col("active"))["ok"]
+    return lines.where(ok | ((F.col("category") == "PACKAGING") & F.col("active")))
+
+
+def header_items(documents: DataFrame) -> DataFrame:
+    """A line per document that stands for its header. documents: doc, doc_type, sku, header (a map)."""
+    h = lambda k: F.coalesce(F.try_element_at("header", F.lit(k)), F.lit(""))
+    sku = F.coalesce("sku", F.lit(""))
+    kind = F.col("doc_type")
+    code = F.when(kind.isin("BOM", "LABEL"), sku).when(kind == "PCO", h("pco_number")).otherwise(F.coalesce(F.nullif(h("drawing_number"), F.lit("")), sku))
+    revision = F.coalesce(F.try_element_at("header", F.lit("revision")), F.lit("?"))
+    said = F.when(kind == "BOM", h("parent_description")).when(kind == "LABEL", h("product_name")).when(kind == "PCO", F.concat(F.lit("PCO "), h("pco_number"), F.lit(" rev "), revision)).otherwise(h("title"))
+    raw = F.when(kind == "BOM", F.concat(F.lit("Parent Item "), sku)).when(kind == "LABEL", F.concat(F.lit("REF "), sku)).when(kind == "PCO", F.concat(F.lit("PCO "), h("pco_number"))).otherwise(F.concat(F.lit("Drawing "), h("drawing_number")))
+    return documents.select("doc", "doc_type", F.nullif(code, F.lit("")).alias("item_number"), F.coalesce(F.nullif(said, F.lit("")), F.lower("doc_type")).alias("description"), raw.alias("raw_text"))
 
 
 def violations(df: DataFrame, rules: dict[str, Column], key: str) -> DataFrame:

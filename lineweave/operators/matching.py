@@ -49,6 +49,14 @@ def exact_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     return _outcome(left.where("norm_key <> ''").join(right, ["pair", "norm_key"]), "EXACT", F.lit(1.0))
 
 
+def exact_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """What the assignment makes of exact candidates alone: of each key the k-th line of A with the k-th of B."""
+    k = F.row_number().over(Window.partitionBy("pair", "norm_key").orderBy("item_ord"))
+    side = lambda df, s: df.where("norm_key <> ''").select("pair", "norm_key", F.col("item_ord").alias(f"{s}_ord"), k.alias("k"))
+    both = side(a, "a").join(side(b, "b"), ["pair", "norm_key", "k"])
+    return both.select("pair", "a_ord", "b_ord", F.lit(LEVELS["EXACT"]).alias("level_rank"), F.lit(1.0).alias("score"), F.lit("EXACT").alias("level"), F.lit(False).alias("confirm"), F.lit(None).cast("string").alias("relationship_id"))
+
+
 def term_keys(terms: DataFrame) -> DataFrame:
     """A row per active relationship and normalised term. terms: id, canonical, aliases, scope, item_anchors, doc_types, active."""
     words = terms.where("active").select("id", "scope", F.explode(F.array_distinct(F.concat(F.array("canonical"), F.coalesce("aliases", F.array())))).alias("term"))
@@ -61,7 +69,11 @@ def specificity(scope: Column, sku: Column) -> Column:
 
 
 def dictionary_candidates(a: DataFrame, b: DataFrame, terms: DataFrame) -> DataFrame:
-    """Pairs whose both texts are terms of one relationship, or whose A number is anchored and B text a term; the most specific scope, then the smallest id."""
+    """Pairs whose both texts are terms of one relationship, or whose A number is anchored and B text a term; the most specific scope, then the smallest id.
+
+    A relationship with doc_types holds only if these have the types of both sides; a column doc_types of A's lines (the two
+    types of their pair, as an array) says which they are, and without it all hold.
+    """
     keys = term_keys(terms)
     left, right = _sides(a, b, ["pair"])
     b_terms = right.join(keys, right["b_norm_key"] == keys["term_key"]).drop("term_key")
@@ -70,18 +82,51 @@ def dictionary_candidates(a: DataFrame, b: DataFrame, terms: DataFrame) -> DataF
     by_anchor = left.join(anchors, F.col("a_item_number") == F.col("a_key")).join(b_terms, ["pair"]).where("a_id = id").withColumn("kind", F.lit(1))
     spec = specificity(F.col("scope"), F.col("a_sku"))
     found = by_term.unionByName(by_anchor).withColumn("spec", spec).where("spec is not null")
+    if "doc_types" in terms.columns and "doc_types" in a.columns:
+        told = terms.select("id", F.coalesce("doc_types", F.array().cast("array<string>")).alias("_types"))
+        found = found.join(told, "id").where((F.size("_types") == 0) | (F.size(F.array_except("a_doc_types", "_types")) == 0))
     best = found.groupBy("pair", "a_item_ord", "b_item_ord").agg(F.min(F.struct((-F.col("spec")).alias("s"), "id", "kind")).alias("x"))
     return _outcome(best, "RELATIONSHIP", F.lit(1.0), confirm=F.col("x.kind") == 1, relationship=F.col("x.id"))
 
 
+def _bag(words: Column) -> Column:
+    """Of the content words of a text, laid end to end: how many there are of each character of BAG and of others."""
+    said = F.array_join(words, " ")
+    each = [F.length(said) - F.length(F.replace(said, F.lit(c))) for c in BAG]
+    return F.array(*each, F.length(said) - sum(each[1:], each[0]))
+
+
+def _may_reach(least: float) -> Column:
+    """Can texts a and b, by the characters that both have, be similar enough? Lengths are of distinct words, which the ratio takes at least."""
+    common = F.aggregate(F.zip_with("a_bag", "b_bag", lambda p, q: F.least(p, q)), F.lit(0), lambda acc, v: acc + v)
+    return 2.0 * common >= (least - 1e-4) * (F.col("a_chars") + F.col("b_chars"))
+
+
+def _chars(words: Column) -> Column:
+    return F.length(F.array_join(F.array_distinct(words), " "))
+
+
+#: Characters counted one by one in the bound below; the others are one class.
+BAG = " ETAIONSRLDC0123456789"
+
+
 def fuzzy_candidates(a: DataFrame, b: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """Similar pairs of a set; each distinct pair of texts is scored once. Below the floor none, below `potential` weak."""
-    left, right = _sides(a, b, ["pair"])
-    both = left.join(right, "pair").where("a_norm_text <> '' and b_norm_text <> ''")
+    """Similar pairs of a set; each distinct pair of texts is scored once. Below the floor none, below `potential` weak.
+
+    Texts are compared once per set. Those that share no word are similar by characters alone, at most by those that both
+    have: such pairs, if that bound is below the floor, are dropped in the join and never scored.
+    """
     words = lambda side: text.content_tokens(F.col(f"{side}_norm_tokens"))
-    distinct = both.select("a_norm_text", "b_norm_text", "a_norm_tokens", "b_norm_tokens").dropDuplicates(["a_norm_text", "b_norm_text"])
-    scored = distinct.select("a_norm_text", "b_norm_text", text.similarity_udf(words("a"), words("b")).alias("score")).where(F.col("score") >= t.floor)
-    found = both.join(scored, ["a_norm_text", "b_norm_text"])
+    left, right = _sides(a, b, ["pair"])
+    left, right = left.where("a_norm_text <> ''"), right.where("b_norm_text <> ''")
+    kinds = lambda df, s: df.select("pair", f"{s}_norm_text", f"{s}_norm_tokens").dropDuplicates(["pair", f"{s}_norm_text"]).withColumns({f"{s}_words": words(s), f"{s}_bag": _bag(words(s)), f"{s}_chars": _chars(words(s))})
+    x, y = kinds(left, "a"), kinds(right, "b")
+    may = F.arrays_overlap("a_words", "b_words") | _may_reach(t.floor)
+    near = cut(x.join(y.withColumnRenamed("pair", "_p"), (F.col("pair") == F.col("_p")) & may).select("pair", "a_norm_text", "b_norm_text", "a_words", "b_words"), "near")
+    distinct = near.dropDuplicates(["a_norm_text", "b_norm_text"])
+    scored = distinct.select("a_norm_text", "b_norm_text", text.similarity_udf("a_words", "b_words").alias("score")).where(F.col("score") >= t.floor)
+    kept = near.select("pair", "a_norm_text", "b_norm_text").join(scored, ["a_norm_text", "b_norm_text"])
+    found = left.join(kept, ["pair", "a_norm_text"]).join(right, ["pair", "b_norm_text"])
     return _outcome(found, "FUZZY", F.col("score"), weak=F.col("score") < t.potential, conflict=text.numeric_conflict(F.col("a_norm_numbers"), F.col("b_norm_numbers")))
 
 
@@ -124,9 +169,10 @@ def ladder(a: DataFrame, b: DataFrame, *, terms: DataFrame | None = None, vector
     free_a, free_b = a, b
     if prune:
         taken = cut(greedy_pairs(sure), "taken")
-        free_a = a.join(taken.select("pair", F.col("a_ord").alias("item_ord")), ["pair", "item_ord"], "left_anti")
+        free_a = cut(a.join(taken.select("pair", F.col("a_ord").alias("item_ord")), ["pair", "item_ord"], "left_anti"), "free")
         free_b = b.join(taken.select("pair", F.col("b_ord").alias("item_ord")), ["pair", "item_ord"], "left_anti")
-        near = fuzzy_candidates(free_a, b, t).unionByName(fuzzy_candidates(a, free_b, t)).distinct()
+        held_a = a.join(taken.select("pair", F.col("a_ord").alias("item_ord")), ["pair", "item_ord"], "left_semi")
+        near = fuzzy_candidates(free_a, b, t).unionByName(fuzzy_candidates(held_a, free_b, t))
     else:
         near = fuzzy_candidates(a, b, t)
     more = [semantic_candidates(a, b, vectors, t)] if vectors is not None else []
@@ -138,22 +184,37 @@ def assignable(c: DataFrame) -> DataFrame:
     return c.where("not weak and not conflict")
 
 
+#: Rounds of mutual best candidates before what is left, lines that are alike, is folded in order.
+ROUNDS = 12
+
+
 def greedy_pairs(candidates: DataFrame) -> DataFrame:
-    """One-to-one pairs, the best (level, score, a, b) first: an ordered fold over the candidates of a pair of documents.
+    """One-to-one pairs, the best (level, score, a, b) first.
 
-    Candidates that are the best of both their lines are taken at once; only what is left is folded, so that a pair of
-    large documents whose lines mostly agree keeps its fold short.
+    A candidate that is the best of both its lines is what the ordered choice would take, so rounds of these, each without
+    the lines that are taken, end with the same pairs; every shuffle is by line, never by pair of documents. Rounds end when
+    nothing is left; only what many equal lines leave after ROUNDS of them is folded in order.
     """
-    own = assignable(candidates).select("pair", "a_ord", "b_ord", "level_rank", "score", "level", "confirm", "relationship_id")
-    order = [F.col("level_rank").desc(), F.col("score").desc(), F.col("a_ord"), F.col("b_ord")]
-    ranked = own.withColumn("ra", F.row_number().over(Window.partitionBy("pair", "a_ord").orderBy(*order))).withColumn("rb", F.row_number().over(Window.partitionBy("pair", "b_ord").orderBy(*order)))
-    mutual = ranked.where("ra = 1 and rb = 1").drop("ra", "rb")
-    rest = own.join(mutual.select("pair", "a_ord"), ["pair", "a_ord"], "left_anti").join(mutual.select("pair", "b_ord"), ["pair", "b_ord"], "left_anti")
-    key = F.struct((-F.col("level_rank")).alias("r"), (-F.col("score")).alias("s"), "a_ord", "b_ord", "level_rank", "score", "level", "confirm", "relationship_id")
-    listed = rest.groupBy("pair").agg(F.array_sort(F.collect_list(key)).alias("c"))
-    used = lambda taken, c: F.exists(taken, lambda x: (x["a_ord"] == c["a_ord"]) | (x["b_ord"] == c["b_ord"]))
-    folded = listed.select("pair", F.explode(F.aggregate("c", F.filter("c", lambda x: F.lit(False)), lambda taken, c: F.when(used(taken, c), taken).otherwise(F.concat(taken, F.array(c))))).alias("x"))
-    return mutual.unionByName(folded.select("pair", "x.a_ord", "x.b_ord", "x.level_rank", "x.score", "x.level", "x.confirm", "x.relationship_id"))
+    kept = ["pair", "a_ord", "b_ord", "level_rank", "score", "level", "confirm", "relationship_id"]
+    rest = cut(assignable(candidates).select(*kept), "rest")
+    key = F.struct((-F.col("level_rank")).alias("r"), (-F.col("score")).alias("s"), "a_ord", "b_ord")
+    found = None
+    for _ in range(ROUNDS):
+        if rest.isEmpty():
+            break
+        of_a = rest.groupBy("pair", "a_ord").agg(F.min(key).alias("x")).select("pair", "a_ord", F.col("x.b_ord").alias("b_ord"))
+        of_b = rest.groupBy("pair", "b_ord").agg(F.min(key).alias("y")).select("pair", F.col("y.a_ord").alias("a_ord"), "b_ord")
+        taken = of_a.join(of_b, ["pair", "a_ord", "b_ord"])
+        mutual = cut(rest.join(taken, ["pair", "a_ord", "b_ord"], "left_semi"), "mutual")
+        found = mutual if found is None else found.unionByName(mutual)
+        rest = cut(rest.join(mutual.select("pair", "a_ord"), ["pair", "a_ord"], "left_anti").join(mutual.select("pair", "b_ord"), ["pair", "b_ord"], "left_anti"), "rest")
+    else:
+        each = F.struct((-F.col("level_rank")).alias("r"), (-F.col("score")).alias("s"), *kept[1:])
+        listed = rest.groupBy("pair").agg(F.array_sort(F.collect_list(each)).alias("c"))
+        used = lambda taken, c: F.exists(taken, lambda x: (x["a_ord"] == c["a_ord"]) | (x["b_ord"] == c["b_ord"]))
+        folded = listed.select("pair", F.explode(F.aggregate("c", F.filter("c", lambda x: F.lit(False)), lambda taken, c: F.when(used(taken, c), taken).otherwise(F.concat(taken, F.array(c))))).alias("x"))
+        found = found.unionByName(folded.select("pair", *[f"x.{c}" for c in kept[1:]]))
+    return rest if found is None else found
 
 
 def ambiguities(candidates: DataFrame, pairs: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -176,22 +237,26 @@ def hints(candidates: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     return best.select("pair", F.col(own).alias("item_ord"), F.col(f"x.{other}").alias("hint_ord"), F.col("x.score").alias("hint_score"), F.col("x.weak").alias("hint_weak"), F.col("x.conflict").alias("hint_conflict"))
 
 
-def find_anywhere(a: DataFrame, b: DataFrame, t: Thresholds = Thresholds(), common: int = 1000) -> DataFrame:
-    """Similar lines in any document: distinct texts that share one of A's two rarest words, then scored.
+def find_anywhere(a: DataFrame, b: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """Similar lines in any document: all pairs of distinct texts that share a word and score `potential` or more.
 
-    Words that over `common` texts of B have are not blocked on alone: they go together with A's next word, so no word makes
-    a block of unbounded size; what that misses is measured against the exact join in the tests.
+    Equal word sets join by key. Of two other texts of n and m content words the score is 1 only if one's words contain the
+    other's; else it is an indel ratio. Each text is filed under its words, and a pair is met once, at the first word in
+    alphabetical order that both have; words that many texts have are parted, both sides dealt into square blocks, so no word is capped
+    and none makes one large task. Before scoring, the bound by characters must reach `potential`.
     """
-    left = a.select("norm_text", "norm_tokens").dropDuplicates(["norm_text"])
-    right = b.select("norm_text", "norm_tokens").dropDuplicates(["norm_text"])
-    words = lambda df: df.select("norm_text", "norm_tokens", F.explode(F.array_distinct(text.content_tokens(F.col("norm_tokens")))).alias("w"))
-    count = words(right).groupBy("w").count()
-    by_rarity = words(left).join(count, "w").groupBy("norm_text").agg(F.slice(F.array_sort(F.collect_list(F.struct("count", "w"))), 1, 3).alias("r"), F.first("norm_tokens").alias("norm_tokens"))
-    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.size("r")), lambda k: F.when(F.element_at("r", k)["count"] <= common, F.element_at("r", k)["w"])), lambda w: w.isNotNull())
-    single = by_rarity.select("norm_text", "norm_tokens", F.explode(F.slice(pairs, 1, 2)).alias("w")).join(words(right).select(F.col("norm_text").alias("b_text"), F.col("norm_tokens").alias("b_tokens"), "w"), "w")
-    hit = single.select("norm_text", "norm_tokens", "b_text", "b_tokens")
-    frequent = by_rarity.where((F.size("r") >= 2) & (F.element_at("r", 1)["count"] > common)).select("norm_text", "norm_tokens", F.element_at("r", 1)["w"].alias("w"), F.element_at("r", 2)["w"].alias("v"))
-    both = words(right).select(F.col("norm_text").alias("b_text"), F.col("norm_tokens").alias("b_tokens"), "w").withColumn("v", F.explode(text.content_tokens(F.col("b_tokens"))))
-    hit = hit.unionByName(frequent.join(both, ["w", "v"]).select("norm_text", "norm_tokens", "b_text", "b_tokens")).dropDuplicates(["norm_text", "b_text"])
-    scored = hit.withColumn("score", text.similarity_udf(text.content_tokens(F.col("norm_tokens")), text.content_tokens(F.col("b_tokens"))))
-    return scored.where(F.col("score") >= t.potential).select(F.col("norm_text").alias("a_text"), "b_text", "score")
+    kinds = lambda df: df.where("norm_text <> ''").select("norm_text", F.array_sort(F.array_distinct(text.content_tokens(F.col("norm_tokens")))).alias("w"), text.content_tokens(F.col("norm_tokens")).alias("words")).dropDuplicates(["norm_text"])
+    x, y = (cut(kinds(df).withColumns({"bag": _bag(F.col("words")), "chars": _chars(F.col("words"))}), "kinds") for df in (a, b))
+    many = y.select(F.explode("w").alias("v")).groupBy("v").count()
+    side = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("count") / 5000.0))).cast("int")
+    filed = lambda df: df.withColumn("v", F.explode("w")).join(many, "v").withColumns({"k": F.pmod(F.xxhash64("norm_text"), side).cast("int"), "all": F.sequence(F.lit(0), side - 1)})
+    left = filed(x).withColumns({"i": F.col("k"), "j": F.explode("all")}).select("v", "i", "j", F.col("norm_text").alias("a_text"), F.col("w").alias("aw"), F.col("words").alias("a_words"), F.col("bag").alias("a_bag"), F.col("chars").alias("a_chars"))
+    right = filed(y).withColumns({"j": F.col("k"), "i": F.explode("all")}).select("v", "i", "j", F.col("norm_text").alias("b_text"), F.col("w").alias("bw"), F.col("words").alias("b_words"), F.col("bag").alias("b_bag"), F.col("chars").alias("b_chars"))
+    own = F.array_intersect("aw", "bw")
+    inside = (F.size(own) == F.size("aw")) | (F.size(own) == F.size("bw"))
+    both = F.length(F.array_join(own, " "))
+    most = 2.0 * both >= (t.potential - 1e-4) * (both + F.least("a_chars", "b_chars"))  # the shared words against one side
+    may = (F.element_at(own, 1) == F.col("v")) & (inside | most | _may_reach(t.potential))
+    met = left.join(right, ["v", "i", "j"]).where(may)
+    scored = met.select("a_text", "b_text", text.similarity_udf("a_words", "b_words").alias("score"))
+    return scored.where(F.col("score") >= t.potential)

@@ -34,11 +34,11 @@ def decision_pivot(decisions: DataFrame) -> DataFrame:
 
 
 def row_state(results: DataFrame, decisions: DataFrame, finals: DataFrame) -> DataFrame:
-    """FINALIZED, AGREED, DISAGREEMENT, ONE_REVIEWER or UNREVIEWED, and the classification that counts."""
+    """FINALIZED, AGREED, DISAGREEMENT, REVIEWER_1_COMPLETE, REVIEWER_2_COMPLETE or ENGINE_RECOMMENDED, and the classification that counts."""
     x = results.join(decision_pivot(decisions), ROW, "left").join(finals, ROW, "left")
     same = (F.col("d1") == F.col("d2")) & F.col("o1").eqNullSafe(F.col("o2"))
     both = F.col("d1").isNotNull() & F.col("d2").isNotNull()
-    state = F.when(F.col("final").isNotNull(), "FINALIZED").when(both & same, "AGREED").when(both, "DISAGREEMENT").when(F.col("d1").isNotNull() | F.col("d2").isNotNull(), "ONE_REVIEWER").otherwise("UNREVIEWED")
+    state = F.when(F.col("final").isNotNull(), "FINALIZED").when(both & same, "AGREED").when(both, "DISAGREEMENT").when(F.col("d1").isNotNull(), "REVIEWER_1_COMPLETE").when(F.col("d2").isNotNull(), "REVIEWER_2_COMPLETE").otherwise("ENGINE_RECOMMENDED")
     own = lambda k: F.when(F.col(f"d{k}") == "OVERRIDE", F.col(f"o{k}"))
     return x.withColumns({"state": state, "effective": F.coalesce(own(2), own(1), F.col("classification"))})
 
@@ -56,7 +56,7 @@ def blind_view(states: DataFrame, slot: int, blind: bool) -> DataFrame:
     hidden = F.lit(blind and slot == 2) & F.col("d2").isNull()
     show = lambda c, otherwise=None: F.when(hidden, F.lit(otherwise)).otherwise(F.col(c)).alias(c)
     masked = {"d1", "o1", "final"}
-    return states.select(*[show(c) if c in masked else show(c, "UNREVIEWED") if c == "state" else F.when(hidden, F.col("classification")).otherwise(F.col(c)).alias(c) if c == "effective" else F.col(c) for c in states.columns])
+    return states.select(*[show(c) if c in masked else show(c, "ENGINE_RECOMMENDED") if c == "state" else F.when(hidden, F.col("classification")).otherwise(F.col(c)).alias(c) if c == "effective" else F.col(c) for c in states.columns])
 
 
 def review_seconds(opened: DataFrame, decided: DataFrame, keys: list[str], most: int = MOST_S) -> DataFrame:
@@ -96,31 +96,66 @@ def open_discrepancies(results: DataFrame) -> DataFrame:
     return d.groupBy(F.col("d.type").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.min(rank).cast("int").alias("rank")).withColumn("worst", F.element_at(F.array(*map(F.lit, SEVERITIES)), F.col("rank")))
 
 
-def queue(results: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """A page of the review queue: severity, ambiguous, potential, low confidence, set, row."""
+def queue_order() -> list[Column]:
+    """Severity, ambiguous, potential, low confidence, set, row."""
     has = lambda kind: ~F.exists("discrepancies", lambda d: d["type"] == kind)
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), worst_severity(F.col("discrepancies"))), F.lit(9))
-    return results.orderBy(rank, has("AMBIGUOUS_MATCH"), F.col("classification") != "POTENTIAL", has("LOW_EXTRACTION_CONFIDENCE"), "sku", "row_id").offset(offset).limit(limit)
+    return [rank, has("AMBIGUOUS_MATCH"), F.col("classification") != "POTENTIAL", has("LOW_EXTRACTION_CONFIDENCE"), F.col("sku"), F.col("row_id")]
+
+
+def queue(results: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """A page of the review queue."""
+    return results.orderBy(*queue_order()).offset(offset).limit(limit)
 
 
 def _findings(results: DataFrame) -> DataFrame:
     by = Window.partitionBy("comparison_key").orderBy("row_id")
-    real = F.filter("discrepancies", lambda d: d["severity"] != "INFO")
-    kinds = F.array_join(F.array_sort(F.transform(real, lambda d: d["type"])), ",")
-    return results.where("role <> 'exempt'").select("comparison_key", "sku", F.row_number().over(by).alias("k"), kinds.alias("kinds"), "classification", "requires_validation")
+    kinds = F.array_join(F.transform("discrepancies", lambda d: d["type"]), ",")
+    return results.where("role <> 'exempt'").select("comparison_key", "sku", "check", F.row_number().over(by).alias("k"), kinds.alias("kinds"), "classification", "requires_validation")
+
+
+#: What may have become of a comparison, in the order of a report.
+STATUSES = ("resolved", "new", "still_open", "changed", "unchanged", "gone", "not_covered")
 
 
 def run_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Every comparison of two runs, aligned by key and occurrence, with what became of it."""
+    """Every comparison of two runs, aligned by key and occurrence, with what became of it; a finding of any severity counts."""
     sets = before.select("sku").intersect(after.select("sku")).withColumn("covered", F.lit(True))
-    side = lambda df, s: _findings(df).select("comparison_key", "k", *[F.col(c).alias(f"{s}_{c}") for c in ("sku", "kinds", "classification", "requires_validation")], F.lit(True).alias(f"{s}_in"))
-    x = side(before, "b").join(side(after, "a"), ["comparison_key", "k"], "full_outer").withColumn("sku", F.coalesce("b_sku", "a_sku"))
+    side = lambda df, s: _findings(df).select("comparison_key", "k", *[F.col(c).alias(f"{s}_{c}") for c in ("sku", "check", "kinds", "classification", "requires_validation")], F.lit(True).alias(f"{s}_in"))
+    x = side(before, "b").join(side(after, "a"), ["comparison_key", "k"], "full_outer").withColumns({"sku": F.coalesce("b_sku", "a_sku"), "check": F.coalesce("b_check", "a_check")})
     x = x.join(sets, "sku", "left")
     had, has = F.coalesce(F.col("b_kinds") != "", F.lit(False)), F.coalesce(F.col("a_kinds") != "", F.lit(False))
     there, here = F.col("b_in").isNotNull(), F.col("a_in").isNotNull()
     differs = ~(F.col("b_classification").eqNullSafe(F.col("a_classification")) & F.col("b_requires_validation").eqNullSafe(F.col("a_requires_validation")))
     status = F.when(F.col("covered").isNull(), "not_covered").when(there & ~here, "gone").when(~there & has, "new").when(~there, "changed").when(had & ~has, "resolved").when(~had & has, "new").when(had & has, "still_open").when(differs, "changed").otherwise("unchanged")
-    return x.select("sku", "comparison_key", "k", "b_kinds", "a_kinds", status.alias("status"))
+    x = x.withColumn("status", status)
+    arrow = F.concat("b_classification", F.lit(" to "), "a_classification")
+    note = (
+        F.when((F.col("status") == "gone") & had, "the comparison no longer exists; it was not verified as fixed")
+        .when(F.col("status") == "gone", "the comparison no longer exists")
+        .when((F.col("status") == "changed") & ~there, "a new comparison with no discrepancy")
+        .when(F.col("status") == "changed", arrow)
+        .when((F.col("status") == "still_open") & (F.col("b_kinds") != F.col("a_kinds")), "still reported (different discrepancy type)")
+        .when(F.col("status") == "still_open", "still reported")
+        .otherwise("")
+    )
+    return x.select("sku", "check", "comparison_key", "k", "b_kinds", "a_kinds", "status", note.alias("note"))
+
+
+def diff_order(diff: DataFrame) -> DataFrame:
+    """In the order of a report: status, set, check, comparison."""
+    return diff.orderBy(F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status")), "sku", "check", "comparison_key", "k")
+
+
+def first_of_status(diff: DataFrame, n: int) -> DataFrame:
+    """The first n rows of each status."""
+    return diff.withColumn("place", F.row_number().over(Window.partitionBy("status").orderBy("sku", "check", "comparison_key", "k"))).where(F.col("place") <= n)
+
+
+def set_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Sets of two runs: added, removed or common."""
+    x = before.select("sku").distinct().withColumn("b", F.lit(True)).join(after.select("sku").distinct().withColumn("a", F.lit(True)), "sku", "full_outer")
+    return x.select("sku", F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").otherwise("common").alias("status"))
 
 
 def document_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -165,37 +200,143 @@ def set_rollup(results: DataFrame) -> DataFrame:
     return x.withColumn("status", status)
 
 
-def mining(results: DataFrame, known: DataFrame | None = None, rejected: DataFrame | None = None, least_sets: int = 2) -> DataFrame:
-    """Repeated similar pairings that a synonym would clear. results: also a_key, b_key."""
-    x = results.where("level = 'FUZZY' and a_key <> b_key")
+def mining(results: DataFrame, known: DataFrame | None = None, rejected: DataFrame | None = None, least_sets: int = 2, decisions: DataFrame | None = None) -> DataFrame:
+    """Repeated similar pairings that a synonym would clear. results: also a_key, b_key; known, rejected: a_key, b_key.
+
+    A row with any finding would still need review. decisions (run_id, row_id, slot, decision, override) tell how often
+    reviewers confirmed or contradicted a pairing. Item numbers of A are listed as anchors, checks by name; a pairing's
+    lists are of distinct values.
+    """
+    x = results.where("level = 'FUZZY' and a_key is not null and b_key is not null")
     for no in (known, rejected):
-        x = x if no is None else x.join(no.select("a_key", "b_key"), ["a_key", "b_key"], "left_anti")
-    alone = F.size(F.filter("discrepancies", lambda d: d["severity"] != "INFO")) == 0
-    out = x.groupBy("a_key", "b_key").agg(F.count_distinct("sku").alias("sets"), F.count(F.lit(1)).alias("rows"), F.count_if(alone).alias("would_clear"), F.count_if(~alone).alias("still_review"))
+        x = x if no is None else x.join(no.select("a_key", "b_key").distinct(), ["a_key", "b_key"], "left_anti")
+    clear = F.size("discrepancies") == 0
+    lists = [F.array_sort(F.collect_set(c)).alias(name) for c, name in (("check", "checks"), ("item_number", "item_anchors")) if c in x.columns]
+    if decisions is not None:
+        yes = (F.col("decision") == "ACCEPT") | ((F.col("decision") == "OVERRIDE") & F.col("override").isin("EQUIVALENT", "EXACT"))
+        no = (F.col("decision") == "CONFIRM_DISCREPANCY") | ((F.col("decision") == "OVERRIDE") & F.col("override").isin("MISMATCH", "MISSING"))
+        n = latest_decisions(decisions).groupBy(*ROW).agg(F.count_if(yes).alias("yes"), F.count_if(no).alias("no"))
+        x = x.join(n, ROW, "left")
+        lists += [F.coalesce(F.sum("yes"), F.lit(0)).alias("confirmed"), F.coalesce(F.sum("no"), F.lit(0)).alias("contradicted")]
+    out = x.groupBy("a_key", "b_key").agg(F.count_distinct("sku").alias("sets"), F.count(F.lit(1)).alias("rows"), F.count_if(clear).alias("would_clear"), F.count_if(~clear).alias("still_review"), *lists)
     return out.where(F.col("sets") >= least_sets)
 
 
+def suggestion_order(suggestions: DataFrame) -> DataFrame:
+    return suggestions.orderBy(F.desc("sets"), F.desc("confirmed"), "contradicted", "a_key", "b_key")
+
+
+def top_share(work: DataFrame, n: int, needs: int) -> DataFrame:
+    """How many rows the first n of a worklist clear, and their share, in per cent, of the rows that need validation."""
+    rows = F.coalesce(F.sum(F.when(F.col("rank") <= n, F.col("would_clear"))), F.lit(0))
+    return work.agg(F.count_if(F.col("rank") <= n).alias("n"), rows.alias("rows"), F.round(100.0 * rows / needs, 1).alias("pct") if needs else F.lit(0.0).alias("pct"))
+
+
 def worklist(suggestions: DataFrame) -> DataFrame:
     """Suggestions by how many rows they clear, with the running share of all that could be cleared.
 
     Suggestions are aggregates of distinct text pairs; ranks within ranges of would_clear are summed from totals per value,
-    so that the running total doesn't pass all of them through one task.
+    so that the running total passes a row per distinct count, not all of them, through one task.
     """
     totals = suggestions.groupBy("would_clear").agg(F.sum("would_clear").alias("s"), F.count(F.lit(1)).alias("n"))
     above = Window.orderBy(F.col("would_clear").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     base = totals.select("would_clear", F.coalesce(F.sum("s").over(above), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("first"), F.sum("s").over(every).alias("all"))
     inside = F.row_number().over(Window.partitionBy("would_clear").orderBy(F.col("sets").desc(), "a_key", "b_key"))
-    x = suggestions.withColumn("k", inside).join(F.broadcast(base), "would_clear")  # a row per distinct count
+    x = suggestions.withColumn("k", inside).join(base, "would_clear")
     running = F.col("base") + F.col("k") * F.col("would_clear")
     return x.select((F.col("first") + F.col("k")).alias("rank"), "a_key", "b_key", "sets", "would_clear", running.alias("running"), F.round(running / F.col("all"), 4).alias("share"))
 
 
-def business_case(results: DataFrame, *, per_check: float = 3.0, per_cleared: float = 0.25, baseline_per_row: float = 1.0, rate: float = 60.0, sets_per_project: int = 20, reviewers: int = 2, projects: int = 12) -> DataFrame:
-    """Minutes per set with and without the checks, saving, hours per project and yearly value, from row counts."""
+def business_case(results: DataFrame, *, per_check: float = 3.0, per_cleared: float = 0.25, baseline_per_row: float = 1.0, rate: float = 60.0, sets_per_project: int = 20, reviewers: int = 2, projects: int = 12, measured: DataFrame | None = None) -> DataFrame:
+    """Minutes per set with and without the checks, saving, reduction, hours per project and yearly value, from row counts.
+
+    Rows that a confirmation would clear (POTENTIAL, no finding, score of .95 or more) give the projection. measured: one row
+    of timing(); its median, from ten samples on, replaces the assumed minutes per check.
+    """
     item = F.col("role") != "exempt"
-    n = results.agg(F.count_distinct("sku").alias("sets"), F.count_if("requires_validation").alias("needs"), F.count_if(item & ~F.col("requires_validation")).alias("cleared"))
-    minutes = (F.col("needs") * per_check + F.col("cleared") * per_cleared) / F.col("sets")
+    confirmable = F.col("requires_validation") & (F.col("classification") == "POTENTIAL") & (F.size("discrepancies") == 0) & (F.col("score") >= 0.95)
+    n = results.agg(F.count_distinct("sku").alias("sets"), F.count_if("requires_validation").alias("needs"), F.count_if(item & ~F.col("requires_validation")).alias("cleared"), F.count_if(confirmable).alias("confirmable"))
+    each, basis = F.lit(per_check), F.lit("assumed")
+    if measured is not None:
+        n = n.join(measured.select("samples", "median_s").limit(1), how="left")  # one row with one row
+        enough = F.coalesce(F.col("samples") >= 10, F.lit(False))
+        each, basis = F.when(enough, F.round(F.col("median_s") / 60, 2)).otherwise(per_check), F.when(enough, "measured").otherwise("assumed")
+    spent = lambda needs, cleared: (needs * each + cleared * per_cleared) / F.col("sets")
+    minutes = spent(F.col("needs"), F.col("cleared"))
+    later = spent(F.col("needs") - F.col("confirmable"), F.col("cleared") + F.col("confirmable"))
     baseline = (F.col("needs") + F.col("cleared")) * baseline_per_row / F.col("sets")
     hours = F.round((baseline - minutes) * sets_per_project * reviewers / 60, 1)
-    return n.select("sets", "needs", "cleared", F.round(minutes, 2).alias("minutes"), F.round(baseline, 2).alias("baseline"), hours.alias("hours"), F.round(hours * rate * projects, 0).alias("yearly"))
+    reduction = lambda m: F.when(baseline > 0, F.round(100 * (baseline - m) / baseline, 1)).otherwise(0.0)
+    return n.select("sets", "needs", "cleared", "confirmable", basis.alias("basis"), F.round(minutes, 2).alias("minutes"), F.round(baseline, 2).alias("baseline"), reduction(minutes).alias("reduction"), F.round(later, 2).alias("projected"), reduction(later).alias("projected_reduction"), hours.alias("hours"), F.round(hours * rate * projects, 0).alias("yearly"))
+
+
+# --- decisions, finals, items, audit ----------------------------------------------------------------
+
+#: Decisions and classifications.
+DECISIONS = ("ACCEPT", "CONFIRM_DISCREPANCY", "NEEDS_MORE_INFORMATION", "OVERRIDE")
+CLASSES = ("EXACT", "EQUIVALENT", "POTENTIAL", "MISMATCH", "MISSING")
+
+
+def checked_decisions(decisions: DataFrame) -> DataFrame:
+    """Adds error: null where a decision may be recorded. An override names a class; others' classes are dropped."""
+    error = (
+        F.when(~F.coalesce(F.col("slot").isin(1, 2), F.lit(False)), "reviewer slot must be 1 or 2")
+        .when(~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)), "unknown decision")
+        .when((F.col("decision") == "OVERRIDE") & ~F.coalesce(F.col("override").isin(*CLASSES), F.lit(False)), "OVERRIDE requires a classification")
+    )
+    return decisions.withColumns({"error": error, "override": F.when(F.col("decision") == "OVERRIDE", F.col("override"))})
+
+
+def latest_finals(finals: DataFrame) -> DataFrame:
+    """The last final decision of each row, of those with a known decision. finals: run_id, row_id, final, finalized_by, finalized_at."""
+    return latest(finals.where(F.col("final").isin(*DECISIONS)), ROW, "finalized_at", "final")
+
+
+def history(results: DataFrame, decisions: DataFrame, finals: DataFrame) -> DataFrame:
+    """What happened to each row, in order: the engine, reviewer 1, reviewer 2, the final decision."""
+    last = latest_decisions(decisions)
+    engine = results.select(*ROW, F.lit(0).alias("step"), F.lit("engine").alias("event"), F.col("classification").alias("said"))
+    said = F.concat_ws(":", "decision", "override")
+    seen = last.select(*ROW, F.col("slot").cast("int").alias("step"), F.concat(F.lit("reviewer_"), "slot").alias("event"), said.alias("said"))
+    return engine.unionByName(seen).unionByName(finals.select(*ROW, F.lit(3).alias("step"), F.lit("final").alias("event"), F.col("final").alias("said")))
+
+
+def state_counts(view: DataFrame) -> DataFrame:
+    """Rows per state, of a view as a reviewer may see it."""
+    return view.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def certificate(results: DataFrame, states: DataFrame, decisions: DataFrame, items: DataFrame, first: int = 8) -> DataFrame:
+    """Facts of a set's certificate: rows, decided, finalised and disputed ones, reviewers, decisions by kind, blind ones, the
+    last decision, and open action items, the first `first` of them by id."""
+    own = latest_decisions(decisions).join(results.select(*ROW, "sku"), ROW)
+    kinds = [F.count_if(F.col("decision") == d).alias(d.lower()) for d in DECISIONS]
+    d = own.groupBy("sku").agg(F.array_sort(F.collect_set("reviewer")).alias("reviewers"), F.count(F.lit(1)).alias("decisions"), *kinds, F.count_if("blind").alias("blind"), F.max("decided_at").alias("last_decision"))
+    s = states.groupBy("sku").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("state") == "FINALIZED").alias("finalized"), F.count_if(F.col("state") == "DISAGREEMENT").alias("disagreements"))
+    open_ = items.where("status = 'OPEN'").withColumn("place", F.row_number().over(Window.partitionBy("sku").orderBy("item_id")))
+    i = open_.groupBy("sku").agg(F.count(F.lit(1)).alias("open_items"), F.array_sort(F.collect_list(F.when(F.col("place") <= first, F.col("item_id")))).alias("first_items"))  # `first` ids of a set
+    return s.join(d, "sku", "left").join(i, "sku", "left").na.fill(0, ["decisions", *[x.lower() for x in DECISIONS], "blind", "open_items"])
+
+
+def item_states(events: DataFrame) -> DataFrame:
+    """The state of each action item after its last update. events: item_id, at, status, owner."""
+    return latest(events, ["item_id"], "at", "status")
+
+
+def audit_counts(audit: DataFrame) -> DataFrame:
+    """Events per actor and action. audit: at, actor, action."""
+    return audit.groupBy("actor", "action").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last"))
+
+
+def newest(events: DataFrame, at: str, n: int, *ties: str) -> DataFrame:
+    """The n newest events."""
+    return events.orderBy(F.desc(at), *map(F.desc, ties)).limit(n)
+
+
+def locked_until(failures: DataFrame, most: int = 5, minutes: int = 15) -> DataFrame:
+    """Until when an actor is locked out: `most` failures in a row lock for so many minutes from the last one. failures: actor, at, ok."""
+    order = Window.partitionBy("actor").orderBy("at")
+    runs = failures.withColumn("run", F.sum(F.col("ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    n = runs.where("not ok").groupBy("actor", "run").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last"))
+    return n.where(F.col("n") >= most).groupBy("actor").agg(F.max(F.col("last") + F.make_interval(mins=F.lit(minutes))).alias("locked_until"))

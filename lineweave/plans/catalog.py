@@ -10,7 +10,7 @@ from lineweave.operators import checks, evaluation, layout, matching, review, te
 from lineweave.plans.fixtures import fixture, table
 from lineweave.plans.oracles import ORACLE_SQL
 from lineweave.sources import tables
-from lineweave.sources.scratch import cut
+from lineweave.sources.scratch import cut, scratch
 from lineweave.streaming import events as streams
 
 QUERIES: dict = {}
@@ -127,7 +127,7 @@ def exact_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query
 def greedy_assignment(spark: SparkSession, d: str) -> DataFrame:
     a, b = _sides(spark, d)
-    return matching.greedy_pairs(cut(matching.first_rung(matching.exact_candidates(a, b)), "candidates")).select("pair", "a_ord", "b_ord")
+    return matching.exact_pairs(a, b).select("pair", "a_ord", "b_ord")
 
 
 @query
@@ -145,7 +145,7 @@ def numeric_guard(spark: SparkSession, d: str) -> DataFrame:
 
 def _residue(spark, d):
     a, b = _sides(spark, d, "label_fuzzy")
-    taken = cut(matching.greedy_pairs(cut(matching.first_rung(matching.exact_candidates(a, b)), "candidates")), "taken")
+    taken = cut(matching.exact_pairs(a, b), "taken")
     free = lambda x, side: cut(x.join(taken.select("pair", F.col(f"{side}_ord").alias("item_ord")), ["pair", "item_ord"], "left_anti"), "free")
     return free(a, "a"), free(b, "b")
 
@@ -167,7 +167,7 @@ def ladder_levels(spark: SparkSession, d: str) -> DataFrame:
 def ambiguous_lines(spark: SparkSession, d: str) -> DataFrame:
     a, b = _sides(spark, d)
     c = cut(matching.first_rung(matching.exact_candidates(a, b)), "candidates")
-    return matching.ambiguities(c, matching.greedy_pairs(c)).select("pair", "a_ord", "b_ord", "kind", "holder")
+    return matching.ambiguities(c, matching.exact_pairs(a, b)).select("pair", "a_ord", "b_ord", "kind", "holder")
 
 
 @query
@@ -304,13 +304,13 @@ def _mined(spark, d):
     a, b = _residue(spark, d)
     c = cut(matching.first_rung(matching.fuzzy_candidates(a, b)), "candidates")
     p = matching.greedy_pairs(c).join(a.select("pair", F.col("item_ord").alias("a_ord"), F.col("norm_key").alias("a_key")), ["pair", "a_ord"]).join(b.select("pair", F.col("item_ord").alias("b_ord"), F.col("norm_key").alias("b_key")), ["pair", "b_ord"])
-    rows = p.withColumns({"sku": F.col("pair"), "discrepancies": F.expr("filter(array(named_struct('type', 'QTY_MISMATCH', 'severity', if(a_ord % 2 = 0, 'MINOR', 'INFO'))), x -> true)")})
-    return cut(review.mining(rows), "mined")
+    rows = p.withColumns({"sku": F.col("pair"), "check": F.lit("BOM_LABEL"), "discrepancies": F.expr("filter(array(named_struct('type', 'QTY_MISMATCH', 'severity', if(a_ord % 4 = 0, 'MINOR', 'INFO'))), x -> a_ord % 2 = 0)")})
+    return cut(review.mining(rows, least_sets=1), "mined")
 
 
 @query
 def mining(spark: SparkSession, d: str) -> DataFrame:
-    return _mined(spark, d)
+    return _mined(spark, d).drop("checks")
 
 
 @query
@@ -350,7 +350,7 @@ def blind_view(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bulk_accept(spark: SparkSession, d: str) -> DataFrame:
-    return review.bulk_accept(fixture(spark, d, "rows"), fixture(spark, d, "decisions").where("event_id % 40 = 0"), 1)
+    return review.bulk_accept(fixture(spark, d, "rows"), fixture(spark, d, "decisions"), 1)
 
 
 @query
@@ -366,7 +366,7 @@ def review_timing(spark: SparkSession, d: str) -> DataFrame:
 def _versions(spark, d):
     """Parts as relationships: a version per order line of a part, the last of some a deletion."""
     k = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"))
-    x = table(spark, d, "lineitem").withColumn("version", k.cast("int")).where("version <= 3")
+    x = table(spark, d, "lineitem").withColumn("version", k.cast("int"))
     return x.select(F.format_string("REL-%03d", "l_partkey").alias("id"), "version", F.concat(F.lit("TERM "), F.col("l_suppkey").cast("string")).alias("canonical"), F.array(F.col("l_returnflag")).alias("aliases"), F.lit("global").alias("scope"), (F.col("l_linenumber") != 3).alias("active"), (F.col("l_suppkey") % 10 == 0).alias("deleted"), F.col("l_shipdate").alias("changed_at"))
 
 
@@ -469,23 +469,48 @@ def spread_words(spark: SparkSession, d: str) -> DataFrame:
 # --- streams --------------------------------------------------------------------------------------
 
 
+def _streamed(spark: SparkSession, d: str, f, *others: str) -> DataFrame:
+    """A streaming query run over all events there are, in order of time, and what it wrote."""
+    where = scratch(spark, "stream")
+    events = table(spark, d, "events")
+    last = events.agg(F.max("ts")).first()[0]
+    parts = f"{where}/in"
+    events.repartitionByRange(8, "ts").sortWithinPartitions("ts").write.parquet(parts)
+    end = spark.createDataFrame([(last,)], "ts timestamp_ntz").select(*[F.col("ts") + F.expr("interval 30 days") if c == "ts" else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns])
+    end.select(*[F.col(k).cast(events.schema[c].dataType).alias(c) for k, c in zip(end.columns, events.columns, strict=True)]).write.mode("append").parquet(parts)  # an event after all others lets the last windows close
+    stream = streams.read_events(spark, parts, events.schema, files_per_trigger=1000)
+    return streams.run_available(f(stream), f"{where}/out", f"{where}/checkpoint")
+
+
 @query
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    return streams.window_counts(table(spark, d, "events"))
+    return _streamed(spark, d, lambda e: streams.window_counts(e.where("event_type is not null or event_id is null"))).where("event_type is not null").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return streams.sessions(table(spark, d, "events"), "6 hours").select("user_id", "start", "n")
+    return _streamed(spark, d, lambda e: streams.sessions(e, "6 hours")).where("user_id is not null").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query
 def stream_timing(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    return streams.open_decide(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), 5, 86_400).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    found = _streamed(spark, d, lambda e: streams.open_decide(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), 5, 86_400))
+    return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def stream_unrepeated(spark: SparkSession, d: str) -> DataFrame:
+    found = _streamed(spark, d, lambda e: streams.without_repeats(e, ["event_id"]))
+    return found.where("event_id is not null").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def stream_latest_decision(spark: SparkSession, d: str) -> DataFrame:
-    x = fixture(spark, d, "decisions")
-    return review.latest(x, ["row_id"], "decided_at", "event_id").select("row_id", "event_id", "decision")
+    where = scratch(spark, "stream")
+    x = fixture(spark, d, "decisions").select("row_id", F.col("decided_at").alias("ts"), "event_id", "decision")
+    x.write.parquet(f"{where}/in")
+    streams.upsert_latest(streams.read_events(spark, f"{where}/in", x.schema, files_per_trigger=2), f"{where}/state", f"{where}/checkpoint", ["row_id"], parts=8).awaitTermination()
+    return streams.latest_table(spark, f"{where}/state", x.schema).select("row_id", "event_id", "decision")
+
+
+from lineweave.plans import more  # noqa: E402, F401  registers further queries

@@ -32,7 +32,7 @@ SQL = {
     "terms": """select id, canonical, scope, anchor, active from (values ('REL-001', 'ANVIL', 'global', '', true)) t(id, canonical, scope, anchor, active)""",
     "sets": """select o_orderkey as pair, cast(o_orderkey as string) || 'NS' as parent, case when o_orderkey % 23 = 0 then null when o_orderkey % 29 = 0 then cast(o_orderkey + 1 as string) || 'X' else cast(o_orderkey as string) || 'LBL' end as ref from {orders}""",
     "drawings": """select o_orderkey as pair, 'DWG' || cast(o_orderkey % 50 as string) as number, cast(o_orderkey % 4 as string) as revision from {orders}""",
-    "drawing_lines": """select l_orderkey as pair, l_linenumber as item_ord, 'Pack per dwg' || cast(l_orderkey % 50 as string) || ' rev. ' || cast(l_partkey % 3 as string) as description from (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey from {lineitem} group by l_orderkey, l_linenumber) t where (l_orderkey + l_linenumber) % 3 = 0""",
+    "drawing_lines": """select l_orderkey as pair, l_linenumber as item_ord, case when (l_orderkey + l_linenumber) % 3 = 0 then 'Pack per dwg' || cast(l_orderkey % 50 as string) || ' rev. ' || cast(l_partkey % 3 as string) else 'Part ' || cast(l_partkey as string) end as description from (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey from {lineitem} group by l_orderkey, l_linenumber) t""",
     "documents_fx": """select o_orderkey * 10 + k as doc, cast(case when o_orderkey % 10 < 7 then 'F' || cast(o_orderkey as string) else 'shared' || cast(o_orderkey % 100 as string) end as string) as folder,
         case when k = 0 and o_orderkey % 13 <> 0 then 'BOM' when k = 1 then 'LABEL' when k = 2 and o_orderkey % 2 = 0 then 'DRAWING' when k = 3 then 'PCO' else 'LABEL' end as doc_type,
         case when o_orderkey % 31 = 0 and k = 1 then null else cast(o_orderkey as string) || 'NS' end as sku
@@ -44,7 +44,7 @@ SQL = {
         case l_partkey % 4 when 1 then '' when 2 then cast(l_partkey + 1 as string) else item_number end as actual,
         case l_partkey % 4 when 0 then 'DELETE' when 3 then item_number else cast(l_partkey + l_partkey % 3 as string) end as proposed,
         cast(quantity + l_partkey % 2 as string) as qty_proposed, case when l_partkey % 5 = 0 then '' else oper_seq end as seq_proposed
-        from ({bom}) b where item_ord = 1""",
+        from ({bom}) b""",
     "change_lines": """select sku as code, item_ord, item_number, quantity, oper_seq, l_partkey % 6 <> 0 as active, case when l_partkey % 8 = 0 then 'DELETE' when l_partkey % 9 = 0 then cast(l_partkey + 1 as string) else '-' end as redline from ({bom}) b""",
     "decisions": """select 'run' as run_id, user_id as row_id, cast(1 + event_id % 2 as int) as slot, case event_type when 'purchase' then 'ACCEPT' when 'click' then 'CONFIRM_DISCREPANCY' else 'OVERRIDE' end as decision,
         case when event_type = 'error' then case when event_id % 3 = 0 then 'EXACT' else 'MISSING' end end as override, ts as decided_at, event_id from {events} where event_type in ('purchase', 'click', 'error')""",

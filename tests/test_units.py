@@ -144,7 +144,7 @@ def test_find_anywhere_recall(sides):
     words = lambda df: {r.norm_text: [t for t in r.norm_tokens if t not in text.STOPWORDS] for r in df.collect()}
     x, y = words(a), words(b)
     want = {(p, q) for p in x for q in y if text.similarity(x[p], y[q]) >= 0.85}
-    assert found <= want and len(found) >= 0.7 * len(want)
+    assert found == {(p, q) for p, q in want if set(x[p]) & set(y[q])}
 
 
 def test_terms(spark):
@@ -188,7 +188,7 @@ def test_sources(spark, tmp_path):
         (tmp_path / name).write_text(name)
     got = {r.path.split("/")[-1]: r.role for r in tables.scan_files(spark, str(tmp_path)).collect()}
     assert got == {"a_old.pdf": "old", "b_new.csv": "new"}
-    lines = spark.createDataFrame([(1, "x.pdf", 1, "Component Item"), (2, "my-label.pdf", 1, "zz"), (3, "q.pdf", 1, "zz"), (4, "x.csv", 1, "Affected Codes"), (4, "x.csv", 2, "item number")], "doc long, path string, ord int, text string")
+    lines = spark.createDataFrame([(1, "x.csv", 1, "Component Item"), (2, "my-label.pdf", 1, "zz"), (3, "q.pdf", 1, "zz"), (4, "x.csv", 1, "Affected Codes"), (4, "x.csv", 2, "item number")], "doc long, path string, ord int, text string")
     assert {r.doc: r.doc_type for r in tables.detect_type(lines).collect()} == {1: "BOM", 2: "LABEL", 3: None, 4: "PCO"}
     df = spark.range(10).withColumn("k", F.col("id") % 2)
     assert tables.fingerprint(df, ["k"]).orderBy("k").collect() == tables.fingerprint(df.orderBy(F.desc("id")), ["k"]).orderBy("k").collect()
@@ -206,5 +206,5 @@ def test_streams_equal_batches(spark, tmp_path):
         late = {tuple(map(str, r)) for r in f(events).collect()} - {tuple(map(str, r)) for r in got.collect()}
         assert got.count() > 0 and not {tuple(map(str, r)) for r in got.collect()} - {tuple(map(str, r)) for r in f(events).collect()} and len(late) < 0.5 * f(events).count()
     streams.upsert_latest(streams.read_events(spark, src, events.schema), str(tmp_path / "up"), str(tmp_path / "up-c"), ["user_id"]).awaitTermination()
-    last = streams.latest_table(spark, str(tmp_path / "up"), 1, events.schema)
+    last = streams.latest_table(spark, str(tmp_path / "up"), events.schema)
     assert {r.user_id: r.event_id for r in last.collect()} == {r.user_id: r.x for r in events.groupBy("user_id").agg(F.max_by("event_id", "ts").alias("x")).collect()}
