@@ -325,7 +325,7 @@ def revision_key(change: Column, a_key: Column, b_key: Column) -> Column:
 
 def split_list(cell: Column, commas: bool = True) -> Column:
     """Parts of a cell, trimmed, empty ones left out; aliases (commas=False) part at semicolons and line ends only."""
-    return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), r"[;\n,]" if commas else r"[;\n]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), r"[;\n,]" if commas else r"[;\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_truthy(cell: Column) -> Column:

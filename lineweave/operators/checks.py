@@ -73,8 +73,12 @@ def recommended_action(kind: Column) -> Column:
 
 
 def worst_severity(found: Column) -> Column:
-    rank = F.array_min(F.transform(found, lambda d: F.array_position(F.array(*map(F.lit, SEVERITIES)), d["severity"])))
-    return F.element_at(F.array(*map(F.lit, SEVERITIES)), F.nullif(rank.cast("int"), F.lit(0)))
+    """The worst severity of an array of discrepancies; null where there is none."""
+    out = F.when(F.size(found) == 0, F.lit(None).cast("string"))
+    has = lambda name: F.exists(found, lambda d: d["severity"] == name)
+    for name in SEVERITIES:
+        out = out.when(has(name), name)
+    return out
 
 
 def comparable(category: Column, quantity: Column, active: Column) -> Column:

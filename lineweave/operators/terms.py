@@ -109,7 +109,7 @@ def import_actions(rows: DataFrame, now: DataFrame) -> DataFrame:
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     x = rows.select(
         "line", blank("id").alias("id"), blank("canonical").alias("canonical"), text.split_list(F.col("aliases"), commas=False).alias("aliases"), F.coalesce(blank("scope"), F.lit("global")).alias("scope"),
-        F.transform(text.split_list(F.col("doc_types")), F.upper).alias("doc_types"), text.split_list(F.col("item_anchors")).alias("item_anchors"),
+        F.transform(text.split_list(F.col("doc_types")), lambda x: F.upper(x)).alias("doc_types"), text.split_list(F.col("item_anchors")).alias("item_anchors"),
         F.when(blank("active").isNull(), True).otherwise(text.is_truthy(F.col("active"))).alias("active"), F.coalesce("notes", F.lit("")).alias("notes"),
     )
     error = F.when(~text.scope_parts(F.col("scope"))["valid"], "scope").when(F.size(F.array_except("doc_types", F.array(*map(F.lit, DOC_TYPES)))) > 0, "document type")

@@ -303,14 +303,14 @@ def business_case(spark: SparkSession, d: str) -> DataFrame:
 def _mined(spark, d):
     a, b = _residue(spark, d)
     c = cut(matching.first_rung(matching.fuzzy_candidates(a, b)), "candidates")
-    p = matching.greedy_pairs(c).join(a.select("pair", F.col("item_ord").alias("a_ord"), F.col("norm_key").alias("a_key")), ["pair", "a_ord"]).join(b.select("pair", F.col("item_ord").alias("b_ord"), F.col("norm_key").alias("b_key")), ["pair", "b_ord"])
+    p = matching.greedy_pairs(c).join(a.select("pair", F.col("item_ord").alias("a_ord"), F.col("norm_key").alias("a_key"), "item_number"), ["pair", "a_ord"]).join(b.select("pair", F.col("item_ord").alias("b_ord"), F.col("norm_key").alias("b_key")), ["pair", "b_ord"])
     rows = p.withColumns({"sku": F.col("pair"), "check": F.lit("BOM_LABEL"), "discrepancies": F.expr("filter(array(named_struct('type', 'QTY_MISMATCH', 'severity', if(a_ord % 4 = 0, 'MINOR', 'INFO'))), x -> a_ord % 2 = 0)")})
     return cut(review.mining(rows, least_sets=1), "mined")
 
 
 @query
 def mining(spark: SparkSession, d: str) -> DataFrame:
-    return _mined(spark, d).drop("checks")
+    return _mined(spark, d).withColumn("item_anchors", F.array_join("item_anchors", ",")).drop("checks")
 
 
 @query
@@ -350,7 +350,10 @@ def blind_view(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bulk_accept(spark: SparkSession, d: str) -> DataFrame:
-    return review.bulk_accept(fixture(spark, d, "rows"), fixture(spark, d, "decisions"), 1)
+    """Events as rows; those of three kinds have a decision, by reviewer 1 or 2."""
+    e = table(spark, d, "events").select(F.lit("run").alias("run_id"), F.col("event_id").alias("row_id"), "event_type", (F.col("user_id") % 5 >= 2).alias("requires_validation"))
+    decided = e.where("event_type in ('purchase', 'click', 'error')").withColumn("slot", F.col("row_id") % 2 + 1)
+    return review.bulk_accept(e, decided, 1)
 
 
 @query

@@ -160,7 +160,7 @@ ORACLE_SQL: dict[str, str] = {
     "latest_decision": f"select row_id, slot, decision, override, event_id from (select *, row_number() over (partition by row_id, slot order by decided_at desc, event_id desc) as k from {fx('decisions')} x) y where k = 1",
     "row_state": f"with {STATES} select row_id, state, coalesce(case when d2 = 'OVERRIDE' then o2 end, case when d1 = 'OVERRIDE' then o1 end, classification) as effective, d1, d2 from st",
     "blind_view": f"with {STATES} select case when d2 is null then 'ENGINE_RECOMMENDED' else state end as state, count(*) as n, count(case when d2 is not null then d1 end) as seen from st group by 1",
-    "bulk_accept": f"select 'run' as run_id, row_id from {fx('rows')} r where not requires_validation and row_id not in (select row_id from {fx('decisions')} d where slot = 1)",
+    "bulk_accept": "select 'run' as run_id, event_id as row_id from events where user_id % 5 < 2 and not (event_type in ('purchase', 'click', 'error') and event_id % 2 = 0)",
     "review_timing": """with s as (select p.user_id, p.ts, epoch_us(p.ts) - epoch_us(max(v.ts)) as us from (select user_id, ts from events where event_type = 'purchase') p join (select user_id, ts from events where event_type = 'view') v on v.user_id = p.user_id and v.ts <= p.ts group by p.user_id, p.ts)
         select user_id, count(*) as samples, round(median(round(us / 1e6, 3)), 1) as median_s, round(avg(round(us / 1e6, 3)), 1) as mean_s from s where us / 1e6 between 5 and 86400 group by 1""",
     "term_current": f"with {VERSIONS} select id, version, canonical, active from (select *, row_number() over (partition by id order by version desc) as k from v) x where k = 1 and not deleted",
@@ -207,12 +207,12 @@ _TERM_CTES, _TERM_SELECT = "n as (" + _TERMS.rsplit("select a.pair", 1)[0].rstri
 _TERM_FREE = _TERM_SELECT.replace("from a join b", "from fa a join fb b")
 
 ORACLE_SQL["ladder_levels"] = f"""{FUZZY}, {_TERM_CTES}, dic as ({_TERM_FREE}), fz as ({_SCORED}),
-    cand as (select pair, a_ord, b_ord, 2 as level_rank, 1.0 as score, 'RELATIONSHIP' as level from dic union all select fz.pair, fz.a_ord, fz.b_ord, 1, fz.score, 'FUZZY' from fz anti join dic on dic.pair = fz.pair and dic.a_ord = fz.a_ord and dic.b_ord = fz.b_ord where not weak and not conflict)
-    select pair, a_ord, b_ord, 'EXACT' as level, cast(1.0 as double) as score from p union all select pair, a_ord, b_ord, level, cast(score as double) from ({folded('select * from cand')})"""
+    every as (select pair, a_ord, b_ord, 2 as level_rank, 1.0 as score, 'RELATIONSHIP' as level from dic union all select fz.pair, fz.a_ord, fz.b_ord, 1, fz.score, 'FUZZY' from fz anti join dic on dic.pair = fz.pair and dic.a_ord = fz.a_ord and dic.b_ord = fz.b_ord where not weak and not conflict)
+    select pair, a_ord, b_ord, 'EXACT' as level, cast(1.0 as double) as score from p union all select pair, a_ord, b_ord, level, cast(score as double) from ({folded('select * from every')})"""
 _MATCHED = f"fz as ({_SCORED}), chosen as ({folded("select pair, a_ord, b_ord, 1 as level_rank, score, 'FUZZY' as level from fz where not weak and not conflict")})"
 ORACLE_SQL["hint_lines"] = f"""{FUZZY}, {_MATCHED}
     select pair, a_ord as item_ord, b_ord as hint_ord, cast(score as double) as hint_score from (select fz.*, row_number() over (partition by fz.pair, fz.a_ord order by score desc, b_ord) as k from fz anti join chosen on chosen.pair = fz.pair and chosen.a_ord = fz.a_ord) h where k = 1"""
-_MINED = f"""{FUZZY}, {_MATCHED}, mined as (select fa.key as a_key, fb.key as b_key, count(distinct c.pair) as sets, count(*) as rows, count(*) filter (c.a_ord % 2 <> 0) as would_clear, count(*) filter (c.a_ord % 2 = 0) as still_review, list_sort(list(distinct fa.item_number)) as item_anchors
+_MINED = f"""{FUZZY}, {_MATCHED}, mined as (select fa.key as a_key, fb.key as b_key, count(distinct c.pair) as sets, count(*) as rows, count(*) filter (c.a_ord % 2 <> 0) as would_clear, count(*) filter (c.a_ord % 2 = 0) as still_review, array_to_string(list_sort(list(distinct fa.item_number)), ',') as item_anchors
     from chosen c join fa on fa.pair = c.pair and fa.item_ord = c.a_ord join fb on fb.pair = c.pair and fb.item_ord = c.b_ord group by 1, 2)"""
 ORACLE_SQL["mining"] = _MINED + " select a_key, b_key, sets, rows, would_clear, still_review, item_anchors from mined"
 ORACLE_SQL["worklist_cumulative"] = _MINED + """ select row_number() over w as rank, a_key, b_key, would_clear, cast(sum(would_clear) over w as bigint) as running, round(cast(sum(would_clear) over w as double) / sum(would_clear) over (), 4) as share from mined
@@ -265,7 +265,7 @@ ORACLE_SQL |= {
     "comparison_keys": f"with {sides()} select 'BOM_LABEL|' || sku || '|A:' || item_number as key, count(*) as n from a group by 1 union all select 'BOM_LABEL|' || cast(pair as varchar) || 'NS|B:' || key, count(*) from b group by 1",
     "change_key_counts": f"select kind || ':' || case kind when 'DELETE' then actual when 'ADD' then proposed when 'SUBSTITUTE' then actual || '->' || proposed else actual end as key, count(*) as n from {fx('changes')} c group by 1",
     "list_cells": "select event_id, array_to_string(list_filter(list_transform(regexp_split_to_array(event_type || '; ' || cast(user_id as varchar) || ', x', '[;\\n,]'), lambda x: trim(x)), lambda x: x <> ''), '|') as parts, array_to_string(list_filter(list_transform(regexp_split_to_array(event_type || '; ' || cast(user_id as varchar) || ', x', '[;\\n]'), lambda x: trim(x)), lambda x: x <> ''), '|') as aliases from events",
-    "relative_paths": "select url, case when starts_with(url, 'https://') then substr(url, 9) else url end as path from pages",
+    "relative_paths": "select url, case when starts_with(url, 'https:/') then substr(url, 8) else url end as path from pages",
     "term_history": f"with {VERSIONS}, h as (select *, lag(active) over (partition by id order by version) as was, lag(deleted) over (partition by id order by version) as gone from v) select case when deleted then 'delete' when was is null or gone then 'create' when active and not was then 'activate' when not active and was then 'deactivate' else 'update' end as change, count(*) as n from h group by 1",
     "term_search": f"with {VERSIONS} select id, canonical from (select *, row_number() over (partition by id order by version desc) as k from v) x where k = 1 and not deleted and active and (contains(lower(canonical), '7') or contains(lower(id), '7'))",
     "term_import": f"with {VERSIONS}, cur as (select * from (select *, row_number() over (partition by id order by version desc) as k from v) x where k = 1 and not deleted) select case when p_partkey % 10 = 0 then 'blank' when p_partkey % 10 = 1 then 'invalid' when cur.id is null then 'create' when p_partkey % 10 = 2 and cur.active then 'unchanged' else 'update' end as action, count(*) as n from part left join cur on cur.id = 'REL-' || case when p_partkey < 100 then lpad(cast(p_partkey as varchar), 3, '0') else cast(p_partkey as varchar) end group by 1",
