@@ -17,7 +17,7 @@ CHUNK_BYTES = 1 << 20
 
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Parts of a key whose first rows are ranked apart.
-PARTS = 64
+PARTS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

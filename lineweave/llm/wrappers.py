@@ -57,9 +57,12 @@ FEW_CELLS = 1_000
 
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _STOP = re.compile(r"""["'>]""")
+#: Nearly every tag; it never looks beyond the next angle bracket.
+_TAG = re.compile(r"""</?([a-zA-Z][a-zA-Z0-9:-]*+)([^<>"']*+(?:"[^"<>]*+"[^<>"']*+|'[^'<>]*+'[^<>"']*+)*+)>""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Elements whose content isn't text, read up to their end tag.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "xmp"}
+_RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
 BLOCK = {"html", "body", "head", "p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "section", "article", "header", "footer", "nav", "aside", "main", "figure", "figcaption", "form", "fieldset", "address", "details", "summary", "hr", "menu", "dialog", "hgroup", "center"}
 VOID = {"hr", "br", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 #: Elements that are never article text.
@@ -86,6 +89,9 @@ class Node:
     text: str = ""  # of a text leaf
     chars: int = 0  # of a text leaf: characters, and those of them in links
     links: int = 0
+    path: str | None = None  # of a node without branches, once chained() has been there: labels down to its end, their number and the text there
+    depth: int = 0
+    said: str = ""
 
 
 def tags(page: str) -> Iterator[tuple[str, str, str]]:
@@ -97,6 +103,14 @@ def tags(page: str) -> Iterator[tuple[str, str, str]]:
         if lt != at:
             yield "text", "", page[at : lt if lt > 0 else end]
             at = lt if lt > 0 else end
+        elif m := _TAG.match(page, at):
+            name, rest, at = m[1].lower(), m[2], m.end()
+            kind = "close" if page[m.start() + 1] == "/" else "empty" if rest and rest[-1] == "/" else "open"
+            if name not in RAW:
+                yield kind, name, rest
+            elif kind == "open":
+                close = _RAW_ENDS[name].search(page, at)
+                at = close.end() if close else end
         elif page.startswith("<!--", at):
             at = page.find("-->", at + 4) + 3 if last["-->"] >= at + 4 else end
         elif page[at + 1 : at + 2] in ("!", "?") and last[">"] > at:
@@ -118,12 +132,16 @@ def tags(page: str) -> Iterator[tuple[str, str, str]]:
             name, at = m[1].lower(), s.end()
             kind = "close" if m[0][0] == "/" else "empty" if rest.endswith("/") else "open"
             if name in RAW and kind == "open":
-                close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
+                close = _RAW_ENDS[name].search(page, at)
                 at = close.end() if close else end
             elif name not in RAW:
                 yield kind, name, rest
 
 
+def _plain(said: str) -> str:
+    return " ".join((entities.unescape(said) if "&" in said else said).split())
+
+
 def parse(page: str | None) -> Node:
     """The tree of a page's blocks; runs of inline text are leaves labelled #text."""
     root = Node("#root")
@@ -135,14 +153,17 @@ def parse(page: str | None) -> Node:
     linked: list[str] = []
 
     def flush() -> None:
-        said = " ".join(entities.unescape("".join(run)).split())
-        link = len(" ".join(entities.unescape("".join(linked)).split())) if linked else 0
-        run.clear()
-        linked.clear()
-        hidden.clear()
-        within.clear()
-        if said:
-            open_[-1][1].children.append(Node("#text", text=said, chars=len(said), links=min(link, len(said))))
+        if run:
+            said = _plain("".join(run))
+            link = len(_plain("".join(linked))) if linked else 0
+            run.clear()
+            linked.clear()
+            if said:
+                open_[-1][1].children.append(Node("#text", text=said, chars=len(said), links=min(link, len(said))))
+        if hidden:
+            hidden.clear()
+        if within:
+            within.clear()
 
     def close(k: int) -> None:
         for name, _ in open_[k:]:
@@ -180,19 +201,22 @@ def parse(page: str | None) -> Node:
         else:
             flush()
             closes = CLOSES.get(tag, {"p"})
-            if any(many[c] > 0 for c in closes):
+            if many["p"] > 0 or (len(closes) > 1 and any(many[c] > 0 for c in closes)):
                 for k in range(len(open_) - 1, 0, -1):
                     if open_[k][0] in closes:
                         close(k)
                         break
                     if open_[k][0] in CONTAINERS:
                         break
-            said: dict[str, str] = {}
-            for a in _ATTRIBUTE.finditer(rest):
-                said.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
-            classes = said.get("class", "").lower()
-            words = set(re.split(r"[^a-z0-9]+", f"{classes} {said.get('id', '').lower()} {said.get('role', '').lower()}"))
-            own = Node(f"{tag}.{classes}" if classes else tag, tag in OUTSIDE or bool(words & OUTSIDE_WORDS) or "hidden" in said, tag in ARTICLE_WORDS or said.get("role", "").lower() in ARTICLE_WORDS)
+            if rest.strip():
+                said: dict[str, str] = {}
+                for a in _ATTRIBUTE.finditer(rest):
+                    said.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
+                classes = said.get("class", "").lower()
+                words = set(re.split(r"[^a-z0-9]+", f"{classes} {said.get('id', '').lower()} {said.get('role', '').lower()}"))
+                own = Node(f"{tag}.{classes}" if classes else tag, tag in OUTSIDE or bool(words & OUTSIDE_WORDS) or "hidden" in said, tag in ARTICLE_WORDS or said.get("role", "").lower() in ARTICLE_WORDS)
+            else:
+                own = Node(tag, tag in OUTSIDE, tag in ARTICLE_WORDS)
             open_[-1][1].children.append(own)
             if tag not in VOID:
                 open_.append((tag, own if len(open_) < MAX_DEPTH else open_[-1][1]))
@@ -231,6 +255,18 @@ def preorder(node: Node) -> list[Node]:
     return out
 
 
+def chained(root: Node) -> Node:
+    """Notes on each node without branches what is below it: two with the same labels weigh their number, and one more if texts are equal."""
+    for x in reversed(preorder(root)):
+        if not x.children:
+            x.path, x.depth, x.said = x.label, 1, x.text
+        elif len(x.children) == 1 and (c := x.children[0]).path is not None:
+            x.path, x.depth, x.said = f"{x.label} {c.path}", c.depth + 1, c.said
+        else:
+            x.path, x.depth = None, -1
+    return root
+
+
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """All pairs of the simple tree matching of two nodes with one label, blocks before what they hold."""
 
@@ -239,8 +275,8 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     def weigh(x: Node, y: Node) -> int:
         if x.label != y.label:
             return 0
-        if not x.children and not y.children:
-            return 1 + (x.text == y.text)
+        if x.path is not None and x.path == y.path:
+            return x.depth + (x.said == y.said)
         key = id(x), id(y)
         if key not in known:
             w = 1 + align(x.children, y.children, False)[0]
@@ -250,9 +286,13 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
         return known[key]
 
     def plain_after(row: list[int], w: list[int]) -> list[int]:
-        new = [0]
-        for j, v in enumerate(w):
-            new.append(max(new[j], row[j + 1], row[j] + v if v else 0))
+        new, last = [0], 0
+        for diagonal, above, v in zip(row, row[1:], w, strict=False):
+            if above > last:
+                last = above
+            if v and diagonal + v > last:
+                last = diagonal + v
+            new.append(last)
         return new
 
     def traced(first: int, j: int, ws, best, xs: list[Node], ys: list[Node], out: list) -> int:
@@ -272,13 +312,17 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     def align(xs: list[Node], ys: list[Node], listed: bool) -> tuple[int, list[tuple[Node, Node]]]:
         """The largest weight and, if asked for, node pairs. Of n rows of the table about 2 sqrt(n) are held at once."""
         n, m = len(xs), len(ys)
-        if n * m <= FEW_CELLS and not listed:
-            row = [0] * (m + 1)
-            for x in xs:
-                row = plain_after(row, [weigh(x, y) for y in ys])
-            return row[m], []
         if n * m <= FEW_CELLS:
-            ws = [[weigh(x, y) for y in ys] for x in xs]
+            told = [(y.path, y.said) for y in ys]
+            if all(p is not None for p, _ in told):
+                ws = [[(x.depth + (x.said == t) if x.path == p else weigh(x, y) if x.label == y.label else 0) for y, (p, t) in zip(ys, told, strict=True)] for x in xs]
+            else:
+                ws = [[weigh(x, y) for y in ys] for x in xs]
+            if not listed:
+                row = [0] * (m + 1)
+                for w in ws:
+                    row = plain_after(row, w)
+                return row[m], []
             best = [[0] * (m + 1)]
             for w in ws:
                 best.append(plain_after(best[-1], w))
@@ -287,11 +331,11 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
             return best[n][m], out[::-1]
         names: dict = {}
         number = lambda keys: np.array([names.setdefault(k, len(names)) for k in keys], np.int64)
-        fx, fy = [_chain(x) for x in xs], [_chain(y) for y in ys]
+        fx, fy = ([(v.path, v.said, v.depth) if v.path is not None else None for v in nodes] for nodes in (xs, ys))
         (lx, px, tx), (ly, py, ty) = ([number(("l", v.label) for v in nodes), number(("p", f[0]) if f else (side, k) for k, f in enumerate(forms)), number(("t", f[1] if f else None) for f in forms)] for side, forms, nodes in (("x", fx, xs), ("y", fy, ys)))
 
         def weights(i: int) -> np.ndarray:
-            w = np.where(py == px[i], (len(fx[i][0]) if fx[i] else 0) + (ty == tx[i]), 0)
+            w = np.where(py == px[i], (fx[i][2] if fx[i] else 0) + (ty == tx[i]), 0)
             for j in np.flatnonzero((ly == lx[i]) & (py != px[i])).tolist():
                 w[j] = weigh(xs[i], ys[j])
             return w
@@ -316,23 +360,20 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
             j = traced(first, j, ws, best, xs, ys, out)
         return int(row[m]), out[::-1]
 
-    def pairs(x: Node, y: Node) -> list[tuple[Node, Node]]:
-        if not x.children or not y.children:
-            return [(x, y)]
-        return [(x, y), *(p for c, d in align(x.children, y.children, True)[1] for p in pairs(c, d))]
-
-    return pairs(a, b) if a.label == b.label else []
+    out: list[tuple[Node, Node]] = []
 
+    def pairs(x: Node, y: Node) -> None:
+        while x.path is not None and x.path == y.path and x.children:
+            out.append((x, y))
+            x, y = x.children[0], y.children[0]
+        out.append((x, y))
+        if x.children and y.children:
+            for c, d in align(x.children, y.children, True)[1]:
+                pairs(c, d)
 
-def _chain(node: Node) -> tuple[tuple[str, ...], str] | None:
-    """Labels and text of a node that has no branches: two with the same labels weigh their number, and one more if texts are equal."""
-    path = [node.label]
-    while node.children:
-        if len(node.children) > 1:
-            return None
-        node = node.children[0]
-        path.append(node.label)
-    return tuple(path), node.text
+    if a.label == b.label:
+        pairs(a if a.depth else chained(a), b if b.depth else chained(b))
+    return out
 
 
 def key_of(text: str) -> str:
@@ -404,8 +445,16 @@ def weighed(root: Node) -> dict[int, tuple[int, int, int]]:
     """Of each node, by id: characters, linked characters and leaves, with all that it holds."""
     out: dict[int, tuple[int, int, int]] = {}
     for x in reversed(preorder(root)):
-        held = [out[id(c)] for c in x.children]
-        out[id(x)] = (x.chars + sum(h[0] for h in held), x.links + sum(h[1] for h in held), bool(x.text) + sum(h[2] for h in held))
+        if x.text:
+            out[id(x)] = x.chars, x.links, 1
+        elif len(x.children) == 1:
+            out[id(x)] = out[id(x.children[0])]
+        else:
+            chars = links = lines = 0
+            for c in x.children:
+                p, q, r = out[id(c)]
+                chars, links, lines = chars + p, links + q, lines + r
+            out[id(x)] = chars, links, lines
     return out
 
 
