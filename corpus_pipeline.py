@@ -8,6 +8,10 @@ one's docs; all but the last keep the columns of documents.
 3. benchmark decontamination: contaminated documents go.
 4. secret scan: each secret in a text is masked, n_chars follows; every document stays.
 5. best-fit packing: the pieces of all documents and their places in token sequences.
+
+Edge cases: a null or empty text, or one of few words, fails the quality rules and goes; of repeated rows, and of copies, one
+stays; rows without doc_id are like others; very long texts are worked on whole; an empty benchmark removes nothing; an
+empty table gives an empty one, with no pieces; further columns, whatever their names, stay up to the last stage.
 """
 
 from __future__ import annotations
