@@ -286,3 +286,19 @@ ORACLE_SQL |= {
         l as (select r.sku, count(*) as decisions, count(*) filter (x.decision = 'ACCEPT') as accept, count(*) filter (x.decision = 'OVERRIDE') as override from lastd join r on r.row_id = lastd.row_id group by 1)
         select s.sku, rows, finalized, disagreements, coalesce(decisions, 0) as decisions, coalesce(accept, 0) as accept, coalesce(override, 0) as override from s left join l on l.sku = s.sku""",
 }
+
+_FUZZY_ALL = FUZZY.replace("from fa join fb on fa.pair = fb.pair", "from fa join b fb on fa.pair = fb.pair")
+_TERM_ALL = _TERM_SELECT.replace("from a join b", "from fa a join b")
+ORACLE_SQL["pairing_fuzzy"] = f"""{_FUZZY_ALL}, {_TERM_CTES}, exa as (select a.pair, a.item_ord as a_ord, b.item_ord as b_ord from a join b on a.pair = b.pair and a.key = b.key where a.key <> ''),
+    dic as (select d.* from ({_TERM_ALL}) d anti join exa using (pair, a_ord, b_ord)), fz as (select s.* from ({_SCORED}) s anti join exa using (pair, a_ord, b_ord) anti join dic using (pair, a_ord, b_ord)),
+    ok as (select pair, a_ord, b_ord, 3 as r, 1.0 as score from exa union all select pair, a_ord, b_ord, 2, 1.0 from dic union all select pair, a_ord, b_ord, 1, score from fz where not weak and not conflict),
+    every as (select ok.pair, ok.a_ord, ok.b_ord, r as level_rank, score, case r when 2 then 'RELATIONSHIP' else 'FUZZY' end as level from ok semi join fa on fa.pair = ok.pair and fa.item_ord = ok.a_ord semi join fb on fb.pair = ok.pair and fb.item_ord = ok.b_ord where r < 3),
+    own as (select pair, a_ord, b_ord, 'EXACT' as level, 1.0 as score, 3 as r from p union all select pair, a_ord, b_ord, level, score, case level when 'RELATIONSHIP' then 2 else 1 end from ({folded('select * from every')})),
+    alt as (select distinct o.pair, o.a_ord from own o join ok on ok.pair = o.pair and ok.a_ord = o.a_ord where ok.b_ord <> o.b_ord and ok.r = o.r and ok.score >= o.score - 0.05),
+    x as (select case o.level when 'EXACT' then 'EXACT' when 'RELATIONSHIP' then 'EQUIVALENT' else 'POTENTIAL' end as base, o.level, a.quantity <> b.quantity as differs, alt.pair is not null as many, a.confidence < 0.7 as low, 'pair' as what
+            from own o join a on a.pair = o.pair and a.item_ord = o.a_ord join b on b.pair = o.pair and b.item_ord = o.b_ord left join alt on alt.pair = o.pair and alt.a_ord = o.a_ord
+        union all select 'MISSING', 'NONE', false, k.pair is not null, a.confidence < 0.7, 'a' from a anti join own on own.pair = a.pair and own.a_ord = a.item_ord left join (select distinct pair, a_ord from ok) k on k.pair = a.pair and k.a_ord = a.item_ord
+        union all select 'MISSING', 'NONE', false, false, b.confidence < 0.7, 'b' from b anti join own on own.pair = b.pair and own.b_ord = b.item_ord)
+    select case when differs and base in ('EXACT', 'EQUIVALENT') then 'MISMATCH' when what = 'pair' and many then 'POTENTIAL' else base end as classification, level,
+        array_to_string(list_filter([case when many then 'AMBIGUOUS_MATCH:MAJOR' end, case when low then 'LOW_EXTRACTION_CONFIDENCE:INFO' end, case when what = 'b' then 'MISSING_IN_BOM:MAJOR' end, case when what = 'a' then 'MISSING_IN_LABEL:MAJOR' end,
+            case when differs and base in ('EXACT', 'EQUIVALENT') then 'QTY_MISMATCH:MAJOR' when differs then 'QTY_MISMATCH:MINOR' end], lambda v: v is not null), ';') as discrepancies, count(*) as n from x group by 1, 2, 3"""
