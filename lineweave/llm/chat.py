@@ -8,7 +8,8 @@ however long, is gathered in one place. Runs inside a conversation go by blocks
 to their longest conversation before they are joined, so that neither a long conversation nor a common first turn is hot.
 
 Edge cases: a null role or text is a value of its own and is rendered empty; turns are ordered by turn (nulls first), then
-role and text hash; repeated rows count once; a turn without conv_id belongs to no conversation and is left out; an empty
+role and text hash, so turns of one number have a fixed order, and stand in one block however many they are; a very long
+text is a turn like any other; repeated rows count once; a turn without conv_id belongs to no conversation and is left out; an empty
 table gives no rows; other columns are ignored. Only DataFrame functions are used.
 """
 
@@ -51,7 +52,7 @@ def placed(conversations: DataFrame) -> DataFrame:
     mixed = mixed.select("conv_id", "block", *[F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(f"{c}0") for c in "hg"])
     x = x.join(mixed, ["conv_id", "block"])
     rolled = [F.col(f"{c}0").bitwiseXOR(F.bit_xor(c).over(upto)).alias(f"prefix_{c}") for c in "hg"]
-    return x.select("conv_id", "turn", "th", "tg", "position", "start", "turns", *rolled)
+    return x.select("conv_id", "block", "turn", "th", "tg", "position", "start", "turns", *rolled)
 
 
 def maximal(turns: DataFrame) -> DataFrame:
@@ -65,7 +66,8 @@ def maximal(turns: DataFrame) -> DataFrame:
 def formatted(conversations: DataFrame) -> DataFrame:
     """The maximal conversations, rendered: conv_id, position (from 1), turns, role, start (in characters) and rendered of each turn."""
     turns = common.cut(placed(conversations), "placed")
-    kept = turns.join(maximal(turns), "conv_id", "left_semi").select("conv_id", "turn", "th", "tg", "position", "turns", "start")
+    blocks = turns.select("conv_id", "block").distinct().join(maximal(turns), "conv_id")  # a row per block, so that a long conversation is many keys
+    kept = turns.join(blocks, ["conv_id", "block"], "left_semi").select("conv_id", "turn", "th", "tg", "position", "turns", "start")
     texts = _keyed(conversations).dropDuplicates(["conv_id", "turn", "th", "tg"]).withColumnRenamed("turn", "_turn")
     same = (texts["conv_id"] == kept["conv_id"]) & texts["_turn"].eqNullSafe(kept["turn"]) & (texts["th"] == kept["th"]) & (texts["tg"] == kept["tg"])
     return texts.join(kept, same).select(kept["conv_id"], "position", "turns", "role", "start", rendered(F.col("role"), F.col("text")).alias("rendered"))

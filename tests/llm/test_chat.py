@@ -44,3 +44,18 @@ def test_equals_sql(spark):
     names = [c[0] for c in res.description]
     got = chat.formatted(spark.read.parquet(path)).select(*names)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, res.fetchall()))
+
+
+def test_ties_and_long_texts(spark):
+    long = "very long " * 100_000
+    rows = [(1, 0, "user", "b", "x"), (1, 0, "user", "a", "x"), (1, 0, "user", "b", "x"), (1, None, None, None, "x"), (2, 0, "user", long, "x"), (2, 1, "user", "end", "x"), (3, 0, "user", long, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, block string")
+    got = {}
+    for r in chat.formatted(df.repartition(3)).collect():
+        got.setdefault(r.conv_id, []).append((r.position, r.start, len(r.rendered), r.rendered))
+    again = sorted(map(tuple, chat.formatted(df.coalesce(1)).collect()))
+    assert again == sorted(map(tuple, chat.formatted(df.repartition(3)).collect())) and set(got) == {1, 2}
+    for turns in got.values():
+        turns.sort()
+        assert [t[0] for t in turns] == list(range(1, len(turns) + 1)) and [t[1] for t in turns] == [sum(x[2] for x in turns[:k]) for k in range(len(turns))]
+    assert len(got[1]) == 3 and got[2][0][2] > len(long)

@@ -46,3 +46,25 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def run_over(spark, folder, rows, items, schema="doc_id long, text string, lang string, source string, n_chars long, _own long, _row string, k int"):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == spark.read.parquet(f"{folder}/documents.parquet").columns
+    return docs.collect(), corpus_pipeline.run(spark, folder).collect()
+
+
+def test_edge_cases(spark, tmp_path):
+    plain = " ".join(f"w{i}" for i in range(40))
+    long = " ".join(f"l{i}" for i in range(60_000))
+    row = lambda d, t: (d, t, None, None, None if t is None else len(t), 7, "r", 3)
+    rows = [row(1, plain), row(1, plain), row(2, plain + " more"), row(None, "no id " + " ".join(f"n{i}" for i in range(40))), row(4, None), row(5, ""), row(6, long), row(None, None)]
+    left, packed = run_over(spark, f"{tmp_path}/a", rows, [(1, None), (None, "x y")])
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in left) == [-1, 1, 6] and {(r._own, r._row, r.k) for r in left} == {(7, "r", 3)}
+    assert {r.doc_id for r in packed} == {None, 1, 6} and sum(r.length for r in packed if r.doc_id == 6) == len(truth().encode(long, add_special_tokens=False).ids) + 1
+    assert run_over(spark, f"{tmp_path}/b", [], [(1, plain)]) == ([], [])
+    assert len(run_over(spark, f"{tmp_path}/c", rows[:1], [])[0]) == 1

@@ -84,7 +84,7 @@ def brute_rules(text):
                 longest = max(longest, k)
     chars = sum(map(len, w))
     base = len(w) < 20 or 100 * len(rep) > 30 * len(w)
-    kept = not base and sum(len(w[i]) for i in rep) <= 0.30 * chars and not (longest > 50 and longest > 0.20 * len(w))
+    kept = not base and sum(len(w[i]) for i in rep) <= 0.30 * chars and not (longest > 30 and longest > 0.05 * len(w))
     return len(w), chars, sum(c in "#*$%&|<>" for c in text), dup, len(rep), base, kept
 
 
