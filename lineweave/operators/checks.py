@@ -107,7 +107,7 @@ def pairing_check(a: DataFrame, b: DataFrame, policy: Policy, *, terms: DataFram
     a: pair, item_ord, item_number, sku, description, quantity, uom, category, confidence; b: pair, item_ord, description,
     quantity, uom, sub_value, sub_kind, conditional, confidence. rungs: `all`, or `exact` to leave out similarity.
     """
-    an, bn = cut(text.normalize_column(a, "description"), "lines"), cut(text.normalize_column(b, "description"), "lines")
+    an, bn = matching.normalized_lines(a), matching.normalized_lines(b)
     if rungs == "exact":
         candidates, pairs = matching.exact_candidates(an, bn), cut(matching.exact_pairs(an, bn), "pairs")
     else:

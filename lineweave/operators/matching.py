@@ -28,6 +28,23 @@ LEVELS = {"EXACT": 3, "RELATIONSHIP": 2, "FUZZY": 1, "SEMANTIC": 1, "SUGGESTION"
 CANDIDATE = ("pair", "a_ord", "b_ord", "level", "level_rank", "score", "weak", "conflict", "confirm", "relationship_id")
 
 
+#: Bytes of a table of distinct texts up to which it is sent to all tasks.
+BROADCAST_BYTES = 16 << 20
+
+
+def normalized_lines(lines: DataFrame, said: str = "description") -> DataFrame:
+    """The lines, written as a table, with the columns of normalize_column().
+
+    Texts repeat, so each distinct one is normalised once and sent to the lines, which aren't shuffled, if those texts are
+    few; many are normalised in place.
+    """
+    own = cut(lines, "lines")
+    kinds = cut(text.normalize_column(own.select(said).distinct().where(F.col(said).isNotNull()), said), "texts")
+    if (kinds.agg(F.sum(4 * F.octet_length(said) + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        return own.join(F.broadcast(kinds), said, "left").select(*own.columns, *[c for c in kinds.columns if c != said])
+    return cut(text.normalize_column(own, said), "lines")
+
+
 def _sides(a: DataFrame, b: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
     left = a.select(*[F.col(c).alias(f"a_{c}" if c not in on else c) for c in a.columns])
     right = b.select(*[F.col(c).alias(f"b_{c}" if c not in on else c) for c in b.columns])

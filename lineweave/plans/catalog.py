@@ -101,7 +101,7 @@ def change_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark, d, label="label"):
-    return tuple(cut(text.normalize_column(fixture(spark, d, f), "description"), "lines") for f in ("pieces", label))
+    return tuple(matching.normalized_lines(fixture(spark, d, f)) for f in ("pieces", label))
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:

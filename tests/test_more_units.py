@@ -253,3 +253,15 @@ def test_many_equal_lines_are_assigned_in_order(spark):
 
     c = spark.createDataFrame([(1, i, j, "FUZZY", 1, 0.9, False, False, False, None) for i in range(20) for j in range(20)], "pair int, a_ord int, b_ord int, level string, level_rank int, score double, weak boolean, conflict boolean, confirm boolean, relationship_id string")
     assert sorted((r.a_ord, r.b_ord) for r in matching.greedy_pairs(c).collect()) == [(k, k) for k in range(20)]
+
+
+def test_normalised_either_way(spark):
+    from lineweave.operators import matching
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["Tape™ Strips", "ＦＵＬＬ width", None, "", "Tape™ Strips", "towels 5 mL"])], "item_ord int, description string")
+    want = rows(text.normalize_column(df, "description"), "item_ord", "norm_key", "norm_tokens")
+    few = rows(matching.normalized_lines(df), "item_ord", "norm_key", "norm_tokens")
+    limit, matching.BROADCAST_BYTES = matching.BROADCAST_BYTES, 0
+    many = rows(matching.normalized_lines(df), "item_ord", "norm_key", "norm_tokens")
+    matching.BROADCAST_BYTES = limit
+    assert few == many == want and len(want) == 6
