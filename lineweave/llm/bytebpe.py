@@ -16,7 +16,7 @@ from lineweave.llm import common
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: Distinct pre-tokens kept by a worker before it starts anew; it changes speed and memory, never ids.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 #: Entries of more bytes aren't kept.
 MEMO_BYTES = 64
 
@@ -104,7 +104,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.start, self.size, self.flat = (np.zeros(0, np.int64) for _ in range(3))
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _numbers(self, entries: list[bytes], direct: set[bytes]) -> np.ndarray:
         """The place of each distinct entry in start and size; new ones are encoded."""
@@ -126,7 +126,7 @@ class Encoder:
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int64, int(size.sum()))])
+            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
         return np.array(out, np.int64)
 
     def encode_flat(self, data: np.ndarray, offs: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +156,9 @@ class Encoder:
         at = self._numbers(found.dictionary.to_numpy(zero_copy_only=False).tolist(), direct)[found.indices.to_numpy()]
         size = self.size[at]
         after = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[at] - (after - size), size) + np.arange(int(after[-1]))].astype(np.uint32)
+        place = np.arange(int(after[-1]))
+        place += np.repeat(self.start[at] - (after - size), size)
+        ids = self.flat[place]
         ends = np.concatenate([[0], after])[np.searchsorted(starts, offs)]
         if end is not None:
             ids, ends = np.insert(ids, ends[1:], end), ends + np.arange(rows + 1)
