@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import alignment, chat, common, decontaminate, jaccard, langid, packing, repetition, secrets, token_counts, token_output, wrappers
+from lineweave.llm import alignment, chat, common, decontaminate, jaccard, langid, packing, repetition, search, secrets, token_counts, token_output, wrappers
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,11 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.digests(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op3_decontamination, op4_chat_formatting, op5_token_counts, op6_language_id, op7_repetition_rules, op8_wrapper_induction, op9_jaccard_join, op10_secret_scan, op12_cross_tokenizer_alignment)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op3_decontamination, op4_chat_formatting, op5_token_counts, op6_language_id, op7_repetition_rules, op8_wrapper_induction, op9_jaccard_join, op10_secret_scan, op12_cross_tokenizer_alignment, op13_ranked_search)}
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3_SQL = f"""
@@ -82,4 +86,4 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(comp.c, own.rep, d.doc
 from d left join n on n.doc_id = d.doc_id left join own on own.doc_id = d.doc_id left join comp on comp.node = own.rep
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_chat_formatting": chat.ORACLE_SQL, "op9_jaccard_join": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_chat_formatting": chat.ORACLE_SQL, "op9_jaccard_join": OP9_SQL, "op13_ranked_search": search.ORACLE_SQL}
