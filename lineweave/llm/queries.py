@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import alignment, chat, common, decontaminate, jaccard, langid, packing, repetition, search, secrets, token_counts, token_output, wrappers
+from lineweave.llm import alignment, chat, common, decontaminate, jaccard, langid, packing, pii, repetition, search, secrets, token_counts, token_output, wrappers
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(common.table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(common.table(spark, sf_dir, "documents"))
+
+
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digests(common.table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op3_decontamination, op4_chat_formatting, op5_token_counts, op6_language_id, op7_repetition_rules, op8_wrapper_induction, op9_jaccard_join, op10_secret_scan, op12_cross_tokenizer_alignment, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op3_decontamination, op4_chat_formatting, op5_token_counts, op6_language_id, op7_repetition_rules, op8_wrapper_induction, op9_jaccard_join, op10_secret_scan, op11_pii, op12_cross_tokenizer_alignment, op13_ranked_search)}
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3_SQL = f"""
