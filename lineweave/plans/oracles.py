@@ -193,7 +193,7 @@ ORACLE_SQL: dict[str, str] = {
 
 # --- assignment over similarity -------------------------------------------------------------------
 
-_SCORED = "select pair, a_ord, b_ord, round(score, 4) as score, round(score, 4) < 0.85 as weak, len(nx) > 0 and len(ny) > 0 and not list_has_all(nx, ny) and not list_has_all(ny, nx) as conflict from scored where round(score, 4) >= 0.6"
+_SCORED = "select pair, a_ord, b_ord, cast(round(score, 4) as double) as score, round(score, 4) < 0.85 as weak, len(nx) > 0 and len(ny) > 0 and not list_has_all(nx, ny) and not list_has_all(ny, nx) as conflict from scored where round(score, 4) >= 0.6"
 
 
 def folded(candidates: str) -> str:
@@ -207,7 +207,7 @@ _TERM_CTES, _TERM_SELECT = "n as (" + _TERMS.rsplit("select a.pair", 1)[0].rstri
 _TERM_FREE = _TERM_SELECT.replace("from a join b", "from fa a join fb b")
 
 ORACLE_SQL["ladder_levels"] = f"""{FUZZY}, {_TERM_CTES}, dic as ({_TERM_FREE}), fz as ({_SCORED}),
-    every as (select pair, a_ord, b_ord, 2 as level_rank, 1.0 as score, 'RELATIONSHIP' as level from dic union all select fz.pair, fz.a_ord, fz.b_ord, 1, fz.score, 'FUZZY' from fz anti join dic on dic.pair = fz.pair and dic.a_ord = fz.a_ord and dic.b_ord = fz.b_ord where not weak and not conflict)
+    every as (select pair, a_ord, b_ord, 2 as level_rank, cast(1 as double) as score, 'RELATIONSHIP' as level from dic union all select fz.pair, fz.a_ord, fz.b_ord, 1, fz.score, 'FUZZY' from fz anti join dic on dic.pair = fz.pair and dic.a_ord = fz.a_ord and dic.b_ord = fz.b_ord where not weak and not conflict)
     select pair, a_ord, b_ord, 'EXACT' as level, cast(1.0 as double) as score from p union all select pair, a_ord, b_ord, level, cast(score as double) from ({folded('select * from every')})"""
 _MATCHED = f"fz as ({_SCORED}), chosen as ({folded("select pair, a_ord, b_ord, 1 as level_rank, score, 'FUZZY' as level from fz where not weak and not conflict")})"
 ORACLE_SQL["hint_lines"] = f"""{FUZZY}, {_MATCHED}
@@ -291,9 +291,9 @@ _FUZZY_ALL = FUZZY.replace("from fa join fb on fa.pair = fb.pair", "from fa join
 _TERM_ALL = _TERM_SELECT.replace("from a join b", "from fa a join b")
 ORACLE_SQL["pairing_fuzzy"] = f"""{_FUZZY_ALL}, {_TERM_CTES}, exa as (select a.pair, a.item_ord as a_ord, b.item_ord as b_ord from a join b on a.pair = b.pair and a.key = b.key where a.key <> ''),
     dic as (select d.* from ({_TERM_ALL}) d anti join exa using (pair, a_ord, b_ord)), fz as (select s.* from ({_SCORED}) s anti join exa using (pair, a_ord, b_ord) anti join dic using (pair, a_ord, b_ord)),
-    ok as (select pair, a_ord, b_ord, 3 as r, 1.0 as score from exa union all select pair, a_ord, b_ord, 2, 1.0 from dic union all select pair, a_ord, b_ord, 1, score from fz where not weak and not conflict),
+    ok as (select pair, a_ord, b_ord, 3 as r, cast(1 as double) as score from exa union all select pair, a_ord, b_ord, 2, cast(1 as double) from dic union all select pair, a_ord, b_ord, 1, score from fz where not weak and not conflict),
     every as (select ok.pair, ok.a_ord, ok.b_ord, r as level_rank, score, case r when 2 then 'RELATIONSHIP' else 'FUZZY' end as level from ok semi join fa on fa.pair = ok.pair and fa.item_ord = ok.a_ord semi join fb on fb.pair = ok.pair and fb.item_ord = ok.b_ord where r < 3),
-    own as (select pair, a_ord, b_ord, 'EXACT' as level, 1.0 as score, 3 as r from p union all select pair, a_ord, b_ord, level, score, case level when 'RELATIONSHIP' then 2 else 1 end from ({folded('select * from every')})),
+    own as (select pair, a_ord, b_ord, 'EXACT' as level, cast(1 as double) as score, 3 as r from p union all select pair, a_ord, b_ord, level, score, case level when 'RELATIONSHIP' then 2 else 1 end from ({folded('select * from every')})),
     alt as (select distinct o.pair, o.a_ord from own o join ok on ok.pair = o.pair and ok.a_ord = o.a_ord where ok.b_ord <> o.b_ord and ok.r = o.r and ok.score >= o.score - 0.05),
     x as (select case o.level when 'EXACT' then 'EXACT' when 'RELATIONSHIP' then 'EQUIVALENT' else 'POTENTIAL' end as base, o.level, a.quantity <> b.quantity as differs, alt.pair is not null as many, a.confidence < 0.7 as low, 'pair' as what
             from own o join a on a.pair = o.pair and a.item_ord = o.a_ord join b on b.pair = o.pair and b.item_ord = o.b_ord left join alt on alt.pair = o.pair and alt.a_ord = o.a_ord
