@@ -1,7 +1,8 @@
 """Best-fit packing improved by swap-based local search.
 
-Pieces are dealt evenly into groups of about GROUP_PIECES, each packed by one task: best fit by size classes, then
-the search. It takes the emptiest bin and moves one of its pieces into another underfull bin, swaps one for a shorter one
+Pieces are dealt evenly into groups of about GROUP_PIECES, each packed by one task: best fit in descending order, and where
+that leaves a bin more than the tokens need, best fit by size classes too; the search goes on from both, and the better
+result is kept, so it never has more bins than best fit in descending order. The search takes the emptiest bin and moves one of its pieces into another underfull bin, swaps one for a shorter one
 there, or two for one, whatever raises the sum of squared fills most, until the bin is empty; a bin that nothing helps is
 left until one of its partners changes. Only lengths are moved, never ids. More pieces make more groups, not larger ones;
 the emptiest bin of each group is packed again with those of the other groups. Full pieces are sequences of their own.
@@ -128,10 +129,16 @@ def by_size_class(lengths: np.ndarray) -> np.ndarray:
 
 def pack(lengths: np.ndarray, cap: int = MAX_TOKENS) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each piece."""
-    order = by_size_class(lengths)
-    ordered = lengths[order]
+    least, found = -(-int(lengths.sum()) // cap), None
+    for start in (np.argsort(-lengths, kind="stable"), by_size_class(lengths)):
+        sizes = lengths[start]
+        bins = local_search(sizes, best_fit(sizes, cap), cap)
+        if found is None or len(bins) < len(found):
+            order, ordered, found = start, sizes, bins
+        if len(found) <= least:
+            break
     bin_of, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    for b, members in enumerate(local_search(ordered, best_fit(ordered, cap), cap)):
+    for b, members in enumerate(found):
         sizes = ordered[members]
         bin_of[order[members]], offset[order[members]] = b, np.cumsum(sizes) - sizes
     return bin_of, offset

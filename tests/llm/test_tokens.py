@@ -91,6 +91,18 @@ def best_known(sizes, cap):
     return best
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=120), st.integers(64, 90))
+def test_never_more_bins_than_descending_best_fit(sizes, cap):
+    x = np.array(sizes, np.int64)
+    bins, offset = packing.pack(x, cap)
+    assert len(set(bins.tolist())) <= len(packing.best_fit(np.sort(x)[::-1], cap))
+    for b in set(bins.tolist()):
+        own = np.flatnonzero(bins == b)
+        own = own[np.argsort(offset[own])]
+        assert (offset[own] == np.cumsum(x[own]) - x[own]).all() and x[own].sum() <= cap
+
+
 def searched(x, cap):
     first = packing.best_fit(x, cap)
     then = packing.local_search(x, first, cap)
