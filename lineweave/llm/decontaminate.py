@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.llm import common
@@ -156,28 +156,27 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: st
     found = common.cut(rows.mapInArrow(scanned, SCANNED + ", x long, y long").withColumn("nth", F.monotonically_increasing_id()), "decontaminate")
     some = found.where(F.size("hits") > 0)
     each = some.select("nth", F.inline("hits"))
-    told = windows.groupBy("k", "h", "words").agg(F.collect_set("item").alias("of"))  # a window stands in few items, however many documents have it
-    if (windows.agg(F.sum(F.length("words") + 20)).first()[0] or 0) <= BROADCAST_BYTES:
-        told = F.broadcast(told)
-    real = each.join(told, ["k", "h", "words"]).groupBy("nth").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("at").alias("first"), (F.col("at") + F.col("k") - 1).alias("last")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("of")))).alias("items")
-    )
+    small = (windows.agg(F.sum(F.length("words") + 20)).first()[0] or 0) <= BROADCAST_BYTES
+    sent = F.broadcast if small else lambda df: df
+    of = ["k", "h", "words"]
+    real = common.cut(each.join(sent(windows.select(*of).distinct()), of), "window-hits")
+    spans = _runs(real.select("nth", F.col("at").alias("first"), (F.col("at") + F.col("k") - 1).alias("last")))
+    # a document and an item meet once, however many windows they share and however many items have a window
+    named = real.select("nth", *of).distinct().join(sent(windows), of).select("nth", "item").distinct().groupBy("nth").agg(F.array_sort(F.collect_list("item")).alias("items"))
     none = F.lit(None).cast("array<struct<first:long,last:long>>"), F.lit(None).cast("array<long>")
-    both = some.join(real, "nth", "left").select("doc_id", "x", "y", "n_words", "spans", "items")
-    both = both.unionByName(found.where(F.size("hits") == 0).select("doc_id", "x", "y", "n_words", none[0].alias("spans"), none[1].alias("items")))
-    return both.select("doc_id", "x", "y", "n_words", _runs("spans").alias("runs"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
-
-
-def _runs(spans: str) -> Column:
-    """Sorted spans with those that meet or overlap made one."""
-    start = F.array().cast("array<struct<first:long,last:long>>")
-
-    def joined(acc: Column, s: Column) -> Column:
-        end = F.element_at(acc, -1)
-        wider = F.struct(end["first"].alias("first"), F.greatest(end["last"], s["last"]).alias("last"))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["last"] + 1 >= s["first"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(acc, F.array(s)))
-
-    return F.coalesce(F.aggregate(spans, start, joined), start)
+    both = some.join(spans, "nth", "left").join(named, "nth", "left").select("doc_id", "x", "y", "n_words", "runs", "items")
+    both = both.unionByName(found.where(F.size("hits") == 0).select("doc_id", "x", "y", "n_words", none[0].alias("runs"), none[1].alias("items")))
+    return both.select("doc_id", "x", "y", "n_words", F.coalesce("runs", F.array().cast("array<struct<first:long,last:long>>")).alias("runs"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
+
+
+def _runs(spans: DataFrame) -> DataFrame:
+    """nth and its spans, those that meet or overlap made one, in order."""
+    w = Window.partitionBy("nth").orderBy("first", "last")
+    before = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("first") > before + 1, F.lit(True)).cast("int")
+    runs = spans.withColumn("begins", begins).withColumn("run", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    one = runs.groupBy("nth", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return one.groupBy("nth").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
 def n_hit(runs: str = "runs") -> Column:
