@@ -6,6 +6,7 @@ description and the columns that normalize_column() adds; side A's table may als
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -127,6 +128,21 @@ def _chars(words: Column) -> Column:
 BAG = " ETAIONSRLDC0123456789"
 
 
+#: Texts of one side of a pair that a block has, about; a pair with more is compared block by block.
+BLOCK = 2000
+
+
+def _in_blocks(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Adds the block of a pair in which a text of A meets one of B: A's parts times B's parts, each meeting once."""
+    parts = lambda df, s: df.groupBy("pair").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias(f"{s}_parts"))
+    both = cut(parts(x, "a").join(parts(y, "b"), "pair").where("a_parts > 1 or b_parts > 1"), "large-pairs")  # those alone need blocks
+    one = F.coalesce("a_parts", F.lit(1)), F.coalesce("b_parts", F.lit(1))
+    own = lambda s, n: F.pmod(F.xxhash64(f"{s}_norm_text"), n).cast("int")
+    left = x.join(both, "pair", "left").withColumn("a_block", F.explode(F.transform(F.sequence(F.lit(0), one[1] - 1), lambda k: own("a", one[0]) * one[1] + k)))
+    right = y.join(both, "pair", "left").withColumn("b_block", F.explode(F.transform(F.sequence(F.lit(0), one[0] - 1), lambda k: k * one[1] + own("b", one[1]))))
+    return left.drop("a_parts", "b_parts"), right.drop("a_parts", "b_parts")
+
+
 def fuzzy_candidates(a: DataFrame, b: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Similar pairs of a set; each distinct pair of texts is scored once. Below the floor none, below `potential` weak.
 
@@ -139,7 +155,8 @@ def fuzzy_candidates(a: DataFrame, b: DataFrame, t: Thresholds = Thresholds()) -
     kinds = lambda df, s: df.select("pair", f"{s}_norm_text", f"{s}_norm_tokens").dropDuplicates(["pair", f"{s}_norm_text"]).withColumns({f"{s}_words": words(s), f"{s}_bag": _bag(words(s)), f"{s}_chars": _chars(words(s))})
     x, y = kinds(left, "a"), kinds(right, "b")
     may = F.arrays_overlap("a_words", "b_words") | _may_reach(t.floor)
-    near = cut(x.join(y.withColumnRenamed("pair", "_p"), (F.col("pair") == F.col("_p")) & may).select("pair", "a_norm_text", "b_norm_text", "a_words", "b_words"), "near")
+    x, y = _in_blocks(cut(x, "kinds"), cut(y, "kinds"))
+    near = cut(x.join(y.withColumnRenamed("pair", "_p"), (F.col("pair") == F.col("_p")) & (F.col("a_block") == F.col("b_block")) & may).select("pair", "a_norm_text", "b_norm_text", "a_words", "b_words"), "near")
     distinct = near.dropDuplicates(["a_norm_text", "b_norm_text"])
     scored = distinct.select("a_norm_text", "b_norm_text", text.similarity_udf("a_words", "b_words").alias("score")).where(F.col("score") >= t.floor)
     kept = near.select("pair", "a_norm_text", "b_norm_text").join(scored, ["a_norm_text", "b_norm_text"])
@@ -255,12 +272,15 @@ def hints(candidates: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
 
 
 def find_anywhere(a: DataFrame, b: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """Similar lines in any document: all pairs of distinct texts that share a word and score `potential` or more.
+    """Similar lines in any document: all pairs of distinct texts that score `potential` or more.
 
-    Equal word sets join by key. Of two other texts of n and m content words the score is 1 only if one's words contain the
-    other's; else it is an indel ratio. Each text is filed under its words, and a pair is met once, at the first word in
-    alphabetical order that both have; words that many texts have are parted, both sides dealt into square blocks, so no word is capped
-    and none makes one large task. Before scoring, the bound by characters must reach `potential`.
+    Pairs that share a word: each text is filed under its words, and a pair is met once, at the first word in alphabetical
+    order that both have; words that many texts have are parted, both sides dealt into square blocks, so no word is capped and
+    none makes one large task. Before scoring, the bound by characters must reach `potential`. Equal word sets score 1, and so
+    do two other texts of which one's words contain the other's.
+
+    Pairs without a common word, which are similar by characters alone, are found by their rarest pairs of characters
+    (gram_candidates).
     """
     kinds = lambda df: df.where("norm_text <> ''").select("norm_text", F.array_sort(F.array_distinct(text.content_tokens(F.col("norm_tokens")))).alias("w"), text.content_tokens(F.col("norm_tokens")).alias("words")).dropDuplicates(["norm_text"])
     x, y = (cut(kinds(df).withColumns({"bag": _bag(F.col("words")), "chars": _chars(F.col("words"))}), "kinds") for df in (a, b))
@@ -274,6 +294,64 @@ def find_anywhere(a: DataFrame, b: DataFrame, t: Thresholds = Thresholds()) -> D
     both = F.length(F.array_join(own, " "))
     most = 2.0 * both >= (t.potential - 1e-4) * (both + F.least("a_chars", "b_chars"))  # the shared words against one side
     may = (F.element_at(own, 1) == F.col("v")) & (inside | most | _may_reach(t.potential))
-    met = left.join(right, ["v", "i", "j"]).where(may)
+    met = left.join(right, ["v", "i", "j"]).where(may).select("a_text", "b_text", "a_words", "b_words")
+    met = met.unionByName(gram_candidates(x, y, t.potential))
     scored = met.select("a_text", "b_text", text.similarity_udf("a_words", "b_words").alias("score"))
     return scored.where(F.col("score") >= t.potential)
+
+
+def _gram_share(least: float) -> float:
+    """Of an indel ratio `least` of texts of n and m characters follow so many common pairs of characters, per character of both, less one.
+
+    Of n + m characters at most (1 - least)(n + m) are left out by the longest common subsequence; a character of one text
+    that is left out breaks at most two of its pairs of neighbours and one of the other text's.
+    """
+    return 0.5 - 1.5 * (1 - least)
+
+
+def _filed_grams(kinds: DataFrame, side: str, least: float) -> DataFrame:
+    """The numbered character pairs (`ab#2` is the second `ab`) of a text's sorted words, once each and with repeats."""
+    said = F.array_distinct(F.array(F.array_join("w", " "), F.array_join(F.array_sort("words"), " ")))
+    x = kinds.select("norm_text", "w", "words", "bag", "chars", F.explode(said).alias("said")).withColumn("n", F.length("said")).where("n > 2")
+    pairs = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda k: F.substring("said", k, 2))
+    x = x.withColumn("g", F.array_sort(pairs))
+    numbered = F.transform("g", lambda g, k: F.concat(g, F.lit("#"), (k - F.array_position("g", g) + 2).cast("string")))
+    return x.select(F.col("norm_text").alias(f"{side}_text"), F.col("w").alias(f"{side}w"), F.col("words").alias(f"{side}_words"), F.col("bag").alias(f"{side}_bag"), F.col("chars").alias(f"{side}_chars"), F.col("n").alias(f"{side}_n"), numbered.alias("g"))
+
+
+def gram_candidates(x: DataFrame, y: DataFrame, least: float) -> DataFrame:
+    """Pairs of texts without a common word that may be similar by characters: a_text, b_text, a_words, b_words, once each.
+
+    A text of n characters has at least c(n) pairs of characters in common with any that is similar, so if both sort theirs
+    from the rarest on, the first n - c(n) of either share one. Texts are filed under these and a class of lengths; the first
+    that two share has to leave enough behind it on both sides. Common ones are parted into square blocks. Texts of one or
+    two characters are similar only to equal ones. x, y: norm_text, w, words, bag, chars.
+    """
+    least -= 1e-4  # scores are rounded
+    share, ratio = _gram_share(least), least / (2 - least)
+    if 3 * (1 + ratio) * share <= 1:
+        raise ValueError("short texts this far apart need not share a pair of characters")
+    sides = [cut(_filed_grams(df, s, least), "grams") for df, s in ((x, "a"), (y, "b"))]
+    each = [df.select(F.explode("g").alias("gram")) for df in sides]
+    counts = cut(each[0].unionByName(each[1]).groupBy("gram").count(), "gram-counts")
+    part = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("count") / 10_000.0))).cast("int")
+    step = -math.log(ratio)
+
+    def prefix(df: DataFrame, s: str) -> DataFrame:
+        n = F.col(f"{s}_n")
+        need = F.ceil(n * (1 + ratio) * share - 1 - 1e-9).cast("int")  # one at least, as checked above
+        rows = df.withColumn("id", F.xxhash64(f"{s}_text", f"{s}_n", F.col("g"))).withColumn("gram", F.explode("g")).drop("g").join(F.broadcast(counts) if counts.count() <= 100_000 else counts, "gram")
+        place = F.row_number().over(Window.partitionBy(f"{s}_text", "id").orderBy("count", "gram"))
+        rows = rows.withColumn(f"{s}_place", place).where(F.col(f"{s}_place") <= n - 1 - need + 1)
+        kind = F.floor(F.log(n.cast("double")) / step).cast("int")
+        deal = F.pmod(F.xxhash64(f"{s}_text"), part).cast("int")
+        if s == "a":
+            return rows.withColumn("kind", F.explode(F.array(kind - 1, kind, kind + 1))).withColumn("i", deal).withColumn("j", F.explode(F.sequence(F.lit(0), part - 1))).drop("count", "id")
+        return rows.withColumn("kind", kind).withColumn("j", deal).withColumn("i", F.explode(F.sequence(F.lit(0), part - 1))).drop("count", "id")
+
+    both = F.col("a_n") + F.col("b_n")
+    window = F.least("a_n", "b_n") >= ratio * F.greatest("a_n", "b_n") - 1e-9
+    left_behind = 1 + F.least(F.col("a_n") - 1 - F.col("a_place"), F.col("b_n") - 1 - F.col("b_place"))
+    enough = left_behind >= both * share - 1 - 1e-9
+    met = prefix(sides[0], "a").join(prefix(sides[1], "b"), ["gram", "kind", "i", "j"]).where(window & enough & ~F.arrays_overlap("aw", "bw") & _may_reach(least))
+    return met.dropDuplicates(["a_text", "b_text"]).select("a_text", "b_text", "a_words", "b_words")

@@ -138,13 +138,39 @@ def test_pruned_ladder_reports_the_same(sides):
     assert seen[0] == seen[1]
 
 
-def test_find_anywhere_recall(sides):
+def test_find_anywhere_is_whole(sides):
+    """All pairs, also those that share no word, against brute force."""
     a, b = sides
-    found = {(r.a_text, r.b_text) for r in matching.find_anywhere(a, b).collect()}
+    found = [(r.a_text, r.b_text) for r in matching.find_anywhere(a, b).collect()]
     words = lambda df: {r.norm_text: [t for t in r.norm_tokens if t not in text.STOPWORDS] for r in df.collect()}
     x, y = words(a), words(b)
-    want = {(p, q) for p in x for q in y if text.similarity(x[p], y[q]) >= 0.85}
-    assert found == {(p, q) for p, q in want if set(x[p]) & set(y[q])}
+    assert sorted(found) == sorted((p, q) for p in x for q in y if text.similarity(x[p], y[q]) >= 0.85)
+
+
+def _texts(spark, said):
+    rows = [(1, k, t) for k, t in enumerate(said)]
+    return matching.normalized_lines(spark.createDataFrame(rows, "pair long, item_ord int, description string"))
+
+
+def test_find_anywhere_without_a_common_word(spark):
+    rng = random.Random(11)
+    nouns = ["".join(rng.choices("ABCDEINORST", k=rng.randint(2, 14))) for _ in range(60)]
+    change = lambda w: w[: (k := rng.randrange(len(w)))] + rng.choice(["", "X", "AB"]) + w[k + rng.randint(0, 1) :] or "Q"
+    one = [*nouns, *(" ".join(rng.sample(nouns, rng.randint(2, 4))) for _ in range(120)), "AA AA AA", "A", "AB", "ABC"]
+    two = [" ".join(change(w) for w in t.split()) for t in one for _ in range(2)] + ["A", "AC", "ABD", "AAAA AAA"]
+    a, b = _texts(spark, one), _texts(spark, two)
+    words = lambda df: {r.norm_text: [t for t in r.norm_tokens if t not in text.STOPWORDS] for r in df.collect() if r.norm_text}
+    x, y = words(a), words(b)
+    want = sorted((p, q) for p in x for q in y if text.similarity(x[p], y[q]) >= 0.85)
+    assert sorted((r.a_text, r.b_text) for r in matching.find_anywhere(a, b).collect()) == want
+    assert sum(not set(x[p]) & set(y[q]) for p, q in want) > 50
+
+
+def test_blocks_of_a_large_pair(sides, monkeypatch):
+    a, b = sides
+    whole = sorted((r.pair, r.a_ord, r.b_ord, r.score) for r in matching.fuzzy_candidates(a, b).collect())
+    monkeypatch.setattr(matching, "BLOCK", 2)
+    assert whole and sorted((r.pair, r.a_ord, r.b_ord, r.score) for r in matching.fuzzy_candidates(a, b).collect()) == whole
 
 
 def test_terms(spark):
