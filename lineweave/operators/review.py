@@ -340,3 +340,28 @@ def locked_until(failures: DataFrame, most: int = 5, minutes: int = 15) -> DataF
     runs = failures.withColumn("run", F.sum(F.col("ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     n = runs.where("not ok").groupBy("actor", "run").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last"))
     return n.where(F.col("n") >= most).groupBy("actor").agg(F.max(F.col("last") + F.make_interval(mins=F.lit(minutes))).alias("locked_until"))
+
+
+def open_sessions(sessions: DataFrame) -> DataFrame:
+    """The most sessions open at once in each hour in which one starts or ends. sessions: started_at, ended_at (null: still open).
+
+    A session counts from its start to before its end. Starts and ends are added up per instant, then per minute, so sums run
+    over a minute's instants and over minutes, never over all events.
+    """
+    starts = sessions.select(F.col("started_at").cast("timestamp").alias("at"), F.lit(1).alias("d"))
+    ends = sessions.where("ended_at is not null").select(F.col("ended_at").cast("timestamp").alias("at"), F.lit(-1).alias("d"))
+    each = starts.unionByName(ends).groupBy("at").agg(F.sum("d").alias("d")).withColumn("minute", F.date_trunc("minute", "at"))
+    running = F.sum("d").over(Window.partitionBy("minute").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    minutes = each.withColumn("running", running).groupBy("minute").agg(F.sum("d").alias("d"), F.max("running").alias("most"))
+    # two more steps of sums: of a day's minutes, and of days, of which there are few
+    day = F.date_trunc("day", "minute")
+    in_day = F.coalesce(F.sum("d").over(Window.partitionBy(day).orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = minutes.groupBy(day.alias("day")).agg(F.sum("d").alias("d")).select("day", F.coalesce(F.sum("d").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = minutes.withColumns({"in_day": in_day, "day": day}).join(F.broadcast(days), "day").withColumn("open", F.col("before") + F.col("in_day"))
+    peak = F.max(F.greatest(F.col("open"), F.col("open") + F.col("most"))).alias("peak")
+    return placed.groupBy(F.date_trunc("hour", "minute").alias("hour")).agg(peak)
+
+
+def open_at(sessions: DataFrame, at: Column) -> DataFrame:
+    """The sessions that are open at an instant."""
+    return sessions.where((F.col("started_at") <= at) & (F.col("ended_at").isNull() | (F.col("ended_at") > at)))
