@@ -222,23 +222,50 @@ def assignable(c: DataFrame) -> DataFrame:
 ROUNDS = 12
 
 
+def _alike(rest: DataFrame) -> DataFrame:
+    """What the ordered choice takes among lines that are alike: pair, a_ord, b_ord.
+
+    Of a line's candidates those of its best (level, score) are looked at. A lines with the same set of them are a class; if
+    those B lines have no others as their best than the class, the choice pairs the k-th with the k-th. Sets are told apart
+    by their size and two hashes, so none is gathered.
+    """
+    x = rest.select("pair", "a_ord", "b_ord", F.struct((-F.col("level_rank")).alias("r"), (-F.col("score")).alias("s")).alias("tier"))
+    best_a, best_b = (x.groupBy("pair", c).agg(F.min("tier").alias(n)) for c, n in (("a_ord", "of_a"), ("b_ord", "of_b")))
+    top = cut(x.join(best_a, ["pair", "a_ord"]).join(best_b, ["pair", "b_ord"]).where("tier = of_a or tier = of_b"), "top")
+    mine = top.where("tier = of_a")
+    hashed = F.struct("of_a", F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("b_ord")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "b_ord")).alias("g"))
+    told = cut(mine.groupBy("pair", "a_ord", "of_a").agg(hashed.alias("class")).select("pair", "a_ord", "class"), "classes")
+    sizes = told.groupBy("pair", "class").agg(F.count(F.lit(1)).alias("lines"))
+    degree = top.where("tier = of_b").groupBy("pair", "b_ord").agg(F.count(F.lit(1)).alias("degree"))
+    each = mine.join(told, ["pair", "a_ord"]).join(degree, ["pair", "b_ord"], "left").groupBy("pair", "class", "b_ord").agg(F.bool_and(F.col("tier") == F.col("of_b")).alias("both"), F.max("degree").alias("degree"))
+    each = cut(each.join(sizes, ["pair", "class"]), "class-lines")
+    whole = each.groupBy("pair", "class").agg(F.bool_and(F.col("both") & (F.col("degree") == F.col("lines"))).alias("ok")).where("ok").select("pair", "class")
+    k = lambda c: F.row_number().over(Window.partitionBy("pair", "class").orderBy(c)).alias("k")
+    a = told.join(whole, ["pair", "class"]).select("pair", "class", "a_ord", k("a_ord"))
+    b = each.select("pair", "class", "b_ord").join(whole, ["pair", "class"]).select("pair", "class", "b_ord", k("b_ord"))
+    return a.join(b, ["pair", "class", "k"]).select("pair", "a_ord", "b_ord")
+
+
 def greedy_pairs(candidates: DataFrame) -> DataFrame:
     """One-to-one pairs, the best (level, score, a, b) first.
 
     A candidate that is the best of both its lines is what the ordered choice would take, so rounds of these, each without
     the lines that are taken, end with the same pairs; every shuffle is by line, never by pair of documents. Rounds end when
-    nothing is left; only what many equal lines leave after ROUNDS of them is folded in order.
+    nothing is left. Lines that are alike are paired off together (_alike) in every third round, the k-th with the k-th; only
+    what is left after ROUNDS of them is folded in order.
     """
     kept = ["pair", "a_ord", "b_ord", "level_rank", "score", "level", "confirm", "relationship_id"]
     rest = cut(assignable(candidates).select(*kept), "rest")
     key = F.struct((-F.col("level_rank")).alias("r"), (-F.col("score")).alias("s"), "a_ord", "b_ord")
     found = None
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         if rest.isEmpty():
             break
         of_a = rest.groupBy("pair", "a_ord").agg(F.min(key).alias("x")).select("pair", "a_ord", F.col("x.b_ord").alias("b_ord"))
         of_b = rest.groupBy("pair", "b_ord").agg(F.min(key).alias("y")).select("pair", F.col("y.a_ord").alias("a_ord"), "b_ord")
         taken = of_a.join(of_b, ["pair", "a_ord", "b_ord"])
+        if turn % 3 == 2:
+            taken = taken.unionByName(_alike(rest)).distinct()
         mutual = cut(rest.join(taken, ["pair", "a_ord", "b_ord"], "left_semi"), "mutual")
         found = mutual if found is None else found.unionByName(mutual)
         rest = cut(rest.join(mutual.select("pair", "a_ord"), ["pair", "a_ord"], "left_anti").join(mutual.select("pair", "b_ord"), ["pair", "b_ord"], "left_anti"), "rest")

@@ -173,6 +173,45 @@ def test_blocks_of_a_large_pair(sides, monkeypatch):
     assert whole and sorted((r.pair, r.a_ord, r.b_ord, r.score) for r in matching.fuzzy_candidates(a, b).collect()) == whole
 
 
+def _candidates(spark, rows):
+    return spark.createDataFrame([(p, i, j, r, float(s)) for p, i, j, r, s in rows], "pair long, a_ord int, b_ord int, level_rank int, score double").select("*", F.lit("FUZZY").alias("level"), F.lit(False).alias("confirm"), F.lit(None).cast("string").alias("relationship_id"), F.lit(False).alias("weak"), F.lit(False).alias("conflict"))
+
+
+def _in_order(rows):
+    """The ordered choice, one candidate after the other."""
+    used, out = set(), []
+    for p, i, j, r, s in sorted(rows, key=lambda c: (c[0], -c[3], -c[4], c[1], c[2])):
+        if ("a", p, i) not in used and ("b", p, j) not in used:
+            used |= {("a", p, i), ("b", p, j)}
+            out.append((p, i, j))
+    return sorted(out)
+
+
+def test_classes_of_alike_lines(spark):
+    """Classes of equal lines, of which some share a score, against the ordered choice."""
+    rng = random.Random(4)
+    rows = set()
+    for p in range(25):
+        kinds_a, kinds_b = [rng.randint(0, 3) for _ in range(rng.randint(1, 14))], [rng.randint(0, 3) for _ in range(rng.randint(1, 14))]
+        score = {(x, y): rng.choice([0, 0, 0.9, 0.9, 0.95, 1]) for x in range(4) for y in range(4)}
+        rows |= {(p, i, j, 1, score[x, y]) for i, x in enumerate(kinds_a) for j, y in enumerate(kinds_b) if score[x, y]}
+    got = matching.greedy_pairs(_candidates(spark, sorted(rows))).collect()
+    assert sorted((r.pair, r.a_ord, r.b_ord) for r in got) == _in_order(rows)
+
+
+def test_many_equal_lines_in_few_rounds(spark, monkeypatch):
+    """300 equal lines against 200, and 120 near-equal ones that would take the same: paired off without the fold."""
+    from lineweave.operators import matching as m
+
+    cuts = []
+    plain = m.cut
+    monkeypatch.setattr(m, "cut", lambda df, label: cuts.append(label) or plain(df, label))
+    rows = [(1, i, j, 1, 0.95 if i < 300 else 0.9) for i in range(420) for j in range(350 if i >= 300 else 200)]
+    got = m.greedy_pairs(_candidates(spark, rows)).collect()
+    assert sorted((r.pair, r.a_ord, r.b_ord) for r in got) == _in_order(rows)
+    assert cuts.count("mutual") < m.ROUNDS
+
+
 def test_terms(spark):
     at = lambda d: datetime.datetime(2024, 1, d)
     rows = [("REL-001", 1, "A", ["x"], "global", True, False, at(1)), ("REL-001", 2, "A2", ["x"], "global", True, False, at(5)), ("REL-002", 1, "B", [], "global", True, True, at(2)), ("REL-003", 1, "C", [], "global", False, False, at(3))]
