@@ -46,6 +46,16 @@ fixtures.SQL |= {
             (values ('Affected', 20.0, 60.0, 0), ('Codes', 56.0, 60.0, 0), ('Item', 120.0, 60.0, 0), ('Item', 200.0, 60.0, 1), ('Description', 280.0, 60.0, 0), ('Quantity', 420.0, 60.0, 0), ('Quantity', 480.0, 60.0, 1), ('Oper', 540.0, 60.0, 0), ('Oper', 600.0, 60.0, 1), ('Percent', 660.0, 60.0, 0), ('Percent', 720.0, 60.0, 1),
                 ('Actual', 120.0, 72.0, 0), ('Proposed', 200.0, 72.0, 0), ('Actual', 420.0, 72.0, 0), ('Proposed', 480.0, 72.0, 0), ('Actual', 540.0, 72.0, 0), ('Proposed', 600.0, 72.0, 0), ('Actual', 660.0, 72.0, 0), ('Proposed', 720.0, 72.0, 0)) v(w, x, y, doubled)
         where doubled = 0 or form % 2 = 0) t where w <> ''""",
+    # two columns of entries, of some a second line; the name and the reference above, the end of the contents and a stray entry below
+    "label_rows": """select pair, item_ord, (item_ord - 1) % 2 as col, cast(floor((item_ord - 1) / 2.0) as int) as slot, upper(p_name) as said, cast(cast(quantity as int) as string) as qty, l_partkey % 5 = 0 as wrapped, l_partkey % 23 = 0 and item_ord > 2 as odd from ({bom}) b""",
+    "label_words": f"""select pair as doc_id, 1 as page, w as text, {_BOX} from (
+        select pair, case k when 0 then case when odd then 'about' else qty end when 1 then 'Each' when 2 then '-' when 3 then split_part(said, ' ', 1) when 4 then split_part(said, ' ', 2) else case when wrapped then 'STERILE' end end as w,
+            20.0 + col * 300.0 + case k when 0 then 0.0 when 1 then 25.0 when 2 then 45.0 when 3 then 53.0 when 4 then 100.0 else 53.0 end as x, 60.0 + slot * 24.0 + case when k = 5 then 12.0 else 0.0 end + k % 2 * 0.5 as y
+        from ({{label_rows}}) r cross join (values (0), (1), (2), (3), (4), (5)) c(k)
+        union all
+        select pair, case k when 0 then 'REF:' when 1 then cast(pair + 10000 as string) when 2 then 'KIT' when 3 then 'NO' when 4 then cast(pair as string) when 5 then 'Contents' when 6 then 'Store' when 7 then 'between' when 8 then '5' when 9 then '3' when 10 then 'Each' when 11 then '-' else 'Stray' end as w,
+            case when k < 6 then k * 60.0 else (k - 6) * 40.0 end as x, case when k < 2 then 10.0 when k < 5 then 22.0 when k = 5 then 40.0 when k < 9 then 60.0 + rows * 24.0 else 72.0 + rows * 24.0 end as y
+        from (select pair, max(slot) + 1 as rows from ({{label_rows}}) r where pair % 7 <> 0 group by pair) p cross join (values (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12)) c(k)) t where w is not null""",
     # three columns of callouts, four to a column
     "callouts_fx": """select cast(floor(p_partkey / 12.0) as bigint) as doc_id, p_partkey % 12 as slot, upper(p_name) as said, p_size, p_partkey % 17 = 0 as noise, p_partkey % 4 = 0 as conditional, p_partkey % 3 as es from {part}""",
     "callout_words": """select doc_id, 1 as page, w as text, 20.0 + slot % 3 * 250.0 + off as x0, y0, 20.0 + slot % 3 * 250.0 + off + length(w) * 4.0 as x1, y0 + 8.0 as y1 from (
@@ -59,9 +69,18 @@ fixtures.SQL |= {
 }
 
 
+#: Spark 4.1 takes a union for partitioned by its parts' keys; where these are windows whose partitions were coalesced, rows were lost or doubled.
+UNION = "spark.sql.unionOutputPartitioning"
+
+
 def _written(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A fixture's words as a table, since they are read more than once; Spark 4.1 also takes a union of windows for partitioned by their keys when its parts aren't."""
-    return cut(fixture(spark, d, name), name)
+    """A fixture's words as a table, since they are read more than once."""
+    before = spark.conf.get(UNION, None)
+    spark.conf.set(UNION, "false")
+    try:
+        return cut(fixture(spark, d, name), name)
+    finally:
+        spark.conf.unset(UNION) if before is None else spark.conf.set(UNION, before)
 
 
 @query
@@ -102,7 +121,27 @@ def drawing_callouts(spark: SparkSession, d: str) -> DataFrame:
     return pages.drawing_items(_written(spark, d, "callout_words"))[0].select("doc_id", "page", "callout_index", "description", "es_text", "conditional")
 
 
+@query
+def label_lines_of_words(spark: SparkSession, d: str) -> DataFrame:
+    items, _, _ = pages.label_document(_written(spark, d, "label_words"))
+    return items.select("doc_id", "sku", F.col("column").alias("col_no"), "description", "quantity", "uom", "raw_line", "line_count", "confidence")
+
+
+@query
+def label_headers_of_words(spark: SparkSession, d: str) -> DataFrame:
+    return pages.label_document(_written(spark, d, "label_words"))[1]
+
+
+@query
+def label_warnings_of_words(spark: SparkSession, d: str) -> DataFrame:
+    return pages.label_document(_written(spark, d, "label_words"))[2]
+
+
 _ROWS = oracles.fx("print_rows")
+#: Entries of labels: rows that begin one, and what goes on with it; a row that can't begin one goes on with the one above, or is one that can't be read.
+_ENTRIES = f"""parts as (select *, case when odd then 'about' else qty end || ' Each - ' || said || case when wrapped then ' STERILE' else '' end as t, not odd or slot = 0 as first from {oracles.fx('label_rows')} r where pair % 7 <> 0),
+    runs as (select *, sum(cast(first as int)) over (partition by pair, col order by slot rows unbounded preceding) as run from parts),
+    entries as (select pair, col, run, string_agg(t, ' ' order by slot) as raw, min_by(odd, slot) as odd, min_by(qty, slot) as qty, sum(1 + cast(wrapped as int)) as n from runs group by 1, 2, 3)"""
 _SHOWN = f"(select *, row_number() over (partition by pair order by item_ord) as r from {_ROWS} x where l_partkey % 37 <> 0 and (page = 1 or (pair + page) % 6 <> 0))"
 _QTY = "case when qty <> 'n/a' then cast(qty as decimal(18,6)) end"
 
@@ -118,6 +157,10 @@ oracles.ORACLE_SQL |= {
     "form_words_changes": f"""select form as file, r as row, nullif(actual, '') as item_actual, proposed as item_proposed, 'MOVED' as description, qty_proposed, nullif(seq_proposed, '') as seq_proposed, kind,
         kind || ':' || case kind when 'DELETE' then actual when 'ADD' then proposed when 'SUBSTITUTE' then actual || '->' || proposed else actual end as change_key from
         (select *, case when proposed = 'DELETE' and actual <> '' then 'DELETE' when actual = '' then 'ADD' when actual <> proposed then 'SUBSTITUTE' else 'MODIFY' end as kind from {oracles.fx('form_lines')} c) x""",
+    "label_lines_of_words": f"""with {_ENTRIES} select pair as doc_id, cast(pair + 10000 as varchar) as sku, cast(col + 1 as integer) as col_no, substr(raw, length(qty) + 9) as description, cast(qty as decimal(18,6)) as quantity, 'EACH' as uom, raw as raw_line, cast(n as integer) as line_count, 1.0 as confidence from entries where not odd""",
+    "label_headers_of_words": f"""select pair as doc_id, case when pair % 7 <> 0 then cast(pair + 10000 as varchar) end as ref, case when pair % 7 <> 0 then 1 end as ref_occurrences, case when pair % 7 <> 0 then 'KIT NO ' || pair end as product_name from {oracles.fx('label_rows')} r group by pair""",
+    "label_warnings_of_words": f"""with {_ENTRIES} select pair as doc_id, concat('page 1: unparsed text in contents region skipped: ', chr(39), left(raw, 60), chr(39)) as warning from entries where odd
+        union all select distinct pair, w from {oracles.fx('label_rows')} r, (values ('REF number not found'), (concat('page 1: no ', chr(39), 'Contents', chr(39), ' heading found; no kit-content lines extracted'))) v(w) where pair % 7 = 0""",
     "drawing_callouts": f"""select doc_id, 1 as page, cast(row_number() over (partition by doc_id order by slot) as int) as callout_index, said || ' ' || cast(p_size as varchar) || 'MM' as description,
         case when es > 0 then 'CON TUBO DE ' || cast(p_size as varchar) else '' end as es_text, conditional from {oracles.fx('callouts_fx')} c where not noise""",
 }
