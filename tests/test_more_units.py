@@ -265,3 +265,20 @@ def test_normalised_either_way(spark):
     many = rows(matching.normalized_lines(df), "item_ord", "norm_key", "norm_tokens")
     matching.BROADCAST_BYTES = limit
     assert few == many == want and len(want) == 6
+
+
+def test_first_json(spark):
+    said = {'a {"x": "} {", "y": {"z": 1}} b {"x": 2}': '{"x": "} {", "y": {"z": 1}}', '{"q": "a \\" } b"} }': '{"q": "a \\" } b"}', "none": None, "{ open": None, "": None, "é {} x": "{}"}
+    for whole, want in said.items():
+        assert value(spark, text.first_json(F.lit(whole))) == want
+    assert value(spark, text.first_json(F.lit(None).cast("string"))) is None
+
+
+def test_open_sessions(spark):
+    minute = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    spans = [(0, 30), (10, 70), (29, 30), (30, 31), (65, None), (60 * 24 + 5, 60 * 24 + 6), (10, 10)]
+    s = spark.createDataFrame([(minute(a), None if b is None else minute(b)) for a, b in spans], "started_at timestamp, ended_at timestamp")
+    got = {r.hour: r.peak for r in review.open_sessions(s).collect()}
+    assert got == {minute(0): 3, minute(60): 2, minute(60 * 24): 2}
+    assert review.open_at(s, F.lit(minute(30)).cast("timestamp")).count() == 2
+    assert review.open_sessions(s.limit(0)).count() == 0
