@@ -33,7 +33,7 @@ class Policy:
 
 
 BOM_LABEL = Policy("BOM_LABEL", "R", True, "MISSING_IN_LABEL", "MISSING_IN_BOM")
-BOM_DRAWING = Policy("BOM_DRAWING", "D", False, "MISSING_IN_DRAWING", "EXTRA_ON_DRAWING", soft_a=("PACKAGING",), conditional_b=True)
+BOM_DRAWING = Policy("BOM_DRAWING", "D", False, "MISSING_IN_DRAWING", "EXTRA_ON_DRAWING", soft_a=("PACKAGING",), exempt_b=("LABEL", "DOCUMENT"), conditional_b=True)
 LABEL_DRAWING = Policy("LABEL_DRAWING", "L", False, "MISSING_IN_DRAWING", "EXTRA_ON_DRAWING", exempt_b=("PACKAGING", "LABEL", "DOCUMENT"), conditional_b=True)
 
 #: What a reviewer is told to do, by type of discrepancy.
@@ -185,7 +185,7 @@ def change_applied(changes: DataFrame, lines: DataFrame, *, terms: DataFrame | N
     description; lines: code, item_ord, item_number, quantity, oper_seq, active, redlines (texts) and, likewise, description.
     With descriptions, a deleted item that stands under another number with the same or a similar text is POTENTIAL, and an
     added one whose text differs has a MINOR DESC_MISMATCH. skipped (code) names sets of which pages weren't read: there, a
-    deletion can't be confirmed.
+    deletion can't be confirmed. line_ord is the active line that a change was judged by.
     """
     old = lines.select("code", F.col("item_number").alias("actual"), "item_ord", "quantity", "oper_seq", "active", "redlines")
     key = ["form", "code", "change_ord"]
@@ -194,14 +194,15 @@ def change_applied(changes: DataFrame, lines: DataFrame, *, terms: DataFrame | N
     a = changes.join(old, ["code", "actual"]).groupBy(*key).agg(
         F.count_if("active").alias("a_rows"),
         F.count_if(~F.col("active")).alias("a_inactive"),
-        F.min_by(F.struct("quantity", "oper_seq", "redlines"), F.when(F.col("active"), F.struct(~F.coalesce(seq(F.col("oper_seq")) == wanted, F.lit(False)), "item_ord"))).alias("a"),
+        F.min_by(F.struct("quantity", "oper_seq", "redlines", "item_ord"), F.when(F.col("active"), F.struct(~F.coalesce(seq(F.col("oper_seq")) == wanted, F.lit(False)), "item_ord"))).alias("a"),
     )
     p = changes.join(old.where("active").withColumnRenamed("actual", "proposed"), ["code", "proposed"]).groupBy(*key).agg(
-        F.count(F.lit(1)).alias("p_rows"), F.min_by(F.struct("quantity", "oper_seq"), F.struct(~F.coalesce(seq(F.col("oper_seq")) == wanted, F.lit(False)), "item_ord")).alias("p")
+        F.count(F.lit(1)).alias("p_rows"), F.min_by(F.struct("quantity", "oper_seq", "item_ord"), F.struct(~F.coalesce(seq(F.col("oper_seq")) == wanted, F.lit(False)), "item_ord")).alias("p")
     )
     marked = lines.where("active").select("code", F.explode("redlines").alias("proposed")).distinct().withColumn("p_redlined", F.lit(True))
     x = changes.join(a, key, "left").join(p, key, "left").join(marked, ["code", "proposed"], "left").na.fill(0, ["a_rows", "a_inactive", "p_rows"]).na.fill(False, ["p_redlined"])
-    row = F.when(F.col("kind") == "MODIFY", F.struct(F.col("a.quantity"), F.col("a.oper_seq"))).otherwise(F.col("p"))
+    row = F.when(F.col("kind") == "MODIFY", F.struct(F.col("a.quantity"), F.col("a.oper_seq"))).otherwise(F.struct(F.col("p.quantity"), F.col("p.oper_seq")))
+    judged = F.when(F.col("kind").isin("MODIFY", "DELETE"), F.col("a.item_ord")).when(F.col("kind") == "ADD", F.col("p.item_ord")).otherwise(F.coalesce("p.item_ord", "a.item_ord"))
     rows = F.when(F.col("kind") == "MODIFY", F.col("a_rows")).otherwise(F.col("p_rows"))
     qty = text.parse_decimal(F.col("qty_proposed"))
     x = x.withColumns({"row": row, "rows": rows}).withColumn("differs", F.coalesce(qty != F.col("row.quantity"), qty.isNotNull()) | F.coalesce(wanted != seq(F.col("row.oper_seq")), wanted.isNotNull()))
@@ -222,7 +223,7 @@ def change_applied(changes: DataFrame, lines: DataFrame, *, terms: DataFrame | N
     modify = F.when(F.col("rows") == 0, out("MISMATCH", absent)).when(undecided, out("POTENTIAL")).when(F.col("differs") & F.array_contains(lines_said, F.col("qty_proposed")), out("POTENTIAL")).when(F.col("differs"), out("MISMATCH", wrong)).otherwise(out("EXACT"))
     verdict = F.when(F.col("kind") == "DELETE", delete).when(F.col("kind") == "ADD", add).when(F.col("kind") == "SUBSTITUTE", substitute).otherwise(modify)
     minor = true("desc_differs") & (F.col("p_rows") > 0) & (((F.col("kind") == "ADD") & ~undecided) | ((F.col("kind") == "SUBSTITUTE") & (F.col("a_rows") == 0)))
-    return x.withColumn("v", verdict).select("form", "code", "change_ord", "kind", "actual", "proposed", "v.classification", "v.discrepancy", F.when(minor, "DESC_MISMATCH").alias("minor"))
+    return x.withColumn("v", verdict).select("form", "code", "change_ord", "kind", "actual", "proposed", "v.classification", "v.discrepancy", F.when(minor, "DESC_MISMATCH").alias("minor"), judged.alias("line_ord"))
 
 
 def _alike(changes: DataFrame, lines: DataFrame, terms: DataFrame | None, t: Thresholds) -> tuple[DataFrame, DataFrame]:

@@ -516,4 +516,4 @@ def stream_latest_decision(spark: SparkSession, d: str) -> DataFrame:
     return streams.latest_table(spark, f"{where}/state", x.schema).select("row_id", "event_id", "decision")
 
 
-from lineweave.plans import flows, more, scores, words  # noqa: E402, F401  register further queries
+from lineweave.plans import flows, more, reported, scores, words  # noqa: E402, F401  register further queries

@@ -29,6 +29,11 @@ SQL = {
     "label_fuzzy": """select pair, upper(split_part(p_name, ' ', 2)) || ', ' || upper(split_part(p_name, ' ', 1)) || ', ' || cast(case when l_partkey % 7 = 0 then p_size + 1 else p_size end as string) || ' MM' || case when l_partkey % 5 = 0 then ' STERILE' else '' end as description,
         quantity, 'EACH' as uom, item_ord, cast(1.0 as double) as confidence, false as conditional, cast(null as int) as sub_value, cast(null as string) as sub_kind, l_partkey from ({bom}) b where l_partkey % 11 <> 0""",
     "pieces": """select pair, sku, item_number, description, quantity, uom, oper_seq, effective_thru, confidence, item_ord, 'PHYSICAL_COMPONENT' as category, true as active from ({bom}) b""",
+    "kit_lines": """select pair, sku, item_number, description, case when l_partkey % 23 = 0 then cast(0 as decimal(18,6)) else quantity end as quantity, uom, oper_seq, effective_thru, confidence, item_ord,
+        case when l_partkey % 17 = 0 then 'LABEL' when l_partkey % 18 = 0 then 'PACKAGING' else 'PHYSICAL_COMPONENT' end as category, l_partkey % 29 <> 0 as active,
+        'bom' || cast(pair as string) || '.csv' as file, cast(1 + item_ord % 3 as int) as page, 'row ' || cast(item_ord as string) as locator, 'DWG' || cast(pair % 50 as string) || case when l_partkey % 4 = 0 then '' else ' rev ' || cast(l_partkey % 4 as string) end as named
+        from ({bom}) b""",
+    "kit_labels": """select * from ({label}) b where pair % 31 <> 0""",
     "sets": """select o_orderkey as pair, cast(o_orderkey as string) || 'NS' as parent, case when o_orderkey % 23 = 0 then null when o_orderkey % 29 = 0 then cast(o_orderkey + 1 as string) || 'X' else cast(o_orderkey as string) || 'LBL' end as ref from {orders}""",
     "drawings": """select o_orderkey as pair, 'DWG' || cast(o_orderkey % 50 as string) as number, cast(o_orderkey % 4 as string) as revision from {orders}""",
     "drawing_lines": """select l_orderkey as pair, l_linenumber as item_ord, case when (l_orderkey + l_linenumber) % 3 = 0 then 'Pack per dwg' || cast(l_orderkey % 50 as string) || ' rev. ' || cast(l_partkey % 3 as string) else 'Part ' || cast(l_partkey as string) end as description from (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey from {lineitem} group by l_orderkey, l_linenumber) t""",

@@ -34,11 +34,12 @@ def sides(label: str = "label") -> str:
         p as (select ka.pair, ka.item_ord as a_ord, kb.item_ord as b_ord, ka.key from ka join kb on ka.pair = kb.pair and ka.key = kb.key and ka.k = kb.k where ka.key <> '')"""
 
 
-def results(prefix: str = "", a_where: str = "true", b_where: str = "true") -> str:
-    """CTEs of the exact pairing check's rows, as `res` with a prefix."""
-    side = lambda f, w: f"(select *, array_to_string(list_sort(t), ' ') as key from (select *, {tokens('description')} as t from {fx(f)} x where {w}) y)"
+def results(prefix: str = "", a_where: str = "true", b_where: str = "true", a: str = "", b: str = "") -> str:
+    """CTEs of the exact pairing check's rows, as `res` with a prefix; a, b: SQL of the lines, by default the fixtures."""
+    side = lambda f, w: f"(select *, array_to_string(list_sort(t), ' ') as key from (select *, {tokens('description')} as t from {f} x where {w}) y)"
+    a, b = a or fx("pieces"), b or fx("label")
     q = prefix
-    return f"""{q}a as {side('pieces', a_where)}, {q}b as {side('label', b_where)},
+    return f"""{q}a as {side(a, a_where)}, {q}b as {side(b, b_where)},
         {q}ka as (select *, row_number() over (partition by pair, key order by item_ord) as k from {q}a), {q}kb as (select *, row_number() over (partition by pair, key order by item_ord) as k from {q}b),
         {q}na as (select pair, key, count(*) as n from {q}a group by pair, key), {q}nb as (select pair, key, count(*) as n from {q}b group by pair, key),
         {q}raw as (
