@@ -23,6 +23,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -210,8 +211,22 @@ class _Smallest:
         return self.sorted
 
 
+class _Touched:
+    """Whether a stretch of a text meets one of its spans, from their sorted starts and the furthest end so far."""
+
+    def __init__(self, spans: list[tuple[int, str, int]]):
+        ordered = sorted((s, e) for s, _, e in spans)
+        self.starts = [s for s, _ in ordered]
+        self.ends = list(accumulate((e for _, e in ordered), max))
+
+    def __call__(self, s: int, e: int) -> bool:
+        k = bisect.bisect_left(self.starts, e)
+        return k > 0 and self.ends[k - 1] > s
+
+
 def labelled(docs: DataFrame, per_kind: int = LABELLED) -> dict[str, list[bytes]]:
-    """A bounded sample of distinct strings by kind, and of ordinary tokens of the same texts as `background`."""
+    """A bounded sample of distinct strings by kind, and of ordinary tokens of the same texts as `background`: those that no
+    span touches and that aren't labelled in their text."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = defaultdict(lambda: _Smallest(per_kind))
@@ -224,10 +239,10 @@ def labelled(docs: DataFrame, per_kind: int = LABELLED) -> dict[str, list[bytes]
                     if not spans:
                         continue
                     text = part[own[r] : own[r + 1]].tobytes()
-                    for s, kind, e in spans:
-                        token = ASSIGN.match(text[s:e])[2] if kind == "assign" else text[s:e]
-                        rows.append((kind, token))
-                    rows += [("background", t) for t in re.findall(rb"[A-Za-z0-9+/_.=-]{8,}", text) if not any(t in text[s:e] for s, _, e in spans)]
+                    own_tokens = [(kind, ASSIGN.match(text[s:e])[2] if kind == "assign" else text[s:e]) for s, kind, e in spans]
+                    touched, secret = _Touched(spans), {token for _, token in own_tokens}
+                    plain = [m[0] for m in re.finditer(rb"[A-Za-z0-9+/_.=-]{8,}", text) if not touched(*m.span())]
+                    rows += own_tokens + [("background", t) for t in plain if t not in secret]
             for kind, token in dict.fromkeys(rows):
                 own = held[kind]
                 h = int.from_bytes(hashlib.blake2b(token, digest_size=7).digest(), "big")
@@ -296,17 +311,18 @@ def likely(tokens: list[bytes], automata: dict[str, Automaton], margin: float =
     for kind, a in automata.items():
         if kind != "background":
             own = scored(a)
-            found |= (own >= a.floor) & (own - plain > margin)
+            fits = own >= a.floor
+            found[fits] |= own[fits] - plain[fits] > margin
     return found.tolist()
 
 
 def all_spans(data: np.ndarray, offs: np.ndarray, automata: dict[str, Automaton]) -> list[list[tuple[int, str, int]]]:
     """Base spans and, outside them, the candidates that the automata find likely."""
     out = base_spans(data, offs)
-    left = []
+    left, touched = [], [_Touched(spans) for spans in out]
     for s, e, r in zip(*(x.tolist() for x in candidates(data, offs)), strict=True):
         s, e = s - int(offs[r]), e - int(offs[r])
-        if not any(s < y and x < e for x, _, y in out[r]):
+        if not touched[r](s, e):
             left.append((r, s, e, data[offs[r] + s : offs[r] + e].tobytes()))
     tokens = list(dict.fromkeys(x[3] for x in left))
     judged = dict(zip(tokens, likely(tokens, automata), strict=True))

@@ -96,3 +96,26 @@ def test_more_strings_than_are_labelled(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     one, many = secrets.labelled(docs.coalesce(1), 50), secrets.labelled(docs.repartition(16), 50)
     assert one == many and {k: len(v) for k, v in one.items()} == {"assign": 50, "background": 50, "hex": 50}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 20)), max_size=12), st.integers(0, 70), st.integers(1, 20))
+def test_stretches_that_meet_spans(spans, s, n):
+    made = [(a, "hex", a + k) for a, k in spans]
+    assert secrets._Touched(made)(s, s + n) == any(s < e and a < s + n for a, _, e in made)
+
+
+def test_scores_are_those_of_the_automaton_alone():
+    rng = random.Random(9)
+    automaton = secrets.formats({"hex": [k.encode() for k in keys(rng, 100)]})["hex"]
+    tokens = [k.encode() for k in keys(rng, 30)] + [b"", b"a", b"short-and_other=+/.", "é".encode(), b"0" * 700]
+    assert np.allclose(secrets.scores(tokens, automaton), [automaton.score(t) for t in tokens], equal_nan=True)
+
+
+def test_text_of_very_many_spans(spark):
+    """60,000 spans and as many tokens beside them in one text: a pass over both, not every pair of them."""
+    rng = random.Random(3)
+    text = " ".join(f"{rng.getrandbits(160):040x} plain_word_{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, text), (2, "token=" + "a1" * 16)], "doc_id long, text string")
+    one, two = (r.n_hex for r in secrets.scanned(docs).orderBy("doc_id").collect())
+    assert (one, two) == (60_000, 1)
