@@ -282,3 +282,14 @@ def test_open_sessions(spark):
     assert got == {minute(0): 3, minute(60): 2, minute(60 * 24): 2}
     assert review.open_at(s, F.lit(minute(30)).cast("timestamp")).count() == 2
     assert review.open_sessions(s.limit(0)).count() == 0
+
+
+def test_expected_changes_shuffle_changes_and_not_each_for_each_set(spark):
+    forms = [("F", 1, "DELETE", "7", "DELETE", "a part", ""), ("F", 2, "SUBSTITUTE", "8", "9", "a part", "1"), ("F", 3, "ADD", "", "9", "a part", "2"), ("G", 4, "DELETE", "8", "DELETE", "a part", "")]
+    forms = spark.createDataFrame(forms, "form string, change_ord int, kind string, actual string, proposed string, description string, qty_proposed string")
+    codes = spark.createDataFrame([("F", "1NS"), ("F", "2NS"), ("F", "2NS"), ("G", "3NS"), ("H", "4NS")], "form string, sku string")
+    boms = spark.createDataFrame([("1NS", "7", 2, "SECOND"), ("1NS", "7", 1, "CUP"), ("2NS", "8", 1, "LID"), ("0NS", "8", 1, "FIRST LID")], "sku string, item_number string, item_ord int, description string")
+    got = checks.expected_changes(forms, codes, boms)
+    # a set named twice has its rows twice, as it has in the join
+    assert rows(got, "sku", "change_ord", "kind", "description", "old_description") == sorted([("1NS", 1, "REMOVE", "CUP", None), *[("2NS", 1, "REMOVE", "CUP", None)] * 2, ("1NS", 2, "SUBSTITUTE", "a part", "FIRST LID"), *[("2NS", 2, "SUBSTITUTE", "a part", "LID")] * 2, ("1NS", 3, "ADD", "a part", None), *[("2NS", 3, "ADD", "a part", None)] * 2, ("3NS", 4, "REMOVE", "FIRST LID", None)], key=repr)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
