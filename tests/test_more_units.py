@@ -293,3 +293,15 @@ def test_expected_changes_shuffle_changes_and_not_each_for_each_set(spark):
     # a set named twice has its rows twice, as it has in the join
     assert rows(got, "sku", "change_ord", "kind", "description", "old_description") == sorted([("1NS", 1, "REMOVE", "CUP", None), *[("2NS", 1, "REMOVE", "CUP", None)] * 2, ("1NS", 2, "SUBSTITUTE", "a part", "FIRST LID"), *[("2NS", 2, "SUBSTITUTE", "a part", "LID")] * 2, ("1NS", 3, "ADD", "a part", None), *[("2NS", 3, "ADD", "a part", None)] * 2, ("3NS", 4, "REMOVE", "FIRST LID", None)], key=repr)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_changes_are_joined_to_lists_of_lines(spark):
+    lines = [("1NS", 1, "500", 1.0, "10", True, ["-"]), ("1NS", 2, "500", 2.0, "20", True, ["DELETE"]), ("1NS", 3, "500", 3.0, "30", False, ["-"]), ("1NS", 4, "600", 4.0, " 40 ", True, ["700"]), ("1NS", 5, None, 5.0, "50", True, None)]
+    lines = spark.createDataFrame(lines, "code string, item_ord int, item_number string, quantity double, oper_seq string, active boolean, redlines array<string>").withColumn("quantity", F.col("quantity").cast("decimal(18,6)"))
+    forms = [("F", "1NS", 1, "MODIFY", "500", "500", "2", "20"), ("F", "1NS", 2, "MODIFY", "500", "500", "2", ""), ("F", "1NS", 3, "DELETE", "500", "DELETE", "", "20"), ("F", "1NS", 4, "DELETE", "500", "DELETE", "", ""), ("F", "1NS", 5, "ADD", "", "600", "4", "40"), ("F", "1NS", 6, "ADD", "", "700", "4", ""), ("F", "1NS", 7, "SUBSTITUTE", "600", "700", "4", ""), ("F", "9NS", 8, "ADD", None, "600", "1", "")]
+    forms = spark.createDataFrame(forms, "form string, code string, change_ord int, kind string, actual string, proposed string, qty_proposed string, seq_proposed string")
+    got = checks.change_applied(forms, lines)
+    absent = "PCO_CHANGE_NOT_APPLIED"
+    assert rows(got, "change_ord", "classification", "discrepancy", "line_ord") == [(1, "EXACT", None, 2), (2, "POTENTIAL", None, 1), (3, "POTENTIAL", None, 2), (4, "MISMATCH", absent, 1), (5, "EXACT", None, 4), (6, "POTENTIAL", None, None), (7, "POTENTIAL", None, 4), (8, "MISMATCH", absent, None)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 3 and "form" not in " ".join(x for x in plan.splitlines() if "Aggregate" in x)
