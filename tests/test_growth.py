@@ -1,5 +1,11 @@
 """Steps whose work must grow no faster than their tables, by what their plans and inputs are."""
 
+import json
+import random
+
+from pyspark.sql import functions as F
+
+from lineweave.functions import text
 from lineweave.operators import layout
 
 
@@ -14,3 +20,34 @@ def test_words_meet_bands_once(spark):
     assert {r.word_id: r.name for r in named.collect()} == {0: "a", 1: "a", 2: "b", 3: "b"}  # the first of equals; a page without bands has no words
     plan = plan_of(named)
     assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
+
+
+def _first_object(s):
+    depth, said, escaped, first = 0, False, False, None
+    for i, ch in enumerate(s):
+        if depth == 0:
+            if ch == "{":
+                depth, first = 1, i
+        elif escaped:
+            escaped = False
+        elif said:
+            said, escaped = ch != '"', ch == "\\"
+        elif ch == '"':
+            said = True
+        elif ch in "{}":
+            depth += 1 if ch == "{" else -1
+            if not depth:
+                return s[first : i + 1]
+    return None
+
+
+def test_json_is_folded_once_over_pieces(spark):
+    rng = random.Random(7)
+    said = ["".join(rng.choice('{}"\\a😀\n ') for _ in range(rng.randrange(24))) for _ in range(3000)] + ["", "x", '😀 {"a": "}"} y']
+    df = spark.createDataFrame([(s,) for s in said], "s string")
+    assert all(r.x == _first_object(r.s) for r in df.select("s", text.first_json(F.col("s")).alias("x")).collect())
+    assert sum(_first_object(s) is not None for s in said) > 100
+    whole = json.dumps({"verdict": "same_item", "confidence": 0.5, "note": 'a } "'})
+    assert tuple(spark.range(1).select(text.parse_suggestion(F.lit("so " + whole)).alias("x")).first().x) == ("SAME_ITEM", 0.5)
+    plan = plan_of(df.select(text.parse_suggestion(F.col("s")).alias("x")), "optimizedPlan")
+    assert plan.count("aggregate(") == 1
