@@ -6,7 +6,10 @@ import random
 from pyspark.sql import functions as F
 
 from lineweave.functions import text
-from lineweave.operators import layout
+from lineweave.operators import layout, matching
+from lineweave.plans import catalog
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan_of(df, stage="executedPlan"):
@@ -22,6 +25,14 @@ def test_words_meet_bands_once(spark):
     assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
 
 
+def test_find_anywhere_is_given_texts(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(matching, "find_anywhere", lambda a, b: given.extend((a, b)))
+    catalog.find_anywhere(spark, SF)
+    for x in given:
+        assert x.count() == x.select("description").distinct().count() > 0
+
+
 def _first_object(s):
     depth, said, escaped, first = 0, False, False, None
     for i, ch in enumerate(s):
