@@ -25,6 +25,13 @@ def test_words_meet_bands_once(spark):
     assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
 
 
+def test_words_meet_lines_unsorted(spark):
+    words = spark.createDataFrame([(1, 1, 0.0, 10.0), (1, 1, 2.0, 12.0), (1, 1, 20.0, 30.0)], "doc_id long, page int, y0 double, y1 double")
+    lined = layout.group_lines(words)
+    assert sorted(r.line for r in lined.collect()) == [1, 1, 2]
+    assert "ShuffledHashJoin" in plan_of(lined)
+
+
 def test_find_anywhere_is_given_texts(spark, monkeypatch):
     given = []
     monkeypatch.setattr(matching, "find_anywhere", lambda a, b: given.extend((a, b)))
@@ -62,3 +69,24 @@ def test_json_is_folded_once_over_pieces(spark):
     assert tuple(spark.range(1).select(text.parse_suggestion(F.lit("so " + whole)).alias("x")).first().x) == ("SAME_ITEM", 0.5)
     plan = plan_of(df.select(text.parse_suggestion(F.col("s")).alias("x")), "optimizedPlan")
     assert plan.count("aggregate(") == 1
+
+
+def test_contested_lines_give_all_ambiguities(spark):
+    rng = random.Random(3)
+    lines = lambda: spark.createDataFrame([(p, k, rng.choice("xyz") + rng.choice("12") if k % 5 else "") for p in range(20) for k in range(1, 8)], "pair long, item_ord int, norm_key string")
+    one = spark.createDataFrame([(99, 1, "q")], "pair long, item_ord int, norm_key string")
+    a, b = lines().unionByName(one), lines().unionByName(one)
+    found = lambda x, y: sorted(map(str, matching.ambiguities(matching.first_rung(matching.exact_candidates(x, y)), matching.exact_pairs(x, y)).collect()))
+    own = matching.contested(a, b)
+    assert found(*own) == found(a, b) != []
+    assert own[0].where("pair = 99").isEmpty() and own[1].where("pair = 99 or norm_key = ''").isEmpty()  # no choice there
+
+
+def test_residue_is_narrow_and_whole(spark):
+    a, b = catalog._residue(spark, SF)
+    assert not {"sku", "oper_seq", "uom", "raw_line"} & {*a.columns, *b.columns}  # no later step reads these
+    x, y = catalog._sides(spark, SF, "label_fuzzy")
+    taken = {(r.pair, r.a_ord, r.b_ord) for r in matching.exact_pairs(x, y).collect()}
+    for rest, whole, used in ((a, x, {t[:2] for t in taken}), (b, y, {t[::2] for t in taken})):
+        said = lambda df: {(r.pair, r.item_ord): (r.norm_text, r.norm_key, tuple(r.norm_numbers)) for r in df.collect()}
+        assert said(rest) == {k: v for k, v in said(whole).items() if k not in used} and taken
