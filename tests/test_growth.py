@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lineweave.functions import text
 from lineweave.operators import layout, matching
 from lineweave.plans import catalog
+from lineweave.sources import pages
 
 SF = "/root/testdata/sf0.001"
 
@@ -90,3 +91,12 @@ def test_residue_is_narrow_and_whole(spark):
     for rest, whole, used in ((a, x, {t[:2] for t in taken}), (b, y, {t[::2] for t in taken})):
         said = lambda df: {(r.pair, r.item_ord): (r.norm_text, r.norm_key, tuple(r.norm_numbers)) for r in df.collect()}
         assert said(rest) == {k: v for k, v in said(whole).items() if k not in used} and taken
+
+
+def test_words_of_a_page_are_shuffled_once(spark):
+    words = [(1, 1, "b", 50.0, 2.0, 60.0, 12.0), (1, 1, "a", 0.0, 0.0, 10.0, 10.0), (1, 1, "c", 0.0, 20.0, 10.0, 30.0), (2, 1, "d", 5.0, 7.0, 9.0, 11.0), (2, 1, "lost", 5.0, None, 9.0, None)]
+    lines = pages.page_lines(spark.createDataFrame(words, "doc_id long, page int, text string, x0 double, y0 double, x1 double, y1 double"))
+    plan = plan_of(lines)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert sorted((r.doc_id, r.line, r.text, r.x0, r.y0, r.x1, r.y1) for r in lines.where("line > 0").collect()) == [(1, 1, "a b", 0.0, 0.0, 60.0, 12.0), (1, 2, "c", 0.0, 20.0, 10.0, 30.0), (2, 1, "d", 5.0, 7.0, 9.0, 11.0)]
+    assert [(r.text, r.y0) for r in lines.where("line = 0").collect()] == [("lost", None)]  # a word without a place is no line's
