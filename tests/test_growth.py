@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lineweave.functions import text
 from lineweave.operators import layout, matching
-from lineweave.plans import catalog
+from lineweave.plans import catalog, flows
 from lineweave.sources import pages
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +100,39 @@ def test_words_of_a_page_are_shuffled_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
     assert sorted((r.doc_id, r.line, r.text, r.x0, r.y0, r.x1, r.y1) for r in lines.where("line > 0").collect()) == [(1, 1, "a b", 0.0, 0.0, 60.0, 12.0), (1, 2, "c", 0.0, 20.0, 10.0, 30.0), (2, 1, "d", 5.0, 7.0, 9.0, 11.0)]
     assert [(r.text, r.y0) for r in lines.where("line = 0").collect()] == [("lost", None)]  # a word without a place is no line's
+
+
+def test_slices_of_a_stream_are_parted_in_one_pass(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(x):
+        read.add(1)
+        return x
+
+    rows = spark.range(4000).select(F.timestamp_seconds(F.lit(1_000_000_000) + F.col("id") * 60).alias("ts"), seen.asNondeterministic()("id").alias("event_id"))
+    for repeated in (False, True):
+        read.value, ran = 0, []
+        flows._in_batches(spark, rows, "ts", lambda folder, schema, where, files, most: ran.append((files, spark.read.schema(schema).parquet(folder))), repeated)
+        assert read.value <= 2 * 4000  # for the bounds and for the slices, not once per slice
+        assert [files for files, _ in ran] == [1, 1]
+        got = [r.event_id for r in ran[-1][1].where("event_id is not null").collect()]
+        assert set(got) == set(range(4000)) and (len(got) > 4000) == repeated
+
+
+def test_a_slice_has_as_many_files_as_said(spark, tmp_path):
+    for k, n in enumerate((30_000, 5, 0)):
+        flows._write_slice(spark.range(n), n, 3, f"{tmp_path}/{k}")
+        assert len([*(tmp_path / str(k)).glob("*.parquet")]) == 3 and spark.read.parquet(f"{tmp_path}/{k}").count() == n
+
+
+def test_state_has_no_more_partitions_than_rows_fill(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "600")
+        for rows, parts in ((1000, spark.sparkContext.defaultParallelism), (20 * flows.STATE_ROWS, 20), (10_000 * flows.STATE_ROWS, 600)):
+            with flows._state_parts(spark, rows):
+                assert int(spark.conf.get("spark.sql.shuffle.partitions")) == parts
+            assert spark.conf.get("spark.sql.shuffle.partitions") == "600"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
