@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lineweave.functions import text
 from lineweave.operators import layout, matching
-from lineweave.plans import catalog, flows
+from lineweave.plans import catalog, fixtures, flows
 from lineweave.sources import pages
 
 SF = "/root/testdata/sf0.001"
@@ -136,3 +136,26 @@ def test_state_has_no_more_partitions_than_rows_fill(spark):
             assert spark.conf.get("spark.sql.shuffle.partitions") == "600"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_pairs_of_the_ladder_need_no_candidates(spark, monkeypatch):
+    rng = random.Random(5)
+    said = lambda: rng.choice(["BOLT STEEL", "STEEL BOLT", "BOLTS STEEL", "BOLT STEELY", "CLAMP", "CLAMPS RED", "NUT", "THE OF", "-"]) + rng.choice(["", " 5MM", " 6 MM"])
+    lines = lambda: spark.createDataFrame([(p, k, f"I{rng.randrange(4)}", f"{p}NS", said() if k % 6 else None) for p in range(30) for k in range(1, 9)], "pair long, item_ord int, item_number string, sku string, description string")
+    a, b = (text.normalize_column(x, "description").localCheckpoint() for x in (lines(), lines().drop("item_number", "sku")))
+    rel = [("R1", "CLAMP", ["NUT 5MM"], "global", ["I1"], True), ("R2", "BOLT STEEL", ["NUT", "CLAMP RED"], "sku:3NS", [], True), ("R3", "NUT 6MM", ["BOLT STEEL"], "global", [], False)]
+    schema = "id string, canonical string, aliases array<string>, scope string, item_anchors array<string>, active boolean"
+    found = lambda df: sorted((r.pair, r.a_ord, r.b_ord, r.level, r.score, r.confirm, str(r.relationship_id)) for r in df.collect())
+    for terms in (None, spark.createDataFrame(rel, schema), spark.createDataFrame([(*r[:4], [], r[5]) for r in rel], schema)):
+        want = found(matching.greedy_pairs(matching.ladder(a, b, terms=terms)))
+        assert found(matching.ladder_pairs(a, b, terms=terms)) == want and {w[3] for w in want} >= {"EXACT", "FUZZY"}
+    monkeypatch.setattr(matching, "BROADCAST_BYTES", 0)  # keys are many
+    assert found(matching.ladder_pairs(a, b, terms=terms)) == want
+
+
+def test_ladder_levels_joins_parts_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(fixtures, "table", lambda s, d, name, own=fixtures.table: seen.append(name) or own(s, d, name))
+    monkeypatch.setattr(matching, "ladder_pairs", lambda a, b, terms: b.withColumns({"a_ord": F.lit(1), "b_ord": F.lit(1), "level": F.lit(""), "score": F.lit(1.0)}))
+    catalog.ladder_levels(spark, SF)
+    assert seen.count("lineitem") == 1
