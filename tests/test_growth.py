@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -159,3 +160,20 @@ def test_ladder_levels_joins_parts_once(spark, monkeypatch):
     monkeypatch.setattr(matching, "ladder_pairs", lambda a, b, terms: b.withColumns({"a_ord": F.lit(1), "b_ord": F.lit(1), "level": F.lit(""), "score": F.lit(1.0)}))
     catalog.ladder_levels(spark, SF)
     assert seen.count("lineitem") == 1
+
+
+def test_callouts_are_placed_once_per_fragment(spark):
+    n = 300  # fragments side by side on a page, each a callout of its own: what is bound per page or fragment must not be computed per callout
+    words = spark.createDataFrame([(d, 1, f"W{k}", k * 100.0, float(k % 7), k * 100.0 + 4.0, k % 7 + 8.0) for d in range(2) for k in range(n)], "doc_id long, page int, text string, x0 double, y0 double, x1 double, y1 double")
+    own = pages.clusters(pages.fragments_of(words))
+    plan = plan_of(own)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Window" not in plan
+    began = time.time()
+    assert own.groupBy("doc_id").agg(F.count_distinct("callout").alias("n")).orderBy("doc_id").collect() == [(0, n), (1, n)]
+    assert time.time() - began < 30  # computed per callout, as before, it takes many minutes
+
+
+def test_parts_alone_are_read_by_several_tasks(spark, tmp_path):
+    spark.range(50_000).select(F.col("id").alias("p_partkey"), F.lit("red ring").alias("p_name"), F.lit("b").alias("p_brand"), F.lit(3).alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    own = fixtures.fixture(spark, str(tmp_path), "callouts_fx")
+    assert own.rdd.getNumPartitions() == 3 and own.count() == 50_000
